@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattline.functions import rounding as R
+
 from wattline.config import DEFAULT_MODEL, EnergyModel, LEAKAGE_COLUMNS
 from wattline.functions import energy as E
 
@@ -52,11 +54,11 @@ def monthly_projection(df: DataFrame, energy="energy_wh", memory="memory_mb", du
     kwh = inv * _c(energy) / 1000.0
     per_call = E.gb_seconds(memory, duration) * F.lit(m.inr_per_gb_s) + F.lit(m.inr_per_request)
     return df.withColumns({
-        "energy_wh_per_invocation": F.bround(_c(energy), 4),
+        "energy_wh_per_invocation": R.half_even(_c(energy), 4),
         "monthly_invocations": inv,
         "monthly_energy_kwh": kwh,
-        "monthly_carbon_kg": F.bround(kwh * F.lit(m.grid_kg_per_kwh), 4),
-        "monthly_cost_inr": F.bround(inv * per_call, 2),
+        "monthly_carbon_kg": R.half_even(kwh * F.lit(m.grid_kg_per_kwh), 4),
+        "monthly_cost_inr": R.half_even(inv * per_call, 2),
     })
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattline.functions import rounding as R
+
 from wattline.config import DEFAULT_MODEL
 from wattline.functions import energy as E
 from wattline.operators import metrics as M
@@ -17,7 +19,7 @@ from wattline.sources.tables import Catalog
 
 
 def r9(c: str):
-    return F.round(c, 9).alias(c)
+    return R.half_up(c, 9).alias(c)
 
 
 def azure_like(cat: Catalog) -> DataFrame:
@@ -121,7 +123,7 @@ def agg_describe(cat: Catalog) -> DataFrame:
 @register("agg_flag_share")
 def agg_flag_share(cat: Catalog) -> DataFrame:
     return (cat.v_inv.groupBy("runtime")
-            .agg(F.round(F.avg("cold_start") * 100.0, 9).alias("cold_start_pct"),
+            .agg(R.half_up(F.avg("cold_start") * 100.0, 9).alias("cold_start_pct"),
                  F.count(F.lit(1)).alias("n")))
 
 
@@ -132,9 +134,9 @@ def agg_cost_total(cat: Catalog) -> DataFrame:
     t = cat.v_inv.groupBy("runtime").agg(F.sum(gb).alias("gb_seconds"), F.count(F.lit(1)).alias("requests"))
     comp = F.col("gb_seconds") * m.usd_per_gb_s
     req = F.col("requests") * m.usd_per_request
-    return t.select("runtime", "requests", F.round("gb_seconds", 6).alias("gb_seconds"),
-                    F.round(comp, 6).alias("compute_usd"), F.round(req, 6).alias("request_usd"),
-                    F.round(comp + req, 6).alias("total_usd"))
+    return t.select("runtime", "requests", R.half_up("gb_seconds", 6).alias("gb_seconds"),
+                    R.half_up(comp, 6).alias("compute_usd"), R.half_up(req, 6).alias("request_usd"),
+                    R.half_up(comp + req, 6).alias("total_usd"))
 
 
 @register("agg_pivot_distinct")
@@ -156,5 +158,5 @@ def agg_argmax_row(cat: Catalog) -> DataFrame:
 def agg_scatter_points(cat: Catalog) -> DataFrame:
     """60 seeded points (actual, predicted) with R2 and MAE over them."""
     pts = seeded_sample(cat.v_pred, "inv_id", 60, seed=42).select("inv_id", "actual_wh", "predicted_wh")
-    m = M.regression_metrics(pts, digits=None).select(F.round("r2", 4).alias("r2"), F.round("mae", 4).alias("mae"))
+    m = M.regression_metrics(pts, digits=None).select(R.half_up("r2", 4).alias("r2"), R.half_up("mae", 4).alias("mae"))
     return pts.crossJoin(F.broadcast(m))

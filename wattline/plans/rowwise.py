@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattline.functions import rounding as R
+
 from wattline.config import DEFAULT_CODE_METRICS, DEFAULT_AWS_DURATION_MS, DEFAULT_LOCAL_DURATION_MS
 from wattline.functions import labels as L
 from wattline.functions.text import loc_count
@@ -49,8 +51,8 @@ def prj_monthly_projection(cat: Catalog) -> DataFrame:
 def prj_flat_spike(cat: Catalog) -> DataFrame:
     out = P.flat_spike(function_energy_profile(cat), "energy_wh")
     return out.select("function_name", "spike_requests",
-                      F.round("spike_energy_kwh", 6).alias("spike_energy_kwh"),
-                      F.round("spike_carbon_kg", 6).alias("spike_carbon_kg"))
+                      R.half_up("spike_energy_kwh", 6).alias("spike_energy_kwh"),
+                      R.half_up("spike_carbon_kg", 6).alias("spike_carbon_kg"))
 
 
 @register("prj_formula_gap")
@@ -78,7 +80,7 @@ def prj_default_metrics(cat: Catalog) -> DataFrame:
     joined = fns.join(document_code_metrics(cat), "function_name", "left")
     filled = P.fill_defaults(joined, {**DEFAULT_CODE_METRICS, "local_duration_ms": DEFAULT_LOCAL_DURATION_MS})
     return filled.select("function_name", *DEFAULT_CODE_METRICS, "local_duration_ms",
-                         F.round(F.coalesce("aws_duration_ms", F.lit(DEFAULT_AWS_DURATION_MS)), 6)
+                         R.half_up(F.coalesce("aws_duration_ms", F.lit(DEFAULT_AWS_DURATION_MS)), 6)
                          .alias("aws_duration_ms"))
 
 
@@ -196,7 +198,7 @@ _TRACE_RENAMES = {"hash_function": "HashFunction", "hash_app": "HashApp", "avera
 @register("prj_rename_order")
 def prj_rename_order(cat: Catalog) -> DataFrame:
     out = P.rename_order(cat.v_fn_day, _TRACE_RENAMES, ["HashApp", "HashFunction", "day", *list(_TRACE_RENAMES.values())[2:]])
-    return out.select(*[F.round(c, 6).alias(c) if c in ("avg_duration_ms", "p50_duration_ms", "p99_duration_ms")
+    return out.select(*[R.half_up(c, 6).alias(c) if c in ("avg_duration_ms", "p50_duration_ms", "p99_duration_ms")
                         else F.col(c) for c in out.columns])
 
 
@@ -224,7 +226,7 @@ def flt_negative_pred(cat: Catalog) -> DataFrame:
     negative predictions."""
     prof = function_energy_profile(cat)
     score = F.col("predicted_wh") * 2 - F.lit(0.15)
-    return prof.select("function_name", F.round(score, 9).alias("prediction")).where(F.col("prediction") < 0)
+    return prof.select("function_name", R.half_up(score, 9).alias("prediction")).where(F.col("prediction") < 0)
 
 
 @register("flt_out_of_range")
@@ -245,7 +247,7 @@ def flt_energy_gate(cat: Catalog) -> DataFrame:
     d = cat.documents.select("doc_id", loc_count(F.col("text")).cast("double").alias("lines_of_code"),
                              (1.0 + (F.length("text") - F.length(F.regexp_replace("text", ",", ""))) / 10.0)
                              .alias("cyclomatic_complexity"))
-    return P.energy_gate(d).select("doc_id", F.round("gate_energy_wh", 6).alias("gate_energy_wh"), "gate_status")
+    return P.energy_gate(d).select("doc_id", R.half_up("gate_energy_wh", 6).alias("gate_energy_wh"), "gate_status")
 
 
 @register("chk_missing_values")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattline.functions import rounding as R
+
 from wattline.functions import energy as E
 from wattline.operators import traces as T
 from wattline.plans.registry import register
@@ -16,7 +18,7 @@ MINUTE_COLS = [f"m{i}" for i in range(1, 25)]
 
 
 def r9(c: str):
-    return F.round(c, 9).alias(c)
+    return R.half_up(c, 9).alias(c)
 
 
 def master(cat: Catalog) -> DataFrame:
@@ -96,8 +98,8 @@ def trace_energy_top_functions(cat: Catalog) -> DataFrame:
     m = master(cat).withColumn("energy_wh", E.energy_wh("memory_allocated_mb", "avg_duration_ms"))
     top = m.orderBy(F.desc("energy_wh"), F.asc("hash_function"), F.asc("hash_app")).limit(20)
     return top.select("hash_function", "hash_app", "trigger_type", r9("avg_duration_ms"), r9("memory_allocated_mb"),
-                      F.round("energy_wh", 9).alias("energy_wh"),
-                      F.round(F.col("energy_wh") * 1000.0, 6).alias("energy_mwh"))
+                      R.half_up("energy_wh", 9).alias("energy_wh"),
+                      R.half_up(F.col("energy_wh") * 1000.0, 6).alias("energy_mwh"))
 
 
 @register("agg_trace_functions")
