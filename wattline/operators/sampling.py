@@ -20,7 +20,8 @@ def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFra
     return df.orderBy(seed_hash(id_col, seed), F.col(id_col)).limit(n)
 
 
-def stratified_sample(df: DataFrame, id_col: str, stratum: str, n: int, seed: int = 42) -> DataFrame:
+def stratified_sample(df: DataFrame, id_col: str, stratum: str, n: int, seed: int = 42,
+                      materialize_input: bool = True) -> DataFrame:
     """Proportional sample of ``n`` rows.
 
     quota(s) = min(max(1, round_half_even(count(s) / total * n)), count(s)),
@@ -31,9 +32,14 @@ def stratified_sample(df: DataFrame, id_col: str, stratum: str, n: int, seed: in
     literal bound, so Spark applies the group limit on every task before the
     shuffle: a stratum holding most rows sends at most ``n`` rows per task.
     Every window without partition keys runs on at most ``n + #strata`` rows.
+    The input is read four times (totals, quotas, ranks, remainder), so it is
+    checkpointed once unless ``materialize_input`` is False.
     """
+    from wattline.session import materialize
     h = seed_hash(id_col, seed)
     rows = df.withColumn("_h", h)
+    if materialize_input:
+        rows = materialize(rows)
     total = rows.agg(F.count(F.lit(1)).alias("_total"))
     counts = (rows.where(F.col(stratum).isNotNull()).groupBy(stratum)
               .agg(F.count(F.lit(1)).alias("_cnt"))
