@@ -1,13 +1,20 @@
 """Exact grouped percentiles that stay balanced when one group is huge.
 
 Spark's built-in ``percentile`` / ``median`` merge all values of a group in
-one task, so a group holding a third of the rows lands on one executor.
-Here the rows are range-partitioned on ``(keys, value)``: a hot group is cut
-by value into many partitions.  Each row gets its rank inside its
-(partition, group) piece, the piece sizes give each piece its offset in the
-group, and only the rows sitting at the wanted ranks are joined back.  The
-result is the same linear interpolation as ``percentile_cont``:
-``lo + (pos - floor(pos)) * (hi - lo)`` with ``pos = (n - 1) * p``.
+one task, so a group holding a third of the rows would land on one executor.
+Groups are therefore split by size (a partial-aggregate count per group):
+
+* groups up to ``hot_rows`` rows use the built-in exact ``percentile`` (one
+  shuffle; a task holds at most ``hot_rows`` values of a group);
+* larger ("hot") groups are range-partitioned on ``(keys, value)``, which
+  cuts each hot group by value into many partitions.  Every row gets its rank
+  inside its (partition, group) piece, the piece sizes give each piece its
+  offset in the group, and only the rows at the wanted ranks are joined back.
+
+Hot keys number at most ``rows / hot_rows``; the key list is joined to the
+rows with a plain join that AQE turns into a broadcast when its run-time
+size is small (a checked size), a shuffle join otherwise.  Both paths give
+the linear interpolation of ``percentile_cont`` at ``pos = (n - 1) * p``.
 """
 
 from __future__ import annotations
@@ -18,12 +25,38 @@ from pyspark.sql import functions as F
 from wattline.session import shuffle_partitions
 
 
+HOT_GROUP_ROWS = 1_000_000
+
+
 def grouped_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                        partitions: int | None = None) -> DataFrame:
-    """One row per group that has a non-null value: ``keys + list(probs)``."""
+                        partitions: int | None = None, hot_rows: int = HOT_GROUP_ROWS,
+                        extra_aggs: list | None = None) -> DataFrame:
+    """One row per group with a non-null value: ``keys + extra + list(probs)``.
+
+    ``extra_aggs`` (aggregate columns over ``df``) are computed in the same
+    aggregation as the percentiles, so a summary needs no second pass.
+    Without keys the single group is treated as hot."""
     parts = partitions or shuffle_partitions(df.sparkSession)
-    base = (df.select(*keys, F.col(value).cast("double").alias("_v"))
-            .where(F.col("_v").isNotNull()))
+    extra = list(extra_aggs or [])
+    base = df.withColumn("_v", F.col(value).cast("double")).where(F.col("_v").isNotNull())
+    if not keys:
+        pct = ranked_percentiles(base.select("_v"), [], probs, parts)
+        return base.agg(*extra).crossJoin(pct) if extra else pct
+    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > hot_rows).select(*keys)
+    cold = base.join(hot, list(keys), "left_anti")
+    plist = list(probs.values())
+    cold_res = (cold.groupBy(*keys).agg(*extra, F.percentile("_v", plist).alias("_ps"))
+                .select("*", *[F.col("_ps")[i].alias(name) for i, name in enumerate(probs)]).drop("_ps"))
+    hot_base = base.join(hot, list(keys), "left_semi")
+    hot_res = ranked_percentiles(hot_base.select(*keys, "_v"), keys, probs, parts)
+    if extra:
+        hot_res = hot_base.groupBy(*keys).agg(*extra).join(hot_res, list(keys), "inner")
+    return cold_res.unionByName(hot_res)
+
+
+def ranked_percentiles(base: DataFrame, keys: list[str], probs: dict[str, float], parts: int) -> DataFrame:
+    """Range-partitioned exact percentiles of ``_v`` per group (any size)."""
     ranged = (base.repartitionByRange(parts, *keys, "_v")
               .withColumn("_pid", F.spark_partition_id()))
     local = ranged.withColumn(

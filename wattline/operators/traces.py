@@ -89,13 +89,11 @@ def region_function_summary(inv: DataFrame, function="function_name", latency="l
     and p99 latency, count, mean memory and first runtime; then the count and
     cap filters.  Percentiles use the range-partitioned exact method."""
     valid = inv.where((F.col(latency) > 0) & (F.col(memory) > 0))
-    base = valid.groupBy(function).agg(
-        F.avg(latency).alias("avg_duration_ms"), F.min(latency).alias("min_duration_ms"),
-        F.max(latency).alias("max_duration_ms"), F.count(F.lit(1)).alias("invocation_count"),
-        F.avg(memory).alias("memory_allocated_mb"),
-        F.min_by(runtime, F.struct(*order)).alias("runtime"))
-    pct = grouped_percentiles(valid, [function], latency, {"p50_duration_ms": 0.5, "p99_duration_ms": 0.99})
-    out = base.join(pct, function, "inner")
+    summary = [F.avg(latency).alias("avg_duration_ms"), F.min(latency).alias("min_duration_ms"),
+               F.max(latency).alias("max_duration_ms"), F.count(F.lit(1)).alias("invocation_count"),
+               F.avg(memory).alias("memory_allocated_mb"), F.min_by(runtime, F.struct(*order)).alias("runtime")]
+    out = grouped_percentiles(valid, [function], latency, {"p50_duration_ms": 0.5, "p99_duration_ms": 0.99},
+                              extra_aggs=summary)
     return out.where((F.col("invocation_count") >= min_invocations)
                      & (F.col("memory_allocated_mb") <= memory_cap) & (F.col("avg_duration_ms") <= duration_cap))
 

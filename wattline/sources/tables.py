@@ -109,12 +109,10 @@ def function_day_view(v_inv: DataFrame) -> DataFrame:
     from wattline.operators.quantiles import grouped_percentiles
 
     keys = ["function_name", "app_id", "day"]
-    base = (v_inv.groupBy(*keys)
-            .agg(F.avg("latency_ms").alias("average"), F.count("*").alias("cnt"),
-                 F.min("latency_ms").alias("minimum"), F.max("latency_ms").alias("maximum")))
-    q = grouped_percentiles(v_inv, keys, "latency_ms", {"p50": 0.5, "p99": 0.99})
-    return (base.join(q, keys, "inner")
-            .withColumnsRenamed({"function_name": "hash_function", "app_id": "hash_app"}))
+    summary = [F.avg("latency_ms").alias("average"), F.count(F.lit(1)).alias("cnt"),
+               F.min("latency_ms").alias("minimum"), F.max("latency_ms").alias("maximum")]
+    q = grouped_percentiles(v_inv, keys, "latency_ms", {"p50": 0.5, "p99": 0.99}, extra_aggs=summary)
+    return q.withColumnsRenamed({"function_name": "hash_function", "app_id": "hash_app"})
 
 
 def app_day_view(supplier: DataFrame) -> DataFrame:
