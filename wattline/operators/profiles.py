@@ -161,7 +161,7 @@ def _window_stat(metric: str, stat: str, in24: Column) -> list[Column]:
 def hourly_points(live: DataFrame, key: str = "function_name") -> DataFrame:
     """Metric datapoints per function and hour from raw live events:
     Duration (average), MaxMemoryUsed (maximum), Invocations and Errors (sum)."""
-    h = F.date_trunc("hour", "ts")
+    h = F.date_trunc("hour", "ts").cast("timestamp_ntz")
     g = live.groupBy(key, h.alias("ts")).agg(
         F.avg("duration_ms").alias("_dur"), F.max(F.col("user_id") * 10.0).alias("_mem"),
         F.count(F.lit(1)).cast("double").alias("_inv"), F.sum(F.col("is_error")).cast("double").alias("_err"))
