@@ -49,9 +49,15 @@ class OneHot:
         return df.select(*cols)
 
 
+def usable_std(std: float, mean: float) -> float:
+    """A deviation that is zero or only float noise (relative to the mean)
+    is replaced by 1, so constant columns stay constant after scaling."""
+    return std if std > 1e-9 * max(1.0, abs(mean)) else 1.0
+
+
 class PopulationScaler:
-    """``(x - mean) / std_pop`` with std 0 replaced by 1; the statistics come
-    from one aggregation pass."""
+    """``(x - mean) / std_pop`` with a zero (or float-noise) std replaced by
+    1; the statistics come from one aggregation pass."""
 
     def __init__(self, columns: Sequence[str]):
         self.columns = list(columns)
@@ -62,8 +68,7 @@ class PopulationScaler:
         row = df.agg(*[x for c in self.columns for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
         for c in self.columns:
             self.mean[c] = float(row[f"m_{c}"] or 0.0)
-            s = float(row[f"s_{c}"] or 0.0)
-            self.std[c] = s if s != 0.0 else 1.0
+            self.std[c] = usable_std(float(row[f"s_{c}"] or 0.0), self.mean[c])
         return self
 
     def transform(self, df: DataFrame, suffix: str = "") -> DataFrame:

@@ -223,8 +223,9 @@ def ml_shap(cat: Catalog) -> DataFrame:
 @register("ml_lime")
 def ml_lime(cat: Catalog) -> DataFrame:
     train = split_features(cat).where(F.col("split") == "train")
-    std_row = train.agg(*[F.stddev_pop(f"`{f}`").alias(f) for f in NUMERIC_FEATURES]).first()
-    std = {f: float(std_row[f] or 0.0) or 1.0 for f in NUMERIC_FEATURES}
+    row = train.agg(*[F.stddev_pop(f).alias(f"s_{f}") for f in NUMERIC_FEATURES],
+                    *[F.avg(f).alias(f"m_{f}") for f in NUMERIC_FEATURES]).first()
+    std = {f: FE.usable_std(float(row[f"s_{f}"] or 0.0), float(row[f"m_{f}"] or 0.0)) for f in NUMERIC_FEATURES}
     return X.lime(explained_rows(cat), std, list(FEATURE_ORDER), scorer(cat, "gbt", floor=None),
                   n_samples=1000, perturb=list(NUMERIC_FEATURES))
 
