@@ -39,4 +39,7 @@ SELECT hash_function, trigger_type, """ + ", ".join(f"round(mean_{c}, 9) AS mean
     "ml_cross_platform_features": f"""WITH {TELEMETRY}, {MASTER}, {_MEANS_CTE}
 SELECT hash_function, """ + ", ".join(f"round(CAST({_XP.get(f, '0.0e0')} AS DOUBLE), 9) AS \"{f}\"" for f in FEATURE_ORDER)
     + " FROM master, means",
+    "join_predictions_back": f"""WITH p AS (SELECT inv_id, predicted_wh, {_U} AS u FROM v_pred)
+SELECT p.inv_id, p.predicted_wh, i.function_name, i.trigger_type, i.memory_mb, i.latency_ms
+FROM p JOIN v_inv i ON p.inv_id = i.inv_id WHERE p.u >= 0.8""",
 }

@@ -28,4 +28,5 @@ g AS (SELECT e.*, r.predicted_wh, 100.0e0 - abs(r.predicted_wh - e.actual_wh) /
   FROM e JOIN r USING (function_name))
 SELECT event_id, function_name, actual_wh, round(predicted_wh, 9) AS predicted_wh, round(acc, 9) AS gap_accuracy_pct,
   CASE WHEN acc >= 90 THEN 'Excellent' WHEN acc >= 75 THEN 'Good' ELSE 'Needs Review' END AS gap_verdict FROM g""",
+    "join_forecast_actual": "WITH " + _HOURLY + """ SELECT function_name, window_start, actual_rph, round(predicted_rph, 9) AS predicted_rph FROM st""",
 }

@@ -357,3 +357,13 @@ def sink_model(cat: Catalog) -> DataFrame:
 
 
 _ = (FALLBACK_NUMERIC,)
+
+
+@register("join_predictions_back")
+def join_predictions_back(cat: Catalog) -> DataFrame:
+    """Test-split predictions (carrying only the row id) joined back to the
+    original invocation attributes on that id."""
+    preds = hash_split(cat.v_pred.select("inv_id", "predicted_wh"), "inv_id", SPLITS) \
+        .where(F.col("split") == "test").drop("split")
+    attrs = cat.v_inv.select("inv_id", "function_name", "trigger_type", "memory_mb", "latency_ms")
+    return preds.join(attrs, "inv_id", "inner")

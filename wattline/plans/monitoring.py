@@ -59,3 +59,14 @@ def str_gap_stream(cat: Catalog) -> DataFrame:
     out = MON.run_append_parquet(MON.gap_stream(MON.event_stream(cat.spark, cat.sf_dir), ref), "gap_stream")
     d = cat.spark.read.parquet(out)
     return d.select("event_id", "function_name", "actual_wh", r9("predicted_wh"), r9("gap_accuracy_pct"), "gap_verdict")
+
+
+@register("join_forecast_actual")
+def join_forecast_actual(cat: Catalog) -> DataFrame:
+    """Batch form: actual requests per function-hour next to the forecast."""
+    e = cat.events
+    hourly_b = (e.groupBy(F.concat(F.lit("fn-"), F.col("event_type")).alias("function_name"),
+                          F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("window_start"))
+                .agg(F.count(F.lit(1)).alias("actual_rph")))
+    return hourly_b.join(MON.forecast_from_history(e), "function_name", "inner") \
+        .select("function_name", "window_start", "actual_rph", r9("predicted_rph"))
