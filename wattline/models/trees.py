@@ -25,11 +25,11 @@ ALIASES = {"xgboost": "gbt", "gbt": "gbt", "random_forest": "rf", "rf": "rf",
            "neural_network": "mlp", "neural_net": "mlp", "nn": "mlp", "mlp": "mlp"}
 
 
-def gbt_estimator(target: str = TARGET, max_iter: int = 40, max_depth: int = 6, seed: int = 42,
+def gbt_estimator(target: str = TARGET, max_iter: int = 30, max_depth: int = 6, seed: int = 42,
                   validation_col: str | None = "is_validation") -> GBTRegressor:
     extra = {"validationIndicatorCol": validation_col, "validationTol": 0.0001} if validation_col else {}
     return GBTRegressor(featuresCol="features", labelCol=target, maxIter=max_iter, maxDepth=max_depth,
-                        stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, maxBins=64,
+                        stepSize=0.15, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, maxBins=64,
                         **extra)
 
 

@@ -33,16 +33,20 @@ def text_code_metrics(docs: DataFrame, key: Column, text: str = "text") -> DataF
     characters), complexity 1 + loops + conditionals, nesting (capped
     conditional count) and LOC (at least 1)."""
     t = F.col(text)
-    w = words(t)
-    loops = F.size(F.filter(w, lambda x: x.isin("for", "while")))
-    conds = F.size(F.filter(w, lambda x: x == "if"))
+    # one split, one pass over the words for both counts
+    zero = F.struct(F.lit(0).alias("l"), F.lit(0).alias("c"))
+    counts = F.aggregate(words(t), zero, lambda acc, x: F.struct(
+        (acc["l"] + F.when(x.isin("for", "while"), 1).otherwise(0)).alias("l"),
+        (acc["c"] + F.when(x == "if", 1).otherwise(0)).alias("c")))
     calls = F.length(t) - F.length(F.replace(t, F.lit("("), F.lit("")))
-    return docs.select(key.alias("function_name"),
-                       F.greatest(F.lit(1), loc_count(t)).cast("double").alias("lines_of_code"),
-                       loops.cast("double").alias("num_loops"), conds.cast("double").alias("num_conditionals"),
-                       calls.cast("double").alias("num_function_calls"),
-                       (1.0 + loops + conds).cast("double").alias("cyclomatic_complexity"),
-                       F.least(conds, F.lit(4)).cast("double").alias("max_nesting_depth"))
+    m = docs.select(key.alias("function_name"), counts.alias("_wc"),
+                    F.greatest(F.lit(1), loc_count(t)).cast("double").alias("lines_of_code"),
+                    calls.cast("double").alias("num_function_calls"))
+    loops, conds = F.col("_wc.l"), F.col("_wc.c")
+    return m.select("function_name", "lines_of_code", loops.cast("double").alias("num_loops"),
+                    conds.cast("double").alias("num_conditionals"), "num_function_calls",
+                    (1.0 + loops + conds).cast("double").alias("cyclomatic_complexity"),
+                    F.least(conds, F.lit(4)).cast("double").alias("max_nesting_depth"))
 
 
 def compile_telemetry(inv: DataFrame, code: DataFrame) -> DataFrame:
@@ -79,12 +83,13 @@ def grouped_mode(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def function_profile(tel: DataFrame, numeric: Sequence[str] = TELEMETRY_NUMERIC,
                      categorical: Sequence[str] = ("function_type", "input_size")) -> DataFrame:
-    """Mean of every numeric and mode of every categorical per function."""
-    means = tel.groupBy("function_name").agg(*[F.avg(c).alias(c) for c in numeric])
-    out = means
-    for c in categorical:
-        out = out.join(grouped_mode(tel, ["function_name"], c), "function_name", "inner")
-    return out
+    """Mean of every numeric and mode of every categorical per function, in
+    one aggregation.  The categoricals have a tiny fixed vocabulary, so the
+    built-in ``mode`` (smallest value on a tie) keeps a map of at most that
+    many entries per group however large the group is; high-cardinality
+    columns should use ``grouped_mode`` instead."""
+    return tel.groupBy("function_name").agg(*[F.avg(c).alias(c) for c in numeric],
+                                            *[F.mode(c, deterministic=True).alias(c) for c in categorical])
 
 
 def profile_fallback(profile: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:

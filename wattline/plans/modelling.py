@@ -174,7 +174,7 @@ def ml_predict(cat: Catalog) -> DataFrame:
     """Batch scoring of requested functions: profile lookup with fallback,
     feature alignment, model by alias, online floor, confidence."""
     from wattline.operators.profiles import lookup_with_fallback, profile_fallback
-    prof = profile(cat)
+    prof = profile(cat, materialized=True)
     cols = list(NUMERIC_FEATURES)
     fb = profile_fallback(prof, cols, CATEGORICAL)
     req = lookup_with_fallback(lookup_requests(cat), prof, fb, [*cols, *CATEGORICAL])

@@ -26,8 +26,14 @@ def telemetry(cat: Catalog) -> DataFrame:
     return PR.compile_telemetry(cat.v_inv, code)
 
 
-def profile(cat: Catalog) -> DataFrame:
-    return PR.function_profile(telemetry(cat))
+def profile(cat: Catalog, materialized: bool = False) -> DataFrame:
+    """Function profile; ``materialized`` checkpoints it for plans that read
+    it several times (lookup + fallback medians + fallback modes)."""
+    p = PR.function_profile(telemetry(cat))
+    if materialized:
+        from wattline.session import materialize
+        p = materialize(p)
+    return p
 
 
 def lookup_requests(cat: Catalog) -> DataFrame:
@@ -111,13 +117,13 @@ def join_profile_modes(cat: Catalog) -> DataFrame:
 
 @register("agg_median_fallback")
 def agg_median_fallback(cat: Catalog) -> DataFrame:
-    f = PR.profile_fallback(profile(cat), FALLBACK_NUMERIC, CATEGORICAL)
+    f = PR.profile_fallback(profile(cat, materialized=True), FALLBACK_NUMERIC, CATEGORICAL)
     return f.select(*[r9(c) for c in FALLBACK_NUMERIC], *CATEGORICAL)
 
 
 @register("join_lookup_fallback")
 def join_lookup_fallback(cat: Catalog) -> DataFrame:
-    prof = profile(cat)
+    prof = profile(cat, materialized=True)
     fb = PR.profile_fallback(prof, FALLBACK_NUMERIC, CATEGORICAL)
     out = PR.lookup_with_fallback(lookup_requests(cat), prof, fb, [*FALLBACK_NUMERIC, *CATEGORICAL])
     return out.select("function_name", *[r9(c) for c in FALLBACK_NUMERIC], *CATEGORICAL, "is_fallback")
