@@ -15,9 +15,14 @@ def lines(text: Column) -> Column:
 
 def loc_count(text: Column, strip_comment_prefix: bool = True) -> Column:
     """Non-blank lines that do not start with ``#``.  ``strip_comment_prefix``
-    checks ``#`` after leading blanks; the gate script checks the raw line."""
-    comment = r"^\s*#" if strip_comment_prefix else r"^#"
-    return F.size(F.filter(lines(text), lambda x: ~x.rlike(r"^\s*$") & ~x.rlike(comment)))
+    checks ``#`` after leading blanks; the gate script checks the raw line.
+    One regular expression per line: ``^\\s*[^\\s#]`` holds exactly when the
+    line has a non-blank character and its first one is not ``#``."""
+    if strip_comment_prefix:
+        keep = lambda x: x.rlike(r"^\s*[^\s#]")
+    else:
+        keep = lambda x: x.rlike(r"^\s*\S") & ~x.startswith("#")
+    return F.size(F.filter(lines(text), keep))
 
 
 def sql_loc_count(col: str, strip_comment_prefix: bool = True) -> str:
