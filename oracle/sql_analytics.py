@@ -98,8 +98,8 @@ SELECT row_id, round(base_mwh, 9) AS base_mwh, round(predicted_mwh, 9) AS predic
   CASE WHEN diff >= 0 THEN 'higher' ELSE 'lower' END AS relationship, {_label('top_driver')} AS top_driver,
   {_label('top_code_driver')} AS top_code_driver FROM h""",
     "win_waterfall": f"""WITH {_BASE}
-SELECT row_id, feature, CAST(row_number() OVER w AS INTEGER) AS step, round(shap_value * 1000.0e0, 9) AS value_mwh,
-  round((base_wh + sum(shap_value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) * 1000.0e0, 9) AS cumulative_mwh
+SELECT row_id, feature, CAST(row_number() OVER w AS INTEGER) AS step, 0.0e0 + round(shap_value * 1000.0e0, 6) AS value_mwh,
+  round((base_wh + sum(shap_value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) * 1000.0e0, 6) AS cumulative_mwh
 FROM attr WINDOW w AS (PARTITION BY row_id ORDER BY abs(shap_value) DESC, feature)""",
     "topk_per_group_avg": """WITH li AS (SELECT l_returnflag || l_linestatus AS category, l_extendedprice AS score,
   row_number() OVER (PARTITION BY l_returnflag || l_linestatus ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rk FROM lineitem)

@@ -93,8 +93,8 @@ FROM j GROUP BY memory_mb, cold_start""",
     "agg_correlation": """WITH c AS (UNPIVOT (SELECT corr(memory_mb, actual_wh) AS memory_mb, corr(latency_ms, actual_wh) AS latency_ms,
   corr(cold_start, actual_wh) AS cold_start, corr(quantity, actual_wh) AS quantity, corr(discount, actual_wh) AS discount,
   corr(tax, actual_wh) AS tax FROM v_pred) ON memory_mb, latency_ms, cold_start, quantity, discount, tax INTO NAME feature VALUE corr)
-SELECT feature, round(corr, 9) AS corr, row_number() OVER (ORDER BY corr DESC, feature) AS rank_desc,
-  row_number() OVER (ORDER BY corr ASC, feature) AS rank_asc FROM c""",
+SELECT feature, round(corr, 9) AS corr, CAST(row_number() OVER (ORDER BY corr DESC, feature) AS INTEGER) AS rank_desc,
+  CAST(row_number() OVER (ORDER BY corr ASC, feature) AS INTEGER) AS rank_asc FROM c""",
     "agg_describe": """WITH v AS (SELECT CASE WHEN day <= 1995 THEN 'old' ELSE 'new' END AS dataset, latency_ms, CAST(memory_mb AS DOUBLE) AS memory_mb, actual_wh FROM v_pred),
 l AS (UNPIVOT v ON latency_ms, memory_mb, actual_wh INTO NAME "column" VALUE value)
 SELECT dataset, "column", count(value) AS count, min(value) AS min, max(value) AS max, round(avg(value), 9) AS mean,

@@ -139,9 +139,9 @@ SELECT function_name, len(r) > 0 AS is_low_confidence, array_to_string(r, '; ')
 SELECT doc_id, round(0.5e0 + cc * 0.15e0 + loc * 0.002e0, 6) AS gate_energy_wh,
   CASE WHEN 0.5e0 + cc * 0.15e0 + loc * 0.002e0 > 5.0 THEN 'FAIL' ELSE 'PASS' END AS gate_status FROM d""",
     "chk_missing_values": "SELECT column_name, missing_count FROM (" + " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, count_if({c} IS NULL) AS missing_count FROM v_fn_minutes"
+        f"SELECT '{c}' AS column_name, CAST(count_if({c} IS NULL) AS BIGINT) AS missing_count FROM v_fn_minutes"
         for c in ["hash_function", "trigger_type", "day", *_MONTHS]) + ") WHERE missing_count > 0",
     "chk_required_features": """WITH a AS (SELECT hash_function, trigger_type, day, list_filter([""" + ", ".join(
         f"CASE WHEN {m} IS NULL THEN '{m}' END" for m in _MONTHS) + """], lambda x: x IS NOT NULL) AS mm FROM v_fn_minutes)
-SELECT hash_function, trigger_type, day, array_to_string(mm, ',') AS missing, len(mm) AS n_missing FROM a WHERE len(mm) > 0""",
+SELECT hash_function, trigger_type, day, array_to_string(mm, ',') AS missing, CAST(len(mm) AS INTEGER) AS n_missing FROM a WHERE len(mm) > 0""",
 }

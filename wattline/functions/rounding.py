@@ -19,13 +19,13 @@ def _c(x) -> Column:
 def half_up(x, d: int = 0) -> Column:
     """Half away from zero (JavaScript-style toFixed / SQL round)."""
     s = float(10 ** d)
-    return F.round(_c(x) * s, 0) / s
+    return F.round(_c(x) * s, 0) / s + F.lit(0.0)     # + 0.0 turns -0.0 into 0.0
 
 
 def half_even(x, d: int = 0) -> Column:
     """Half to even (Python's round)."""
     s = float(10 ** d)
-    return F.bround(_c(x) * s, 0) / s
+    return F.bround(_c(x) * s, 0) / s + F.lit(0.0)
 
 
 def trunc(x) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.config import DEFAULT_MODEL, EnergyModel
+from wattline.functions import rounding as R
 from wattline.operators.quantiles import grouped_percentiles
 
 METRIC_COLS = ("r2", "mae", "rmse", "mape", "accuracy", "n")
@@ -41,7 +42,7 @@ def _finish(df: DataFrame, keys: Sequence[str], digits: int | None) -> DataFrame
 
     def fmt(c: Column, name: str) -> Column:
         c = F.coalesce(c, F.lit(0.0))
-        return (F.round(c, digits) if digits is not None else c).alias(name)
+        return (R.half_up(c, digits) if digits is not None else c).alias(name)
 
     return df.select(*keys, fmt(r2, "r2"), fmt(F.col("mae"), "mae"), fmt(F.col("rmse"), "rmse"),
                      fmt(F.col("mape"), "mape"), fmt(F.col("accuracy"), "accuracy"), n.alias("n"))
@@ -70,7 +71,8 @@ def metrics_by(df: DataFrame, group: Column | str, categories: Sequence, name: s
         rows = rows.where(F.col(name).isin(*lit_cats))
     agg = rows.groupBy(name).agg(*_metric_aggs(actual, pred))
     if keep_empty:
-        dim = df.sparkSession.createDataFrame([(c,) for c in cats], [name])
+        kt = rows.schema[name].dataType
+        dim = df.sparkSession.createDataFrame([(c,) for c in cats], [name]).select(F.col(name).cast(kt).alias(name))
         agg = F.broadcast(dim).join(agg, name, "left")
     return _finish(agg, [name], digits)
 

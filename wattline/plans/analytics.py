@@ -127,7 +127,9 @@ def agg_attribution_flow(cat: Catalog) -> DataFrame:
 @register("win_waterfall")
 def win_waterfall(cat: Catalog) -> DataFrame:
     w = A.waterfall(attr_with_base(cat), "shap_value", "base_wh")
-    return w.select("row_id", "feature", "step", r9("value_mwh"), r9("cumulative_mwh"))
+    # inputs are averages (last-bit noise between runs): report mWh at 6 digits
+    return w.select("row_id", "feature", "step", R.half_up("value_mwh", 6).alias("value_mwh"),
+                    R.half_up("cumulative_mwh", 6).alias("cumulative_mwh"))
 
 
 @register("topk_per_group_avg")
