@@ -2,9 +2,10 @@
 
 Spark ML has no MLP regressor, so each epoch broadcasts the weights, every
 task computes the loss gradient of its partition with numpy (mapInPandas,
-Arrow batches), and the driver sums one gradient vector per task and takes
-an Adam step.  Only weights (a few thousand numbers) move through the
-driver.  Inputs and target are standardised (population statistics).
+Arrow batches), the per-task gradients are summed on the executors (one
+aggregation by parameter index), and the driver receives that single summed
+vector and takes an Adam step.  Only weights and one gradient (a few
+thousand numbers) move through the driver, whatever the partition count.  Inputs and target are standardised (population statistics).
 """
 
 from __future__ import annotations
@@ -107,9 +108,14 @@ class DistributedMLP:
                     loss += ll
                 yield pd.DataFrame({"g": [g.tolist()], "loss": [loss]})
 
-            parts = data.mapInPandas(part_grad, "g array<double>, loss double").collect()
-            grad = np.sum([np.asarray(r["g"]) for r in parts], axis=0) / max(n, 1)
-            self.history.append(sum(r["loss"] for r in parts) / max(n, 1))
+            parts = data.mapInPandas(part_grad, "g array<double>, loss double")
+            summed = (parts.select(F.posexplode(F.array_append("g", F.col("loss"))).alias("i", "v"))
+                      .groupBy("i").agg(F.sum("v").alias("v")).collect())
+            total = np.zeros(len(theta) + 1)
+            for r in summed:
+                total[r["i"]] = r["v"]
+            grad = total[:-1] / max(n, 1)
+            self.history.append(float(total[-1]) / max(n, 1))
             m = b1 * m + (1 - b1) * grad
             v = b2 * v + (1 - b2) * grad * grad
             theta = theta - self.lr * (m / (1 - b1 ** epoch)) / (np.sqrt(v / (1 - b2 ** epoch)) + eps)

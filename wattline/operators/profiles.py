@@ -49,6 +49,42 @@ def text_code_metrics(docs: DataFrame, key: Column, text: str = "text") -> DataF
                     F.least(conds, F.lit(4)).cast("double").alias("max_nesting_depth"))
 
 
+def invocation_telemetry(inv: DataFrame) -> DataFrame:
+    """The telemetry columns that depend on the invocation only (no code
+    metrics): type, input size, memory, cold start, local / cloud figures,
+    derived ratios and targets."""
+    ftype = (F.when(F.lower("trigger_type").isin("queue", "event"), "io")
+             .when(F.lower("trigger_type") == "storage", "memory").otherwise("cpu"))
+    size = F.when(F.col("quantity") < 17, "Small").when(F.col("quantity") < 34, "Medium").otherwise("Large")
+    d = P.derived_ratios(inv.withColumn("memory_config_mb", F.col("memory_mb").cast("double")),
+                         "memory_config_mb", "latency_ms")
+    return d.select(
+        "inv_id", "function_name", ftype.alias("function_type"), size.alias("input_size"),
+        "memory_config_mb", F.col("cold_start").cast("int").alias("cold_start"),
+        "local_duration_ms", (15.0 + (F.col("tax") - 0.04) * 50.0).alias("local_cpu_percent"),
+        "local_memory_mb", "local_energy_wh", F.col("latency_ms").alias("aws_duration_ms"),
+        (F.col("memory_config_mb") * (0.5 + F.col("discount") * 5.0)).alias("aws_memory_used_mb"),
+        F.col("cold_start").cast("double").alias("aws_cold_start"),
+        E.energy_wh("memory_config_mb", "latency_ms").alias("aws_energy_estimate_wh"),
+        "duration_ratio", "memory_efficiency", "energy_target_wh", "calibration_ratio")
+
+
+def profile_from_parts(inv: DataFrame, code: DataFrame, numeric: Sequence[str] = TELEMETRY_NUMERIC,
+                       categorical: Sequence[str] = ("function_type", "input_size")) -> DataFrame:
+    """The function profile without building the per-invocation telemetry:
+    invocation columns are aggregated per function first (partial
+    aggregation, so only one row per function and task is shuffled), then
+    the per-function code metrics are joined at function granularity (the
+    mean of a per-function constant is the constant itself)."""
+    tel = invocation_telemetry(inv)
+    inv_cols = [c for c in numeric if c not in CODE_METRICS]
+    agg = tel.groupBy("function_name").agg(*[F.avg(c).alias(c) for c in inv_cols],
+                                           *[F.mode(c, deterministic=True).alias(c) for c in categorical])
+    j = P.fill_defaults(agg.join(code, "function_name", "left"), DEFAULT_CODE_METRICS)
+    return j.select("function_name", *[F.col(c).cast("double").alias(c) if c in CODE_METRICS else F.col(c)
+                                       for c in numeric], *categorical)
+
+
 def compile_telemetry(inv: DataFrame, code: DataFrame) -> DataFrame:
     """Invocations + code metrics + derived columns -> the 23-column
     telemetry table (plus ``inv_id``).  Code metrics missing for a function

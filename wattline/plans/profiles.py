@@ -29,7 +29,8 @@ def telemetry(cat: Catalog) -> DataFrame:
 def profile(cat: Catalog, materialized: bool = False) -> DataFrame:
     """Function profile; ``materialized`` checkpoints it for plans that read
     it several times (lookup + fallback medians + fallback modes)."""
-    p = PR.function_profile(telemetry(cat))
+    key = F.concat(F.lit("fn-"), F.col("doc_id").cast("string"))
+    p = PR.profile_from_parts(cat.v_inv, PR.text_code_metrics(cat.documents, key))
     if materialized:
         from wattline.session import materialize
         p = materialize(p)
@@ -99,9 +100,7 @@ def agg_metric_rollup(cat: Catalog) -> DataFrame:
 
 @register("agg_function_profile")
 def agg_function_profile(cat: Catalog) -> DataFrame:
-    t = telemetry(cat)
-    m = t.groupBy("function_name").agg(*[F.avg(c).alias(c) for c in PR.TELEMETRY_NUMERIC])
-    return m.select("function_name", *[r9(c) for c in PR.TELEMETRY_NUMERIC])
+    return profile(cat).select("function_name", *[r9(c) for c in PR.TELEMETRY_NUMERIC])
 
 
 @register("agg_mode")
