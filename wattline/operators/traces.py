@@ -100,10 +100,11 @@ def region_function_summary(inv: DataFrame, function="function_name", latency="l
 
 def value_share(df: DataFrame, col: str, top: int | None = None) -> DataFrame:
     """Count and percentage per category, largest first (ties by value).
-    The total is a one-row aggregate joined by broadcast (size 1: bounded);
+    The total is the sum of the counts, a one-row aggregate joined by
+    broadcast (size 1: bounded);
     ``top`` uses ordered take (per-task top-k, then a merge)."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    total = counts.agg(F.sum("n").alias("_total"))      # from the counts: no second pass over df
     out = (counts.crossJoin(F.broadcast(total))
            .select(col, "n", (F.col("n") * 100.0 / F.col("_total")).alias("pct")))
     if top is not None:
