@@ -20,7 +20,7 @@ from wattline.operators import metrics as M
 from wattline.operators import projections as P
 from wattline.operators import traces as T
 from wattline.operators.sampling import hash_split, seeded_sample
-from wattline.plans.profiles import FALLBACK_NUMERIC, CATEGORICAL, lookup_requests, profile, telemetry
+from wattline.plans.profiles import CATEGORICAL, lookup_requests, profile, telemetry
 from wattline.plans.registry import register
 from wattline.plans.traces import MINUTE_COLS
 from wattline.session import checkpoint_dir
@@ -356,8 +356,6 @@ def sink_model(cat: Catalog) -> DataFrame:
     return TR.predict(loaded, test_split(cat)).select("inv_id", F.col("prediction").alias("predicted_wh"))
 
 
-_ = (FALLBACK_NUMERIC,)
-
 
 @register("join_predictions_back")
 def join_predictions_back(cat: Catalog) -> DataFrame:
