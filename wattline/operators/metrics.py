@@ -151,3 +151,17 @@ def describe(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Data
                                 F.count("value").alias("count"))
     med = grouped_percentiles(long, k, "value", {"median": 0.5})
     return base.join(med, k, "left")
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every pair of columns in one aggregation pass
+    (k * (k - 1) / 2 partial aggregates), as a long (a, b, corr) table with
+    both orientations and a unit diagonal."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    one = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    arr = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}__{b}").alias("corr"))
+                    for a, b in pairs]
+                  + [F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"{a}__{b}").alias("corr"))
+                     for a, b in pairs]
+                  + [F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.lit(1.0).alias("corr")) for c in columns])
+    return one.select(F.explode(arr).alias("p")).select("p.a", "p.b", "p.corr")

@@ -160,3 +160,9 @@ def agg_scatter_points(cat: Catalog) -> DataFrame:
     pts = seeded_sample(cat.v_pred, "inv_id", 60, seed=42).select("inv_id", "actual_wh", "predicted_wh")
     m = M.regression_metrics(pts, digits=None).select(R.half_up("r2", 4).alias("r2"), R.half_up("mae", 4).alias("mae"))
     return pts.crossJoin(F.broadcast(m))
+
+
+@register("agg_correlation_matrix")
+def agg_correlation_matrix(cat: Catalog) -> DataFrame:
+    m = M.correlation_matrix(cat.v_pred, [*CORR_FEATURES, "actual_wh"])
+    return m.select("a", "b", r9("corr"))
