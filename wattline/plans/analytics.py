@@ -213,12 +213,16 @@ def win_grid_blur(cat: Catalog) -> DataFrame:
 
 @register("agg_grid_sums")
 def agg_grid_sums(cat: Catalog) -> DataFrame:
-    g = grid(cat)
-    rows = g.groupBy(F.lit("row").alias("dim"), F.col("r").alias("idx")).agg(F.sum("v").alias("total"))
-    cols = g.groupBy(F.lit("col").alias("dim"), F.col("c").alias("idx")).agg(F.sum("v").alias("total"))
-    allv = g.agg(F.lit("all").alias("dim"), F.lit(-1).alias("idx"), F.sum("v").alias("total"),
-                 F.min("v").alias("min_v"), F.max("v").alias("max_v"))
-    return rows.unionByName(cols, allowMissingColumns=True).unionByName(allv, allowMissingColumns=True)
+    """Row sums, column sums and the overall sum / min / max in one
+    aggregation: a cube over (r, c) keeping the (r), (c) and () levels."""
+    c = grid(cat).cube("r", "c").agg(F.sum("v").alias("total"), F.min("v").alias("_mn"), F.max("v").alias("_mx"),
+                                     F.grouping_id().alias("gid"))
+    c = c.where(F.col("gid") > 0)
+    dim = F.when(F.col("gid") == 1, "row").when(F.col("gid") == 2, "col").otherwise("all")
+    idx = F.when(F.col("gid") == 1, F.col("r")).when(F.col("gid") == 2, F.col("c")).otherwise(F.lit(-1))
+    is_all = F.col("gid") == 3
+    return c.select(dim.alias("dim"), idx.alias("idx"), "total", F.when(is_all, F.col("_mn")).alias("min_v"),
+                    F.when(is_all, F.col("_mx")).alias("max_v"))
 
 
 @register("set_union_all")

@@ -71,8 +71,9 @@ def fn_string_basic(cat: Catalog) -> DataFrame:
 
 @register("fn_reverse_palindrome")
 def fn_reverse_palindrome(cat: Catalog) -> DataFrame:
-    words = cat.documents.select(F.explode(SC.ascii_words(F.col("text"))).alias("word"))
-    return words.where(SC.is_palindrome(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # filter inside each document's word array, explode only the palindromes
+    pal = F.filter(SC.ascii_words(F.col("text")), lambda w: SC.is_palindrome(w))
+    return cat.documents.select(F.explode(pal).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("fn_charclass_score")
@@ -164,15 +165,25 @@ def ml_naive_bayes_score(cat: Catalog) -> DataFrame:
     """Gaussian naive Bayes: per class and feature the mean and variance
     (+1 smoothing) from the labelled vectors; each vector scored with
     log(0.33) + sum of log(max(1e-9, density)); the best class wins.
-    Parameters are classes x dimensions rows (bounded by the model), joined
-    by broadcast; scores are summed per (vector, class)."""
-    e = cat.embeddings.select("vec_id", "label", F.posexplode("embedding").alias("idx", "x")) \
-        .withColumn("x", F.col("x").cast("double"))
-    params = e.groupBy("label", "idx").agg(F.avg("x").alias("mu"), (F.var_pop("x") + 1.0).alias("var"))
-    j = e.select("vec_id", "idx", "x").join(F.broadcast(params.withColumnRenamed("label", "cls")), "idx")
-    dens = (1.0 / F.sqrt(2.0 * math.pi * F.col("var"))) * F.exp(-((F.col("x") - F.col("mu")) ** 2) / (2.0 * F.col("var")))
-    s = j.groupBy("vec_id", "cls").agg((F.lit(math.log(0.33)) + F.sum(F.log(F.greatest(F.lit(1e-9), dens))))
-                                       .alias("score"))
-    best = s.groupBy("vec_id").agg(F.max_by("cls", F.struct("score", F.negative("cls"))).alias("predicted"),
-                                   F.max("score").alias("best_score"))
-    return best.select("vec_id", "predicted", r6("best_score"))
+
+    Fitting aggregates (class, dimension) pairs with partial aggregation.
+    The fitted model -- classes x dimensions numbers, bounded by the model,
+    not the data -- is folded into one row and broadcast; every vector is
+    then scored in place with array functions: no shuffle of the vectors."""
+    e = cat.embeddings.select("label", F.posexplode("embedding").alias("idx", "x"))
+    params = e.groupBy("label", "idx").agg(F.avg(F.col("x").cast("double")).alias("mu"),
+                                           (F.var_pop(F.col("x").cast("double")) + 1.0).alias("var"))
+    per_class = params.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("idx", "mu", "var"))).alias("p"))
+    model = per_class.agg(F.collect_list(F.struct(F.col("label").alias("cls"), "p")).alias("classes"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
+
+    def class_score(c):
+        terms = F.zip_with(x, c["p"], lambda xv, q: F.log(F.greatest(
+            F.lit(1e-9), (1.0 / F.sqrt(2.0 * math.pi * q["var"])) * F.exp(-((xv - q["mu"]) ** 2) / (2.0 * q["var"])))))
+        return F.struct(c["cls"].alias("cls"),
+                        (F.lit(math.log(0.33)) + F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)).alias("score"))
+
+    scored = cat.embeddings.crossJoin(F.broadcast(model)).select(
+        "vec_id", F.transform("classes", class_score).alias("s"))
+    best = F.array_max(F.transform("s", lambda z: F.struct(z["score"].alias("score"), (-z["cls"]).alias("neg_cls"))))
+    return scored.select("vec_id", (-best["neg_cls"]).alias("predicted"), R.half_up(best["score"], 6).alias("best_score"))
