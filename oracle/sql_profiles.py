@@ -121,4 +121,6 @@ SELECT function_name, round_even(energy_target_wh, 4) AS energy_wh_per_invocatio
   round_even(10000.0e0 * 24 * 30 * energy_target_wh / 1000.0e0 * 0.708e0, 4) AS monthly_carbon_kg,
   round_even(10000.0e0 * 24 * 30 * ((memory_config_mb / 1024) * (aws_duration_ms / 1000) * 0.001392e0 + 16.70e0 / 1000000), 2) AS monthly_cost_inr
 FROM prof""",
+    "src_telemetry_csv": f"WITH {TELEMETRY} SELECT function_name, function_type, input_size, " + ", ".join(
+        c for c in TELEMETRY_NUMERIC) + " FROM telemetry",
 }

@@ -144,4 +144,10 @@ SELECT doc_id, round(0.5e0 + cc * 0.15e0 + loc * 0.002e0, 6) AS gate_energy_wh,
     "chk_required_features": """WITH a AS (SELECT hash_function, trigger_type, day, list_filter([""" + ", ".join(
         f"CASE WHEN {m} IS NULL THEN '{m}' END" for m in _MONTHS) + """], lambda x: x IS NOT NULL) AS mm FROM v_fn_minutes)
 SELECT hash_function, trigger_type, day, array_to_string(mm, ',') AS missing, CAST(len(mm) AS INTEGER) AS n_missing FROM a WHERE len(mm) > 0""",
+    "sink_append_result": f"""WITH {_PROFILE},
+m AS (SELECT function_name, round_even(energy_wh, 4) AS energy_wh_per_invocation, 10000.0e0 * 24 * 30 AS monthly_invocations,
+  round_even(10000.0e0 * 24 * 30 * energy_wh / 1000.0e0 * 0.708e0, 4) AS monthly_carbon_kg,
+  round_even(10000.0e0 * 24 * 30 * ((memory_mb / 1024) * (duration_ms / 1000) * 0.001392e0 + 16.70e0 / 1000000), 2) AS monthly_cost_inr
+  FROM fprof)
+SELECT *, 'run-1' AS run FROM m UNION ALL SELECT *, 'run-2' AS run FROM m""",
 }

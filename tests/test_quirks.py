@@ -102,3 +102,20 @@ def test_stratified_sample_quota_null_stratum_and_size(spark):
     assert sum(1 for r in out if r.s == "tiny") == 1      # max(1, round(0.01 * 10)) = 1
     again = stratified_sample(df.repartition(5), "id", "s", 10, seed=1, materialize_input=False).collect()
     assert sorted(r.id for r in out) == sorted(r.id for r in again)
+
+
+def test_value_shares_sum_to_100(spark):
+    df = spark.createDataFrame([(x,) for x in "aabbbcdddd"], "t string")
+    rows = T.value_share(df, "t").collect()
+    assert abs(sum(r.pct for r in rows) - 100.0) < 1e-9
+    top = T.value_share(df, "t", top=2).collect()
+    assert [r.t for r in top] == ["d", "b"]
+
+
+def test_exactly_k_matches_count_per_key(spark):
+    from wattline.operators.sets import in_exactly_k
+    rows = [("s1", k) for k in range(10)] + [("s2", k) for k in range(5, 15)] + [("s3", k) for k in range(8, 12)]
+    df = spark.createDataFrame(rows, "s string, k int")
+    got = sorted(r.k for r in in_exactly_k(df, "s", "k", ["s1", "s2", "s3"], 2).collect())
+    want = sorted(r.k for r in df.distinct().groupBy("k").count().where("count = 2").collect())
+    assert got == want
