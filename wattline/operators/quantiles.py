@@ -11,10 +11,13 @@ Groups are therefore split by size (a partial-aggregate count per group):
   inside its (partition, group) piece, the piece sizes give each piece its
   offset in the group, and only the rows at the wanted ranks are joined back.
 
-Hot keys number at most ``rows / hot_rows``; the key list is joined to the
-rows with a plain join that AQE turns into a broadcast when its run-time
-size is small (a checked size), a shuffle join otherwise.  Both paths give
-the linear interpolation of ``percentile_cont`` at ``pos = (n - 1) * p``.
+Hot keys number at most ``rows / hot_rows``.  They are found first (one
+counting job; at most ``MAX_BROADCAST_HOT`` keys reach the driver, a
+checked size): with no hot group the plan is the plain one-shuffle
+aggregation; with a few, the key list is a broadcast literal table (proven
+bound) that splits the rows without shuffling them; beyond the bound the
+split is an ordinary join.  Both paths give the linear interpolation of
+``percentile_cont`` at ``pos = (n - 1) * p``.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from wattline.session import shuffle_partitions
 
 
 HOT_GROUP_ROWS = 1_000_000
+MAX_BROADCAST_HOT = 10_000
 
 
 def grouped_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
@@ -42,12 +46,20 @@ def grouped_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[
     if not keys:
         pct = ranked_percentiles(base.select("_v"), [], probs, parts)
         return base.agg(*extra).crossJoin(pct) if extra else pct
-    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > hot_rows).select(*keys)
-    cold = base.join(hot, list(keys), "left_anti")
     plist = list(probs.values())
-    cold_res = (cold.groupBy(*keys).agg(*extra, F.percentile("_v", plist).alias("_ps"))
+
+    def builtin(rows: DataFrame) -> DataFrame:
+        return (rows.groupBy(*keys).agg(*extra, F.percentile("_v", plist).alias("_ps"))
                 .select("*", *[F.col("_ps")[i].alias(name) for i, name in enumerate(probs)]).drop("_ps"))
+
+    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > hot_rows).select(*keys)
+    found = hot.limit(MAX_BROADCAST_HOT + 1).collect()
+    if not found:
+        return builtin(base)
+    if len(found) <= MAX_BROADCAST_HOT:
+        hot = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
+    cold_res = builtin(base.join(hot, list(keys), "left_anti"))
     hot_base = base.join(hot, list(keys), "left_semi")
     hot_res = ranked_percentiles(hot_base.select(*keys, "_v"), keys, probs, parts)
     if extra:
