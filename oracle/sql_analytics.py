@@ -1,6 +1,5 @@
 """Oracle SQL: windows, top-k, sets, attributions."""
 
-from oracle.sql_metrics import metric_aggs  # noqa: F401  (shared helpers live there)
 from oracle.sql_traces import MASTER
 from wattline.functions.labels import FEATURE_LABELS
 
