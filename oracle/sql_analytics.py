@@ -3,7 +3,9 @@
 from oracle.sql_traces import MASTER
 from wattline.functions.labels import FEATURE_LABELS
 
-_FPROF = """fprof AS (SELECT function_name, avg(actual_wh) AS energy_wh FROM v_pred GROUP BY function_name)"""
+_FPROF = """fprof AS (SELECT function_name, avg(actual_wh) AS energy_wh,
+  (avg(memory_mb) / 1024) * (avg(latency_ms) / 1000) * 0.001392e0 + 16.70e0 / 1000000 AS cost_per_call
+  FROM v_pred GROUP BY function_name)"""
 
 _STRAT = f"""{MASTER},
 rows_ AS (SELECT hash_function, trigger_type, md5(CAST(hash_function AS VARCHAR) || '|42') AS h FROM master),
@@ -52,10 +54,10 @@ _MEMBERS = """m AS (SELECT DISTINCT l_returnflag || l_linestatus AS set_id, l_pa
   WHERE l_returnflag || l_linestatus IN ('AF', 'NF', 'NO', 'RF') AND l_partkey IS NOT NULL)"""
 
 _SPIKE = f"""{_FPROF},
-hh AS (SELECT function_name, energy_wh, unnest(range(1, 73)) AS hour FROM fprof),
+hh AS (SELECT function_name, energy_wh, cost_per_call, unnest(range(1, 73)) AS hour FROM fprof),
 s1 AS (SELECT *, hour / 72.0e0 AS p FROM hh),
 s2 AS (SELECT *, CASE WHEN p < 0.1 THEN 0.6e0 + (p / 0.1e0) * 0.4e0 WHEN p < 0.85 THEN 1.0e0 ELSE 1.0e0 - (p - 0.85e0) * 1.5e0 END AS shape FROM s1),
-sp AS (SELECT function_name, CAST(hour AS INT) AS hour, energy_wh, CAST(trunc(200000.0e0 * shape * 1.0e0) AS BIGINT) AS req FROM s2)"""
+sp AS (SELECT function_name, CAST(hour AS INT) AS hour, energy_wh, cost_per_call, CAST(trunc(200000.0e0 * shape * 1.0e0) AS BIGINT) AS req FROM s2)"""
 
 SQL = {
     "win_stratified_sample": f"WITH {_STRAT} SELECT hash_function, trigger_type FROM strat",
@@ -113,9 +115,9 @@ UNION ALL SELECT 'bottom', feature, round(corr, 9) FROM r WHERE ra <= 3""",
     "win_spike_projection": f"""WITH {_SPIKE}
 SELECT function_name, hour, req AS predicted_req_per_hour, round_even(req * energy_wh / 1000.0e0, 4) AS predicted_energy_kwh FROM sp""",
     "win_spike_totals": f"""WITH {_SPIKE},
-t AS (SELECT function_name, CAST(sum(req) AS BIGINT) AS total_requests, first(energy_wh) AS e FROM sp GROUP BY function_name)
+t AS (SELECT function_name, CAST(sum(req) AS BIGINT) AS total_requests, first(energy_wh) AS e, first(cost_per_call) AS c FROM sp GROUP BY function_name)
 SELECT function_name, total_requests, 200000.0e0 AS peak_req_per_hour, round_even(total_requests * e / 1000.0e0, 3) AS energy_kwh,
-  round_even(total_requests * e / 1000.0e0 * 0.708e0, 3) AS carbon_kg FROM t""",
+  round_even(total_requests * e / 1000.0e0 * 0.708e0, 3) AS carbon_kg, round_even(total_requests * c, 2) AS cost_inr FROM t""",
     "win_adjacent_pairs": """WITH d AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS a FROM orders WHERE o_custkey IS NOT NULL)
 SELECT count(*) AS pairs, CAST(sum(x.a + y.a) AS BIGINT) AS pair_sum FROM d x JOIN d y ON y.a = x.a + 2
 WHERE NOT EXISTS (SELECT 1 FROM d z WHERE z.a = x.a + 1)""",

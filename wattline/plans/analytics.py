@@ -163,8 +163,10 @@ def win_spike_projection(cat: Catalog) -> DataFrame:
 
 @register("win_spike_totals")
 def win_spike_totals(cat: Catalog) -> DataFrame:
-    h = W.spike_hours(function_energy_profile(cat).select("function_name", "energy_wh"))
-    return W.spike_totals(h)
+    from wattline.functions import energy as E
+    prof = function_energy_profile(cat).select(
+        "function_name", "energy_wh", E.cost_per_call_inr("memory_mb", "duration_ms").alias("cost_per_call"))
+    return W.spike_totals(W.spike_hours(prof), cost_per_call="cost_per_call")
 
 
 @register("win_adjacent_pairs")

@@ -172,15 +172,23 @@ def ml_importance(cat: Catalog) -> DataFrame:
 @register("ml_predict")
 def ml_predict(cat: Catalog) -> DataFrame:
     """Batch scoring of requested functions: profile lookup with fallback,
-    feature alignment, model by alias, online floor, confidence."""
+    feature alignment, model chosen by each request's alias (xgboost / rf /
+    nn, spread over the requests by a hash of the name), online floor and
+    confidence.  Each model scores only its own requests."""
     from wattline.operators.profiles import lookup_with_fallback, profile_fallback
     prof = profile(cat, materialized=True)
     cols = list(NUMERIC_FEATURES)
     fb = profile_fallback(prof, cols, CATEGORICAL)
     req = lookup_with_fallback(lookup_requests(cat), prof, fb, [*cols, *CATEGORICAL])
+    alias = F.element_at(F.array(F.lit("xgboost"), F.lit("rf"), F.lit("nn")),
+                         (F.pmod(F.xxhash64("function_name"), F.lit(3)) + 1).cast("int"))
+    req = req.withColumn("model", P.normalise_model_alias(alias))
     feats = FE.telemetry_features(req.withColumn("energy_target_wh", F.lit(None).cast("double")),
-                                  keep=("function_name", "is_fallback"))
-    scored = scorer(cat, "gbt", floor=0.0001)(feats).withColumn("model", F.lit("xgboost"))
+                                  keep=("function_name", "is_fallback", "model"))
+    kinds = {"xgboost": "gbt", "random_forest": "rf", "neural_network": "mlp"}
+    parts = [scorer(cat, kind, floor=0.0001)(feats.where(F.col("model") == name))
+             .select("function_name", "model", "is_fallback", "prediction") for name, kind in kinds.items()]
+    scored = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return P.confidence(scored).select("function_name", "model", "is_fallback", "prediction", "confidence")
 
 
