@@ -42,4 +42,8 @@ SELECT hash_function, """ + ", ".join(f"round(CAST({_XP.get(f, '0.0e0')} AS DOUB
     "join_predictions_back": f"""WITH p AS (SELECT inv_id, predicted_wh, {_U} AS u FROM v_pred)
 SELECT p.inv_id, p.predicted_wh, i.function_name, i.trigger_type, i.memory_mb, i.latency_ms
 FROM p JOIN v_inv i ON p.inv_id = i.inv_id WHERE p.u >= 0.8""",
+    "ml_split_stratified": f"""WITH {TELEMETRY}, u AS (SELECT inv_id, function_type, {_U} AS u FROM telemetry),
+t AS (SELECT function_type, quantile_cont(u, 0.64) AS t0, quantile_cont(u, 0.8) AS t1 FROM u WHERE function_type IS NOT NULL GROUP BY function_type)
+SELECT inv_id, u.function_type, CASE WHEN u <= coalesce(t0, 0.64) THEN 'train' WHEN u <= coalesce(t1, 0.8) THEN 'validation'
+  ELSE 'test' END AS split FROM u LEFT JOIN t ON u.function_type = t.function_type""",
 }

@@ -119,3 +119,13 @@ def test_exactly_k_matches_count_per_key(spark):
     got = sorted(r.k for r in in_exactly_k(df, "s", "k", ["s1", "s2", "s3"], 2).collect())
     want = sorted(r.k for r in df.distinct().groupBy("k").count().where("count = 2").collect())
     assert got == want
+
+
+def test_stratified_split_exact_per_stratum(spark):
+    from wattline.operators.sampling import stratified_hash_split
+    rows = [(f"r{i}", "a" if i % 10 < 7 else "b") for i in range(2000)]
+    out = stratified_hash_split(spark.createDataFrame(rows, "id string, s string"), "id", "s",
+                                {"train": 0.64, "validation": 0.16, "test": 0.2})
+    for r in out.groupBy("s").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "train").alias("tr"),
+                                  F.count_if(F.col("split") != "test").alias("trv")).collect():
+        assert abs(r.tr - 0.64 * r.n) <= 1 and abs(r.trv - 0.8 * r.n) <= 1

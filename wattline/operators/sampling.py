@@ -70,9 +70,38 @@ def stratified_sample(df: DataFrame, id_col: str, stratum: str, n: int, seed: in
 def hash_split(df: DataFrame, id_col: str, fractions: dict[str, float], seed: int = 42) -> DataFrame:
     """Assign each row to a named split by a uniform number drawn from its
     seed hash: stable across runs and partitionings, no shuffle."""
-    u = F.conv(F.substring(seed_hash(id_col, seed), 1, 12), 16, 10).cast("double") / float(16 ** 12)
+    u = hash_uniform(id_col, seed)
     expr, acc = None, 0.0
     for name, f in fractions.items():
         acc += f
         expr = F.when(u < acc, F.lit(name)) if expr is None else expr.when(u < acc, F.lit(name))
     return df.withColumn("split", expr.otherwise(F.lit(list(fractions)[-1])))
+
+
+def hash_uniform(id_col: str, seed: int) -> Column:
+    return F.conv(F.substring(seed_hash(id_col, seed), 1, 12), 16, 10).cast("double") / float(16 ** 12)
+
+
+def stratified_hash_split(df: DataFrame, id_col: str, stratum: str, fractions: dict[str, float],
+                          seed: int = 42) -> DataFrame:
+    """Split with the given proportions inside every stratum: each row's
+    hash uniform is compared with its stratum's exact quantiles of those
+    uniforms at the cumulative fractions (skew-safe grouped percentiles, one
+    row per stratum), so every stratum is cut at its own ranks.  Rows with
+    a null stratum use the global cut points."""
+    from wattline.operators.quantiles import grouped_percentiles
+    names = list(fractions)
+    cum, acc = [], 0.0
+    for n in names[:-1]:
+        acc += fractions[n]
+        cum.append(acc)
+    d = df.withColumn("_u", hash_uniform(id_col, seed))
+    th = grouped_percentiles(d.where(F.col(stratum).isNotNull()), [stratum], "_u",
+                             {f"_t{i}": c for i, c in enumerate(cum)})
+    j = d.join(th, stratum, "left")
+    expr = None
+    for i, n in enumerate(names[:-1]):
+        t = F.coalesce(F.col(f"_t{i}"), F.lit(cum[i]))
+        cond = F.col("_u") <= t
+        expr = F.when(cond, F.lit(n)) if expr is None else expr.when(cond, F.lit(n))
+    return j.withColumn("split", expr.otherwise(F.lit(names[-1]))).drop("_u", *[f"_t{i}" for i in range(len(cum))])

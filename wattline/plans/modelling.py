@@ -373,3 +373,10 @@ def join_predictions_back(cat: Catalog) -> DataFrame:
         .where(F.col("split") == "test").drop("split")
     attrs = cat.v_inv.select("inv_id", "function_name", "trigger_type", "memory_mb", "latency_ms")
     return preds.join(attrs, "inv_id", "inner")
+
+
+@register("ml_split_stratified")
+def ml_split_stratified(cat: Catalog) -> DataFrame:
+    """80/20 then 80/20 of train, exact within each function type."""
+    from wattline.operators.sampling import stratified_hash_split
+    return stratified_hash_split(telemetry(cat).select("inv_id", "function_type"), "inv_id", "function_type", SPLITS)
