@@ -30,6 +30,7 @@ def register(name: str):
             return fn(Catalog(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__
+        run.__module__ = fn.__module__
         _REGISTRY[name] = run
         return fn
     return deco
