@@ -31,6 +31,7 @@ SPLITS = {"train": 0.64, "validation": 0.16, "test": 0.20}
 MEAN_FEATURES = ("cold_start", "lines_of_code", "num_loops", "num_conditionals", "num_function_calls",
                  "cyclomatic_complexity", "max_nesting_depth", "local_cpu_percent", "memory_efficiency")
 _MODELS: dict = {}
+_PREPARED: dict = {}
 
 
 def r9(c: str):
@@ -47,6 +48,17 @@ def split_features(cat: Catalog) -> DataFrame:
     return hash_split(f, "inv_id", SPLITS).withColumn("is_validation", F.col("split") == "validation")
 
 
+def prepared(cat: Catalog) -> DataFrame:
+    """The split feature table, checkpointed once per session and data
+    folder: model fits, test scoring, explained / background rows and the
+    LIME scales all read it instead of rebuilding the telemetry."""
+    from wattline.session import materialize
+    key = (cat.spark.sparkContext.applicationId, cat.sf_dir)
+    if key not in _PREPARED:
+        _PREPARED[key] = materialize(split_features(cat))
+    return _PREPARED[key]
+
+
 @register("ml_one_hot")
 def ml_one_hot(cat: Catalog) -> DataFrame:
     t = telemetry(cat)
@@ -110,12 +122,11 @@ def ml_cross_platform_features(cat: Catalog) -> DataFrame:
 
 # ------------------------------------------------------------------ models
 def model(cat: Catalog, kind: str):
-    """Fitted once per session and data folder; the training rows are
-    checkpointed first so every pass of the learner reads them directly."""
-    from wattline.session import materialize
+    """Fitted once per session and data folder on the checkpointed split
+    table, so every pass of the learner reads it directly."""
     key = (cat.spark.sparkContext.applicationId, cat.sf_dir, kind)
     if key not in _MODELS:
-        data = materialize(split_features(cat).where(F.col("split") != "test"))
+        data = prepared(cat).where(F.col("split") != "test")
         if kind == "mlp":
             _MODELS[key] = DistributedMLP(list(NUMERIC_FEATURES) + ["function_type_io", "function_type_memory",
                                                                    "input_size_Medium", "input_size_Small"],
@@ -135,7 +146,7 @@ def scorer(cat: Catalog, kind: str, floor: float | None = 0.0):
 
 
 def test_split(cat: Catalog) -> DataFrame:
-    return split_features(cat).where(F.col("split") == "test")
+    return prepared(cat).where(F.col("split") == "test")
 
 
 def test_predictions(cat: Catalog, kind: str) -> DataFrame:
@@ -219,7 +230,7 @@ def explained_rows(cat: Catalog, n: int = 10) -> DataFrame:
 
 
 def background_rows(cat: Catalog, n: int = 20) -> DataFrame:
-    return seeded_sample(split_features(cat).where(F.col("split") == "train"), "inv_id", n, seed=7)
+    return seeded_sample(prepared(cat).where(F.col("split") == "train"), "inv_id", n, seed=7)
 
 
 @register("ml_shap")
@@ -230,7 +241,7 @@ def ml_shap(cat: Catalog) -> DataFrame:
 
 @register("ml_lime")
 def ml_lime(cat: Catalog) -> DataFrame:
-    train = split_features(cat).where(F.col("split") == "train")
+    train = prepared(cat).where(F.col("split") == "train")
     row = train.agg(*[F.stddev_pop(f).alias(f"s_{f}") for f in NUMERIC_FEATURES],
                     *[F.avg(f).alias(f"m_{f}") for f in NUMERIC_FEATURES]).first()
     std = {f: FE.usable_std(float(row[f"s_{f}"] or 0.0), float(row[f"m_{f}"] or 0.0)) for f in NUMERIC_FEATURES}
