@@ -125,13 +125,16 @@ SELECT function_name, round(predicted_wh * 2 - 0.15e0, 9) AS prediction FROM fpr
   count(*) / 40 AS quantity, avg(duration_ms) / 20 AS prediction FROM v_live GROUP BY function_name),
 b AS (SELECT min(CAST(memory_mb AS DOUBLE)) AS mn1, max(CAST(memory_mb AS DOUBLE)) AS mx1, min(latency_ms) AS mn2, max(latency_ms) AS mx2,
   min(quantity) AS mn3, max(quantity) AS mx3 FROM v_inv),
+bb AS (SELECT *, CASE WHEN mx1 - mn1 > 0 THEN (mx1 - mn1) * 0.5 ELSE 1.0 END AS b1, CASE WHEN mx2 - mn2 > 0 THEN (mx2 - mn2) * 0.5 ELSE 1.0 END AS b2,
+  CASE WHEN mx3 - mn3 > 0 THEN (mx3 - mn3) * 0.5 ELSE 1.0 END AS b3 FROM b),
 t AS (SELECT max(actual_wh) AS target_max FROM v_pred),
 f AS (SELECT live.function_name, list_filter([
-  CASE WHEN memory_mb < mn1 - (CASE WHEN mx1 - mn1 > 0 THEN (mx1 - mn1) * 0.5 ELSE 1.0 END) OR memory_mb > mx1 + (CASE WHEN mx1 - mn1 > 0 THEN (mx1 - mn1) * 0.5 ELSE 1.0 END) THEN 'memory_mb' END,
-  CASE WHEN latency_ms < mn2 - (CASE WHEN mx2 - mn2 > 0 THEN (mx2 - mn2) * 0.5 ELSE 1.0 END) OR latency_ms > mx2 + (CASE WHEN mx2 - mn2 > 0 THEN (mx2 - mn2) * 0.5 ELSE 1.0 END) THEN 'latency_ms' END,
-  CASE WHEN quantity < mn3 - (CASE WHEN mx3 - mn3 > 0 THEN (mx3 - mn3) * 0.5 ELSE 1.0 END) OR quantity > mx3 + (CASE WHEN mx3 - mn3 > 0 THEN (mx3 - mn3) * 0.5 ELSE 1.0 END) THEN 'quantity' END,
-  CASE WHEN prediction <= 0 OR prediction > target_max * 2.0 THEN 'prediction' END], lambda x: x IS NOT NULL) AS r
-  FROM live, b, t)
+  CASE WHEN memory_mb < mn1 - b1 OR memory_mb > mx1 + b1 THEN printf('memory_mb (%.1f) is out of typical range [%.1f, %.1f]', memory_mb, mn1 - b1, mx1 + b1) END,
+  CASE WHEN latency_ms < mn2 - b2 OR latency_ms > mx2 + b2 THEN printf('latency_ms (%.1f) is out of typical range [%.1f, %.1f]', latency_ms, mn2 - b2, mx2 + b2) END,
+  CASE WHEN quantity < mn3 - b3 OR quantity > mx3 + b3 THEN printf('quantity (%.1f) is out of typical range [%.1f, %.1f]', quantity, mn3 - b3, mx3 + b3) END,
+  CASE WHEN prediction <= 0 OR prediction > target_max * 2.0 THEN printf('Predicted energy (%.4f Wh) is out of typical target bounds.', prediction) END],
+  lambda x: x IS NOT NULL) AS r
+  FROM live, bb, t)
 SELECT function_name, len(r) > 0 AS is_low_confidence, array_to_string(r, '; ') AS reasons,
   CASE WHEN len(r) > 0 THEN 0.5e0 ELSE 0.9998e0 END AS confidence FROM f""",
     "flt_energy_gate": f"""WITH d AS (SELECT doc_id, CAST({sql_loc_count('text')} AS DOUBLE) AS loc,

@@ -36,7 +36,8 @@ def out_of_range(requests: DataFrame, train: DataFrame, features: Sequence[str],
                  target_max: DataFrame, high: float = 0.9998, low: float = 0.5) -> DataFrame:
     """Flag rows with a feature outside ``[min - b, max + b]`` of the training
     data (``b`` = half the range, 1.0 when the range is 0), or a prediction
-    <= 0 or above twice the largest training target.  The bounds are one
+    <= 0 or above twice the largest training target; each reason is a
+    readable sentence with the value and the range (one decimal).  The bounds are one
     row, so the cross join with a broadcast of it is a map-side projection."""
     bounds = training_bounds(train, features).crossJoin(target_max)
     j = requests.crossJoin(F.broadcast(bounds))
@@ -45,9 +46,12 @@ def out_of_range(requests: DataFrame, train: DataFrame, features: Sequence[str],
         lo, hi = F.col(f"_min_{f}"), F.col(f"_max_{f}")
         rng = hi - lo
         buf = F.when(rng > 0, rng * 0.5).otherwise(F.lit(1.0))
-        flags.append(F.when((F.col(f) < lo - buf) | (F.col(f) > hi + buf), F.lit(f)))
+        v = F.col(f).cast("double")
+        text = F.format_string(f"{f} (%.1f) is out of typical range [%.1f, %.1f]", v, lo - buf, hi + buf)
+        flags.append(F.when((v < lo - buf) | (v > hi + buf), text))
     p = F.col(pred)
-    flags.append(F.when((p <= 0) | (p > F.col("target_max") * 2.0), F.lit("prediction")))
+    flags.append(F.when((p <= 0) | (p > F.col("target_max") * 2.0),
+                        F.format_string("Predicted energy (%.4f Wh) is out of typical target bounds.", p)))
     reasons = F.filter(F.array(*flags), lambda x: x.isNotNull())
     return (j.withColumn("_r", reasons)
             .withColumns({"is_low_confidence": F.size("_r") > 0,
