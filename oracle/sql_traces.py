@@ -57,4 +57,6 @@ HAVING count(*) >= 10 AND avg(memory_mb) <= 3072 AND avg(latency_ms) <= 300000""
 SELECT trigger_type, count(*) AS n, round(count(*) * 100.0e0 / (SELECT count(*) FROM master), 9) AS pct FROM master GROUP BY trigger_type""",
     "agg_value_share_top": """SELECT runtime, count(*) AS n, round(count(*) * 100.0e0 / (SELECT count(*) FROM v_inv), 9) AS pct
 FROM v_inv GROUP BY runtime ORDER BY n DESC, runtime LIMIT 3""",
+    "src_trace_glob": """SELECT hash_app AS "HashApp", hash_function AS "HashFunction", round(average, 9) AS "Average",
+  cnt AS "Count", day FROM v_fn_day""",
 }

@@ -308,7 +308,8 @@ def src_trace_glob(cat: Catalog) -> DataFrame:
                          StructField("Minimum", DoubleType()), StructField("Maximum", DoubleType()),
                          StructField("percentile_Average_50", DoubleType()),
                          StructField("percentile_Average_99", DoubleType())])
-    return IO.read_trace_glob(cat.spark, f"{path}/day=*/*.csv", schema, ["HashApp", "HashFunction", "Average", "Count"])
+    d = IO.read_trace_glob(cat.spark, f"{path}/day=*/*.csv", schema, ["HashApp", "HashFunction", "Average", "Count"])
+    return d.select("HashApp", "HashFunction", R.half_up("Average", 9).alias("Average"), "Count", "day")
 
 
 def summary(cat: Catalog) -> DataFrame:
