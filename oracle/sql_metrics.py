@@ -112,4 +112,10 @@ m AS (SELECT count(*) AS n, sum((actual_wh - predicted_wh) ^ 2) AS sse, var_pop(
   avg(abs(actual_wh - predicted_wh)) AS mae FROM pts)
 SELECT pts.*, round(CASE WHEN n < 2 THEN 0.0 WHEN sst = 0 THEN 0.0 ELSE 1 - sse / sst END, 4) AS r2, round(mae, 4) AS mae FROM pts, m""",
     "agg_correlation_matrix": 'WITH c AS (SELECT corr(memory_mb, latency_ms) AS "memory_mb__latency_ms", corr(memory_mb, cold_start) AS "memory_mb__cold_start", corr(memory_mb, quantity) AS "memory_mb__quantity", corr(memory_mb, discount) AS "memory_mb__discount", corr(memory_mb, tax) AS "memory_mb__tax", corr(memory_mb, actual_wh) AS "memory_mb__actual_wh", corr(latency_ms, cold_start) AS "latency_ms__cold_start", corr(latency_ms, quantity) AS "latency_ms__quantity", corr(latency_ms, discount) AS "latency_ms__discount", corr(latency_ms, tax) AS "latency_ms__tax", corr(latency_ms, actual_wh) AS "latency_ms__actual_wh", corr(cold_start, quantity) AS "cold_start__quantity", corr(cold_start, discount) AS "cold_start__discount", corr(cold_start, tax) AS "cold_start__tax", corr(cold_start, actual_wh) AS "cold_start__actual_wh", corr(quantity, discount) AS "quantity__discount", corr(quantity, tax) AS "quantity__tax", corr(quantity, actual_wh) AS "quantity__actual_wh", corr(discount, tax) AS "discount__tax", corr(discount, actual_wh) AS "discount__actual_wh", corr(tax, actual_wh) AS "tax__actual_wh" FROM v_pred) SELECT \'memory_mb\' AS a, \'latency_ms\' AS b, round("memory_mb__latency_ms", 9) AS corr FROM c UNION ALL SELECT \'latency_ms\', \'memory_mb\', round("memory_mb__latency_ms", 9) FROM c UNION ALL SELECT \'memory_mb\' AS a, \'cold_start\' AS b, round("memory_mb__cold_start", 9) AS corr FROM c UNION ALL SELECT \'cold_start\', \'memory_mb\', round("memory_mb__cold_start", 9) FROM c UNION ALL SELECT \'memory_mb\' AS a, \'quantity\' AS b, round("memory_mb__quantity", 9) AS corr FROM c UNION ALL SELECT \'quantity\', \'memory_mb\', round("memory_mb__quantity", 9) FROM c UNION ALL SELECT \'memory_mb\' AS a, \'discount\' AS b, round("memory_mb__discount", 9) AS corr FROM c UNION ALL SELECT \'discount\', \'memory_mb\', round("memory_mb__discount", 9) FROM c UNION ALL SELECT \'memory_mb\' AS a, \'tax\' AS b, round("memory_mb__tax", 9) AS corr FROM c UNION ALL SELECT \'tax\', \'memory_mb\', round("memory_mb__tax", 9) FROM c UNION ALL SELECT \'memory_mb\' AS a, \'actual_wh\' AS b, round("memory_mb__actual_wh", 9) AS corr FROM c UNION ALL SELECT \'actual_wh\', \'memory_mb\', round("memory_mb__actual_wh", 9) FROM c UNION ALL SELECT \'latency_ms\' AS a, \'cold_start\' AS b, round("latency_ms__cold_start", 9) AS corr FROM c UNION ALL SELECT \'cold_start\', \'latency_ms\', round("latency_ms__cold_start", 9) FROM c UNION ALL SELECT \'latency_ms\' AS a, \'quantity\' AS b, round("latency_ms__quantity", 9) AS corr FROM c UNION ALL SELECT \'quantity\', \'latency_ms\', round("latency_ms__quantity", 9) FROM c UNION ALL SELECT \'latency_ms\' AS a, \'discount\' AS b, round("latency_ms__discount", 9) AS corr FROM c UNION ALL SELECT \'discount\', \'latency_ms\', round("latency_ms__discount", 9) FROM c UNION ALL SELECT \'latency_ms\' AS a, \'tax\' AS b, round("latency_ms__tax", 9) AS corr FROM c UNION ALL SELECT \'tax\', \'latency_ms\', round("latency_ms__tax", 9) FROM c UNION ALL SELECT \'latency_ms\' AS a, \'actual_wh\' AS b, round("latency_ms__actual_wh", 9) AS corr FROM c UNION ALL SELECT \'actual_wh\', \'latency_ms\', round("latency_ms__actual_wh", 9) FROM c UNION ALL SELECT \'cold_start\' AS a, \'quantity\' AS b, round("cold_start__quantity", 9) AS corr FROM c UNION ALL SELECT \'quantity\', \'cold_start\', round("cold_start__quantity", 9) FROM c UNION ALL SELECT \'cold_start\' AS a, \'discount\' AS b, round("cold_start__discount", 9) AS corr FROM c UNION ALL SELECT \'discount\', \'cold_start\', round("cold_start__discount", 9) FROM c UNION ALL SELECT \'cold_start\' AS a, \'tax\' AS b, round("cold_start__tax", 9) AS corr FROM c UNION ALL SELECT \'tax\', \'cold_start\', round("cold_start__tax", 9) FROM c UNION ALL SELECT \'cold_start\' AS a, \'actual_wh\' AS b, round("cold_start__actual_wh", 9) AS corr FROM c UNION ALL SELECT \'actual_wh\', \'cold_start\', round("cold_start__actual_wh", 9) FROM c UNION ALL SELECT \'quantity\' AS a, \'discount\' AS b, round("quantity__discount", 9) AS corr FROM c UNION ALL SELECT \'discount\', \'quantity\', round("quantity__discount", 9) FROM c UNION ALL SELECT \'quantity\' AS a, \'tax\' AS b, round("quantity__tax", 9) AS corr FROM c UNION ALL SELECT \'tax\', \'quantity\', round("quantity__tax", 9) FROM c UNION ALL SELECT \'quantity\' AS a, \'actual_wh\' AS b, round("quantity__actual_wh", 9) AS corr FROM c UNION ALL SELECT \'actual_wh\', \'quantity\', round("quantity__actual_wh", 9) FROM c UNION ALL SELECT \'discount\' AS a, \'tax\' AS b, round("discount__tax", 9) AS corr FROM c UNION ALL SELECT \'tax\', \'discount\', round("discount__tax", 9) FROM c UNION ALL SELECT \'discount\' AS a, \'actual_wh\' AS b, round("discount__actual_wh", 9) AS corr FROM c UNION ALL SELECT \'actual_wh\', \'discount\', round("discount__actual_wh", 9) FROM c UNION ALL SELECT \'tax\' AS a, \'actual_wh\' AS b, round("tax__actual_wh", 9) AS corr FROM c UNION ALL SELECT \'actual_wh\', \'tax\', round("tax__actual_wh", 9) FROM c UNION ALL SELECT \'memory_mb\', \'memory_mb\', 1.0e0 FROM c UNION ALL SELECT \'latency_ms\', \'latency_ms\', 1.0e0 FROM c UNION ALL SELECT \'cold_start\', \'cold_start\', 1.0e0 FROM c UNION ALL SELECT \'quantity\', \'quantity\', 1.0e0 FROM c UNION ALL SELECT \'discount\', \'discount\', 1.0e0 FROM c UNION ALL SELECT \'tax\', \'tax\', 1.0e0 FROM c UNION ALL SELECT \'actual_wh\', \'actual_wh\', 1.0e0 FROM c',
+    "sink_detail_csv": f"""WITH {AZURE.replace("FROM master)", "FROM master), az AS (SELECT m.hash_function, m.trigger_type, m.avg_duration_ms, m.memory_allocated_mb, m.invocation_count, a.actual_wh, a.predicted_wh FROM master m JOIN azure a USING (hash_function))")}
+SELECT hash_function, trigger_type, round(avg_duration_ms, 9) AS avg_duration_ms, round(memory_allocated_mb, 9) AS memory_allocated_mb,
+  invocation_count, round(actual_wh, 9) AS actual_wh, round(predicted_wh, 9) AS predicted_wh,
+  round(abs(actual_wh - predicted_wh), 9) AS absolute_error_wh,
+  round(abs(actual_wh - predicted_wh) / greatest(actual_wh, 1e-9) * 100.0e0, 9) AS percentage_error,
+  round(greatest(0.0e0, 100.0e0 - abs(actual_wh - predicted_wh) / greatest(actual_wh, 1e-9) * 100.0e0), 9) AS accuracy_pct FROM az""",
 }

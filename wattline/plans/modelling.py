@@ -353,7 +353,8 @@ def sink_detail_csv(cat: Catalog) -> DataFrame:
                                                 "absolute_error_wh", "percentage_error", "accuracy_pct")
     path = scratch(cat, "detail_csv")
     IO.write_csv(d, path)
-    return cat.spark.read.schema(d.schema).option("header", True).csv(path)
+    back = cat.spark.read.schema(d.schema).option("header", True).csv(path)
+    return back.select(*[r9(c) if t == "double" else F.col(c) for c, t in back.dtypes])
 
 
 @register("sink_append_result")
