@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import chat_format, exact_dedup, fingerprint, warc
+from wattline.llm import chat_format, exact_dedup, fingerprint, packing, warc
 from wattline.llm.common import table
 
 
@@ -28,6 +28,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = warc.write_archive(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
     return warc.read_archive(folder, index, payloads=False).drop("url", "payload")
@@ -42,6 +51,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_warc": op9_warc,
     "op10_fingerprint": op10_fingerprint,
 }
