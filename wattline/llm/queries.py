@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import chat_format, exact_dedup, fingerprint, langid, packing, secret_scan, toxicity, warc
+from wattline.llm import chat_format, exact_dedup, fingerprint, langid, packing, secret_scan, subword, toxicity, warc
 from wattline.llm.common import held_out, table
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -46,13 +51,17 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text; each is decoded again and compared."""
+    vocabulary = subword.load(tokenizer_path("piece_bpe_32k.model"))
+    read = F.xxhash64(F.replace(F.coalesce("text", F.lit("")), F.lit(subword.SPACE), F.lit(" ")))
+    coded = subword.encode(table(spark, sf_dir, "documents").withColumn("_read", read), vocabulary, keep=("_read",))
+    out = subword.decode(coded, vocabulary, "_decoded")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (F.xxhash64("_decoded") == F.col("_read")).alias("round_trip"))
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-    return public_tokenizers.path(name)
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op5_chat_format": op5_chat_format,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_warc": op9_warc,
