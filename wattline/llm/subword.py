@@ -438,10 +438,10 @@ class Decoder:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, ids), and the columns to keep."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Vocabulary(**shared.value))
         for batch in batches:
             texts = batch.column("_text")
             for a, b in _pieces(texts):
@@ -467,10 +467,10 @@ def _pieces(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
 
 def decode(coded: DataFrame, vocabulary: Vocabulary, out: str = "text") -> DataFrame:
     """Adds the text of ``ids`` (null ids are none)."""
-    shared = coded.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = coded.sparkSession.sparkContext.broadcast(vars(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(shared.value)
+        decoder = Decoder(Vocabulary(**shared.value))
         for batch in batches:
             ids = batch.column("ids")
             flat, off = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
