@@ -17,7 +17,10 @@ from wattline.session import checkpoint_dir
 KEY_BITS = 24
 
 #: Bytes of text that one numpy step works on inside a task.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+
+#: A group with more than this part of all rows is joined by broadcast.
+HOT_PARTS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,25 +69,37 @@ def maybe_in(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
             .join(F.broadcast(bitmap), "_word").where(hit).drop("_word", "_bits"))
 
 
+def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(utf-8 bytes, row offsets) of a string column; nulls are empty."""
+    if col.null_count:
+        col = col.fill_null("")
+    col = col.cast(pa.large_string()) if not pa.types.is_large_string(col.type) else col
+    off = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
+    data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[off[0]:off[-1]], off - off[0]
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut Arrow batches into pieces of about CHUNK_BYTES of text (at least one
-    row each).  Yields (rows, utf-8 bytes, row offsets); null texts are empty."""
+    row each).  Yields (rows, utf-8 bytes, row offsets)."""
     for batch in batches:
-        lens = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(lens)
+        data, off = text_bytes(batch.column(text))
         start = 0
         while start < batch.num_rows:
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, side="right")))
-            rows = batch.slice(start, stop - start)
-            col = rows.column(text)
-            part = lens[start:stop]
-            offsets = np.concatenate(([0], np.cumsum(part)))
-            data = b"".join(x for x in col.cast(pa.binary()).to_pylist() if x is not None) if part.sum() else b""
-            yield rows, np.frombuffer(data, np.uint8), offsets
+            stop = max(start + 1, int(np.searchsorted(off, off[start] + CHUNK_BYTES, side="right")) - 1)
+            yield batch.slice(start, stop - start), data[off[start]:off[stop]], off[start:stop + 1] - off[start]
             start = stop
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Left join with one row per group.  ``size`` is a group's number of rows.
+    At most HOT_PARTS groups hold 1/HOT_PARTS of all rows or more: these are
+    broadcast, so no task gets more than such a share of one key."""
+    hot = groups.where(F.col(size) >= F.lit(max(2, rows.count() // HOT_PARTS + 1)))
+    return (rows.join(F.broadcast(hot), keys)
+            .unionByName(rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(groups, keys, "left")))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit integers (splitmix)."""
     x = x.astype(np.uint64, copy=True)
