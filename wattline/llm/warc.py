@@ -191,9 +191,8 @@ def write_archive(pages: DataFrame, folder: str | None = None, min_revisit_bytes
         if bundle:
             bundle.close()
 
-    rows = _with_revisits(pages, min_revisit_bytes)
-    # spread by id, so neither a hot payload nor a hot host makes one large file
-    rows = rows.repartition(F.xxhash64("page_id", "url")).sortWithinPartitions("page_id")
+    # the join deals payloads by id, so neither a hot payload nor a hot host makes one large file
+    rows = _with_revisits(pages, min_revisit_bytes).sortWithinPartitions("page_id")
     return folder, save(rows.mapInArrow(write, INDEX_SCHEMA), "warc-index")
 
 
