@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import key_bitmap, maybe_in, save
+from wattline.llm.common import join_groups, key_bitmap, maybe_in, save
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -39,8 +39,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = save(rows.select("_id", digest(F.col("_norm")).alias("_digest"),
                             F.unhex(F.sha2("_norm", 256)).alias("_sha")), "dedup")
     repeated = slim.groupBy("_digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_digest")
-    ids = slim.join(repeated, "_digest", "left_semi").select("_id")
-    # null ids hash to a slot of their own, so their rows are read again too
+    # a bitmap instead of joins: a hot hash stays in the tasks that read it,
+    # and a row too many does no harm, as the grouping below is exact
+    ids = maybe_in(slim, "_digest", key_bitmap(repeated, "_digest")).select("_id")
     again = maybe_in(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", key_bitmap(ids, "_id"))
     exact = (again.select("_id", normalised(F.col("_text")).alias("_norm"))
              .select("_id", "_norm", digest(F.col("_norm")).alias("_digest"))
@@ -52,7 +53,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
              .where("group_size > 1")
              .withColumn("keep_id", F.when(F.col("texts") == 1, F.col("keep_id"))
                          .otherwise(F.raise_error(F.lit("different texts share both hashes")).cast("long"))))
-    out = slim.join(named, ["_digest", "_sha"], "left")
+    named = save(named.drop("texts"), "dedup-groups")
+    out = join_groups(slim, named, ["_digest", "_sha"], "group_size")
     keep = F.coalesce(F.col("keep_id"), F.col("_id"))
     return out.select(F.col("_id").alias(id_col), keep.alias("keep_id"),
                       F.coalesce(F.col("group_size"), F.lit(1)).cast("long").alias("group_size"),
