@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/wattline-llm/{name}-{uuid.uuid4().hex}"
@@ -69,6 +75,13 @@ def maybe_in(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
             .join(F.broadcast(bitmap), "_word").where(hit).drop("_word", "_bits"))
 
 
+def split_by(df: DataFrame, key: str, bitmap: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in the bitmap, all other rows), unshuffled."""
+    hit = F.expr(f"coalesce((_bits & shiftleft(1L, cast(pmod(xxhash64(`{key}`), 64L) as int))) != 0, false)")
+    both = df.withColumn("_word", F.shiftright(_slot(F.col(key)), 6)).join(F.broadcast(bitmap), "_word", "left").withColumn("_hit", hit).drop("_word", "_bits")
+    return both.where("_hit").drop("_hit"), both.where("not _hit").drop("_hit")
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(utf-8 bytes, row offsets) of a string column; nulls are empty."""
     if col.null_count:

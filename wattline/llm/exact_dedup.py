@@ -13,10 +13,10 @@ and loses against any non-null id; rows repeated under one id count in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import join_groups, key_bitmap, maybe_in, save
+from wattline.llm.common import join_groups, key_bitmap, maybe_in, save, split_by
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -63,9 +63,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns.  Dropped ids go
-    through a key bitmap first, so only rows that may go are shuffled."""
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(normalised(F.col(text_col)), 256)
-    key = docs.withColumn("_sha_own", sha)
-    return key.join(gone, key[id_col].eqNullSafe(gone["_gone"]) & (key["_sha_own"] == gone["_sha"]), "left_anti").drop("_sha_own")
+    """One row of each group of equal texts, with all its columns.  Only rows
+    that may go are shuffled; of rows repeated under the id that stays, the
+    first by its other columns stays."""
+    groups = save(exact_groups(docs, id_col, text_col).where("group_size > 1")
+                  .select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha"), "kept"), "dedup-kept")
+    gone = groups.where("not kept").select("_gone", "_sha").distinct()
+    repeated = groups.where("kept").groupBy("_gone", "_sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_gone", "_sha")
+    keyed = docs.withColumn("_own", F.col(id_col))
+    may, clear = split_by(keyed, "_own", key_bitmap(gone.union(repeated).select(F.col("_gone").alias("_own")), "_own"))
+    may = may.withColumn("_own_sha", F.sha2(normalised(F.col(text_col)), 256))
+    may = may.join(gone, may["_own"].eqNullSafe(gone["_gone"]) & (may["_own_sha"] == gone["_sha"]), "left_anti")
+    first = F.row_number().over(Window.partitionBy("_own", "_own_sha").orderBy(*[F.col(f"`{c}`") for c in docs.columns]))
+    may = may.withColumn("_nth", first).where("_nth = 1")
+    return may.select(docs.columns).unionByName(clear.select(docs.columns))

@@ -125,8 +125,10 @@ def fit(docs: DataFrame) -> Model | None:
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
     ids = own.select("doc_id", "lang")
     top = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    # a language's share of hashes that holds four samples on average goes to the ranking, not all its rows
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * 4 * SAMPLE / F.col("n")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = ids.withColumn("_r", rank).where(F.col("_r") <= SAMPLE).join(F.broadcast(top.select("lang")), "lang").select("doc_id", "lang")
+    ids = ids.join(F.broadcast(top), "lang").where(part).withColumn("_r", rank).where(F.col("_r") <= SAMPLE).select("doc_id", "lang")
     # at most SAMPLE * MAX_LANGUAGES ids: a proven bound
     sample = own.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).where(F.col("text").rlike(r"\p{L}"))
     sample = sample.select("lang", "text").repartition("lang")

@@ -8,12 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.llm import chat_format, exact_dedup, fingerprint, langid, ngram_join, packing, secret_scan, subword, toxicity, warc
-from wattline.llm.common import held_out, table
-
-
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-    return public_tokenizers.path(name)
+from wattline.llm.common import held_out, table, tokenizer_path
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,8 +179,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
            .select("doc_id", (F.col("toxic") != 0).alias("toxic")).distinct())
     seen = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(seen.values())
+    # the share of hashes that holds four samples of a class on average goes to the ranking, not all rows
+    part = F.lit(float(1 << 30)) * 4 * F.when(F.col("toxic"), MAX_TOXIC / max(1, seen.get(True, 0))).otherwise(MAX_ORDINARY / max(1, seen.get(False, 0)))
     rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = own.withColumn("_r", rank).where(F.col("_r") <= F.when(F.col("toxic"), MAX_TOXIC).otherwise(MAX_ORDINARY))
+    ids = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part).withColumn("_r", rank).where(F.col("_r") <= F.when(F.col("toxic"), MAX_TOXIC).otherwise(MAX_ORDINARY))
     # at most MAX_TOXIC + MAX_ORDINARY ids: a proven bound
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["text"])
     chars = F.sum(F.length("text")).over(Window.orderBy("_r", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
