@@ -82,6 +82,12 @@ def split_by(df: DataFrame, key: str, bitmap: DataFrame) -> tuple[DataFrame, Dat
     return both.where("_hit").drop("_hit"), both.where("not _hit").drop("_hit")
 
 
+def whole_rows(df: DataFrame, *cols: tuple[Column, str]) -> DataFrame:
+    """Named working columns, and the row itself as ``_row``: column names of
+    the input can't clash with working columns."""
+    return df.select(*[c.alias(name) for c, name in cols], F.struct("*").alias("_row"))
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(utf-8 bytes, row offsets) of a string column; nulls are empty."""
     if col.null_count:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import join_groups, key_bitmap, maybe_in, save, split_by
+from wattline.llm.common import join_groups, key_bitmap, maybe_in, save, split_by, whole_rows
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -70,10 +70,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                   .select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha"), "kept"), "dedup-kept")
     gone = groups.where("not kept").select("_gone", "_sha").distinct()
     repeated = groups.where("kept").groupBy("_gone", "_sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_gone", "_sha")
-    keyed = docs.withColumn("_own", F.col(id_col))
-    may, clear = split_by(keyed, "_own", key_bitmap(gone.union(repeated).select(F.col("_gone").alias("_own")), "_own"))
-    may = may.withColumn("_own_sha", F.sha2(normalised(F.col(text_col)), 256))
+    rows = whole_rows(docs, (F.col(id_col), "_own"), (F.col(text_col), "_own_text"))
+    may, clear = split_by(rows, "_own", key_bitmap(gone.union(repeated).select(F.col("_gone").alias("_own")), "_own"))
+    may = may.withColumn("_own_sha", F.sha2(normalised(F.col("_own_text")), 256)).drop("_own_text")
     may = may.join(gone, may["_own"].eqNullSafe(gone["_gone"]) & (may["_own_sha"] == gone["_sha"]), "left_anti")
-    first = F.row_number().over(Window.partitionBy("_own", "_own_sha").orderBy(*[F.col(f"`{c}`") for c in docs.columns]))
+    first = F.row_number().over(Window.partitionBy("_own", "_own_sha").orderBy("_row"))
     may = may.withColumn("_nth", first).where("_nth = 1")
-    return may.select(docs.columns).unionByName(clear.select(docs.columns))
+    return may.select("_row").unionByName(clear.select("_row")).select("_row.*")

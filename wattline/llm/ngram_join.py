@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import drop_saved, join_groups, key_bitmap, maybe_in, mix64, save, split_by, text_bytes, text_chunks
+from wattline.llm.common import drop_saved, join_groups, key_bitmap, maybe_in, mix64, save, split_by, text_bytes, text_chunks, whole_rows
 from wattline.llm.components import components as connected
 
 #: Counters of the shingle sketch (one byte each when broadcast: 4 MB).
@@ -496,5 +496,5 @@ def keep_first(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """The document with the smallest id of each component, with all columns.
     Rows with a null id stay.  Only rows that may go are shuffled."""
     gone = save(components(docs.select("doc_id", "text"), rule).where("doc_id != component_id").select("doc_id").distinct(), "near-copies")
-    may, clear = split_by(docs, "doc_id", key_bitmap(gone, "doc_id"))
-    return may.join(gone, "doc_id", "left_anti").select(docs.columns).unionByName(clear.select(docs.columns))
+    may, clear = split_by(whole_rows(docs, (F.col("doc_id").cast("long"), "doc_id")), "doc_id", key_bitmap(gone, "doc_id"))
+    return may.join(gone, "doc_id", "left_anti").select("_row").unionByName(clear.select("_row")).select("_row.*")
