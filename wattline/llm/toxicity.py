@@ -163,7 +163,7 @@ def fit_rows(toxic: list[str], ordinary: list[str], share: float) -> Model:
     for size in TOXIC_SIZES:
         dist = Distance(toxic_dict := _dictionary(passages, size), plain)
         x = np.array([dist.features(t) for t in test])
-        centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+        centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 0.3)     # a feature that never varies must not decide
         z = np.c_[(x - centre) / scale, np.ones(len(x))]
         beta = _logistic(z, y, w)
         f1, cut = _best_f1(z @ beta, y, w)
