@@ -8,17 +8,18 @@ _FPROF = """fprof AS (SELECT function_name, avg(actual_wh) AS energy_wh,
   FROM v_pred GROUP BY function_name)"""
 
 _STRAT = f"""{MASTER},
-rows_ AS (SELECT hash_function, trigger_type, md5(CAST(hash_function AS VARCHAR) || '|42') AS h FROM master),
+rows_ AS (SELECT hash_function, hash_app, trigger_type, hash_function || '|' || hash_app AS id,
+  md5(hash_function || '|' || hash_app || '|42') AS h FROM master),
 tot AS (SELECT count(*) AS total FROM rows_),
 cnt AS (SELECT trigger_type, count(*) AS c FROM rows_ WHERE trigger_type IS NOT NULL GROUP BY trigger_type),
-q AS (SELECT trigger_type, least(greatest(1, CAST(round_even(c / total * 500, 0) AS BIGINT)), c) AS quota FROM cnt, tot),
-rk AS (SELECT r.*, row_number() OVER (PARTITION BY trigger_type ORDER BY h, hash_function) AS rk FROM rows_ r WHERE trigger_type IS NOT NULL),
-drawn AS (SELECT rk.hash_function, rk.trigger_type, rk.h FROM rk JOIN q USING (trigger_type) WHERE rk <= quota),
+q AS (SELECT trigger_type, least(greatest(1, CAST(round_even(c / total * 5000, 0) AS BIGINT)), c) AS quota FROM cnt, tot),
+rk AS (SELECT r.*, row_number() OVER (PARTITION BY trigger_type ORDER BY h, id) AS rk FROM rows_ r WHERE trigger_type IS NOT NULL),
+drawn AS (SELECT rk.* FROM rk JOIN q USING (trigger_type) WHERE rk <= quota),
 nd AS (SELECT count(*) AS nd FROM drawn),
-kept AS (SELECT hash_function, trigger_type FROM (SELECT *, row_number() OVER (ORDER BY h, hash_function) AS g FROM drawn) WHERE g <= 500),
-rest AS (SELECT * FROM rows_ WHERE hash_function NOT IN (SELECT hash_function FROM drawn)),
-fill AS (SELECT hash_function, trigger_type FROM (SELECT *, row_number() OVER (ORDER BY h, hash_function) AS g FROM rest), nd WHERE g <= 500 - nd),
-strat AS (SELECT * FROM kept UNION ALL SELECT * FROM fill)"""
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY h, id) AS g FROM drawn) WHERE g <= 5000),
+rest AS (SELECT * FROM rows_ WHERE id NOT IN (SELECT id FROM drawn)),
+fill AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY h, id) AS g FROM rest), nd WHERE g <= 5000 - nd),
+strat AS (SELECT hash_function, hash_app, trigger_type FROM kept UNION ALL SELECT hash_function, hash_app, trigger_type FROM fill)"""
 
 _IMP = """simp AS (SELECT feature, avg(abs(shap_value)) AS importance FROM v_attr GROUP BY feature),
 srank AS (SELECT feature, importance, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank,
@@ -27,7 +28,7 @@ limp AS (SELECT feature, avg(abs(lime_weight)) AS importance FROM v_attr GROUP B
 lrank AS (SELECT feature, importance, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM limp)"""
 
 _ALIGNED = """aligned AS (SELECT a.row_id, a.feature, a.shap_value, coalesce(b.lime_weight, 0.0e0) AS lime_weight FROM v_attr a
-  LEFT JOIN (SELECT row_id, feature, lime_weight FROM v_attr WHERE abs(lime_weight) > 0.002) b ON a.row_id = b.row_id AND a.feature = b.feature)"""
+  LEFT JOIN v_attr b ON a.row_id = b.row_id AND a.feature = b.feature)"""
 
 _BASE = """base AS (SELECT avg(actual_wh) AS base_wh FROM v_pred),
 attr AS (SELECT v.*, base_wh FROM v_attr v, base),
@@ -50,8 +51,7 @@ _FLAGSETS = """sa AS (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AN
 sn AS (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N' AND l_partkey IS NOT NULL),
 sr AS (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_partkey IS NOT NULL)"""
 
-_MEMBERS = """m AS (SELECT DISTINCT l_returnflag || l_linestatus AS set_id, l_partkey FROM lineitem
-  WHERE l_returnflag || l_linestatus IN ('AF', 'NF', 'NO', 'RF') AND l_partkey IS NOT NULL)"""
+_MEMBERS = """m AS (SELECT DISTINCT l_returnflag || l_linestatus AS set_id, l_partkey FROM lineitem WHERE l_partkey IS NOT NULL)"""
 
 _SPIKE = f"""{_FPROF},
 hh AS (SELECT function_name, energy_wh, cost_per_call, unnest(range(1, 73)) AS hour FROM fprof),
@@ -60,9 +60,9 @@ s2 AS (SELECT *, CASE WHEN p < 0.1 THEN 0.6e0 + (p / 0.1e0) * 0.4e0 WHEN p < 0.8
 sp AS (SELECT function_name, CAST(hour AS INT) AS hour, energy_wh, cost_per_call, CAST(trunc(200000.0e0 * shape * 1.0e0) AS BIGINT) AS req FROM s2)"""
 
 SQL = {
-    "win_stratified_sample": f"WITH {_STRAT} SELECT hash_function, trigger_type FROM strat",
-    "join_anti_remaining": f"""WITH {_STRAT} SELECT hash_function, trigger_type FROM master
-WHERE hash_function NOT IN (SELECT hash_function FROM strat)""",
+    "win_stratified_sample": f"WITH {_STRAT} SELECT hash_function, hash_app, trigger_type FROM strat",
+    "join_anti_remaining": f"""WITH {_STRAT} SELECT hash_function, hash_app, trigger_type FROM master
+WHERE hash_function || '|' || hash_app NOT IN (SELECT hash_function || '|' || hash_app FROM strat)""",
     "win_seeded_sample": """SELECT inv_id, actual_wh, predicted_wh FROM v_pred ORDER BY md5(CAST(inv_id AS VARCHAR) || '|42'), inv_id LIMIT 100""",
     "win_last_n": """SELECT function_name, event_id, ts, duration_ms, rank FROM (SELECT *, CAST(row_number() OVER
   (PARTITION BY function_name ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank FROM v_live) WHERE rank <= 12""",
@@ -109,8 +109,8 @@ SELECT category, round(avg(score), 6) AS avg_top_score, count(*) AS n FROM li WH
   corr(cold_start, actual_wh) AS cold_start, corr(quantity, actual_wh) AS quantity, corr(discount, actual_wh) AS discount,
   corr(tax, actual_wh) AS tax FROM v_pred) ON memory_mb, latency_ms, cold_start, quantity, discount, tax INTO NAME feature VALUE corr),
 r AS (SELECT feature, corr, row_number() OVER (ORDER BY corr DESC, feature) AS rd, row_number() OVER (ORDER BY corr ASC, feature) AS ra FROM c)
-SELECT 'top' AS kind, feature, round(corr, 9) AS corr FROM r WHERE rd <= 3
-UNION ALL SELECT 'bottom', feature, round(corr, 9) FROM r WHERE ra <= 3""",
+SELECT 'top' AS kind, feature, round(corr, 9) AS corr FROM r WHERE rd <= 10
+UNION ALL SELECT 'bottom', feature, round(corr, 9) FROM r WHERE ra <= 10""",
     "sort_table": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey",
     "win_spike_projection": f"""WITH {_SPIKE}
 SELECT function_name, hour, req AS predicted_req_per_hour, round_even(req * energy_wh / 1000.0e0, 4) AS predicted_energy_kwh FROM sp""",
@@ -148,7 +148,8 @@ UNION ALL SELECT s_name, s_acctbal, s_nationkey, NULL, 'supplier' FROM supplier"
     "set_except": f"WITH {_FLAGSETS} SELECT * FROM sa EXCEPT SELECT * FROM sn",
     "set_except_customers": "SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders",
     "set_pairwise_overlap": f"""WITH {_MEMBERS},
-pl AS (SELECT * FROM (VALUES ('AF','NF'), ('AF','NO'), ('AF','RF'), ('NF','NO'), ('NF','RF'), ('NO','RF')) t(set_a, set_b)),
+ids AS (SELECT DISTINCT set_id FROM m),
+pl AS (SELECT a.set_id AS set_a, b.set_id AS set_b FROM ids a JOIN ids b ON a.set_id < b.set_id),
 ov AS (SELECT a.set_id AS set_a, b.set_id AS set_b, count(*) AS overlap FROM m a JOIN m b ON a.l_partkey = b.l_partkey AND a.set_id < b.set_id GROUP BY 1, 2),
 r AS (SELECT pl.set_a, pl.set_b, coalesce(ov.overlap, 0) AS overlap FROM pl LEFT JOIN ov ON pl.set_a = ov.set_a AND pl.set_b = ov.set_b)
 SELECT set_a, set_b, CAST(overlap AS BIGINT) AS overlap, round(avg(overlap) OVER (), 9) AS avg_overlap FROM r""",

@@ -117,7 +117,7 @@ SELECT inv_id, memory_mb, latency_ms, ld AS local_duration_ms, lm AS local_memor
     "flt_valid_caps": """WITH v AS (SELECT inv_id, memory_mb / 2 AS memory_allocated_mb, latency_ms * quantity * 3 AS avg_duration_ms FROM v_inv)
 SELECT * FROM v WHERE memory_allocated_mb IS NOT NULL AND avg_duration_ms IS NOT NULL AND avg_duration_ms > 0
   AND memory_allocated_mb > 0 AND memory_allocated_mb <= 1500 AND avg_duration_ms <= 300000""",
-    "flt_min_count": """SELECT function_name, count(*) AS invocation_count FROM v_inv GROUP BY function_name HAVING count(*) >= 35""",
+    "flt_min_count": """SELECT function_name, count(*) AS invocation_count FROM v_inv GROUP BY function_name HAVING count(*) >= 10""",
     "flt_name_search": f"""WITH {_PART_NAMES} SELECT p_partkey, name FROM pnames WHERE lower(name) LIKE '%etl-transform-1%'""",
     "flt_negative_pred": f"""WITH {_PROFILE}
 SELECT function_name, round(predicted_wh * 2 - 0.15e0, 9) AS prediction FROM fprof WHERE round(predicted_wh * 2 - 0.15e0, 9) < 0""",

@@ -29,7 +29,7 @@ SELECT function_name AS hash_function, app_id AS hash_app, day, avg(latency_ms)
 FROM v_inv GROUP BY function_name, app_id, day""",
     "v_app_day": """
 SELECT concat('app-', CAST(s_suppkey % 10 AS STRING)) AS hash_app, CAST(floor(s_suppkey / 10) AS BIGINT) AS day,
-       64 + abs(s_acctbal) / 6 AS avg_mb
+       64 + abs(s_acctbal) / 6 AS avg_mb, (64 + abs(s_acctbal) / 6) * 0.9e0 AS p50_mb, (64 + abs(s_acctbal) / 6) * 1.5e0 AS p99_mb
 FROM supplier""",
     "v_fn_minutes": """
 SELECT function_name AS hash_function, trigger_type, day,

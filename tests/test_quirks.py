@@ -1,5 +1,6 @@
 """Hand-made frames for the semantic quirks."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from wattline.operators import metrics as M
@@ -75,23 +76,51 @@ def test_mean_of_daily_means_is_not_flattened(spark):
     assert r.m == 60.0      # (20 + 100) / 2, not 160 / 4
 
 
-def test_hot_group_path_equals_builtin(spark):
-    rows = [("hot", float(i % 97) + i / 1000.0) for i in range(3000)] + [("cold", float(i)) for i in range(7)]
+def skewed(spark, n):
+    """A hot key, a hot value in it, a hot null key, a constant and small groups."""
+    i = F.col("id")
+    key = F.when(i % 3 == 0, "hot").when(i % 3 == 1, F.lit(None)).when(i % 999 == 2, "one").otherwise(F.concat(F.lit("k"), i % 500))
+    v = (F.when((i % 3 == 0) & (i % 2 == 0), F.lit(17.25)).when(i % 999 == 2, F.lit(3.0)).when(i % 7 == 0, -F.sqrt(i.cast("double")))
+         .otherwise(F.pow((i * 7919 % 100003) / 100.0, 1.5)))
+    return spark.range(n).select(key.alias("k"), F.when(i % 101 != 5, v).alias("v"))
+
+
+@pytest.mark.parametrize("parts", [3, 16, 64])
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_percentiles_equal_builtin_under_skew(spark, parts, reuse):
+    probs = {"p25": 0.25, "p50": 0.5, "p99": 0.99}
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        df = skewed(spark, 600_000).repartition(parts)
+        got = grouped_percentiles(df, ["k"], "v", probs, extra_aggs=[F.count("*").alias("n")])
+        want = df.where("v is not null").groupBy("k").agg(*[F.percentile("v", p).alias(f"w_{n}") for n, p in probs.items()], F.count("*").alias("w_n"))
+        j = got.join(want.withColumnRenamed("k", "wk"), F.col("k").eqNullSafe(F.col("wk")), "full")
+        bad = j.where("n is null or w_n is null or n != w_n or " + " or ".join(f"abs({n} - w_{n}) > 1e-9 * (1 + abs(w_{n}))" for n in probs))
+        assert bad.count() == 0 and j.count() == want.count() > 100
+        one = grouped_percentiles(df, [], "v", probs).first()
+        assert [one[n] for n in probs] == [pytest.approx(x) for x in df.agg(*[F.percentile("v", p) for p in probs.values()]).first()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
+def test_percentiles_edge_values(spark):
+    rows = [("a", x) for x in (0.0, -0.0, 1e-9, -1e-9, 1e300, -1e300, float("inf"), float("nan"), None)] + [("b", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    probs = {"p50": 0.5, "p99": 0.99, "p25": 0.25}
-    forced = {r.k: r for r in grouped_percentiles(df, ["k"], "v", probs, hot_rows=100).collect()}
-    builtin = {r.k: r for r in df.groupBy("k").agg(*[F.percentile("v", p).alias(n) for n, p in probs.items()]).collect()}
-    for k in ("hot", "cold"):
-        for n in probs:
-            assert abs(getattr(forced[k], n) - getattr(builtin[k], n)) < 1e-9
+    got = grouped_percentiles(df, ["k"], "v", {"lo": 0.0, "mid": 3 / 7, "hi": 6 / 7}).collect()
+    assert [r["k"] for r in got] == ["a"] and got[0]["lo"] == -1e300 and got[0]["mid"] == 0.0 and got[0]["hi"] == float("inf")
 
 
-def test_percentiles_partition_invariant(spark):
-    rows = [("a", float((i * 37) % 101)) for i in range(500)] + [("b", float(i)) for i in range(3)]
-    df = spark.createDataFrame(rows, "k string, v double")
-    a = sorted(grouped_percentiles(df.repartition(1), ["k"], "v", {"m": 0.5}, hot_rows=50).collect())
-    b = sorted(grouped_percentiles(df.repartition(7), ["k"], "v", {"m": 0.5}, hot_rows=50, partitions=5).collect())
-    assert a == b
+def test_percentile_plan_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-only", "plan-only")
+    try:
+        grouped_percentiles(spark.range(10).selectExpr("id % 2 k", "double(id) v"), ["k"], "v", {"m": 0.5})
+        assert list(tracker.getJobIdsForGroup("plan-only")) == []
+    finally:
+        spark.sparkContext.setJobGroup("", "")
 
 
 def test_stratified_sample_quota_null_stratum_and_size(spark):
@@ -104,6 +133,41 @@ def test_stratified_sample_quota_null_stratum_and_size(spark):
     assert sorted(r.id for r in out) == sorted(r.id for r in again)
 
 
+def test_sets_come_from_the_data(spark):
+    from wattline.operators.sets import pairwise_overlap
+    rows = [("a", 1), ("b", 1), ("c", 1), ("a", 2), ("c", 2), ("d", 3), (None, 1), ("a", None), ("a", 1)]
+    df = spark.createDataFrame(rows, "s string, k int")
+    got = {(r.set_a, r.set_b): r.overlap for r in pairwise_overlap(df, "s", "k").collect()}
+    assert got == {("a", "b"): 1, ("a", "c"): 2, ("a", "d"): 0, ("b", "c"): 1, ("b", "d"): 0, ("c", "d"): 0}
+
+
+def test_null_trigger_is_not_the_first(spark):
+    rows = [("f", None, 1, 5.0), ("f", "http", 2, 7.0), ("g", None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "hash_function string, trigger_type string, day int, m1 double")
+    got = {r.hash_function: (r.trigger_type, r.daily_invocations) for r in T.invocation_summary(df, ["m1"]).collect()}
+    assert got == {"f": ("http", 6.0), "g": (None, 1.0)}
+
+
+def test_null_is_no_category_but_counts_in_the_total(spark):
+    df = spark.createDataFrame([("a",), ("a",), (None,)], "t string")
+    got = T.value_share(df, "t").collect()
+    assert [(r.t, r.n) for r in got] == [("a", 2)] and abs(got[0].pct - 200 / 3) < 1e-9
+
+
+def test_nan_is_coerced_to_zero(spark):
+    df = spark.createDataFrame([(float("nan"), "nan", "x", 2.5), (1.0, "7", None, None)], "a double, b string, c string, d double")
+    got = P.align_features(df, ["a", "b", "c", "d", "e"]).collect()
+    assert [tuple(r) for r in got] == [(0.0, 0.0, 0.0, 2.5, 0.0), (1.0, 7.0, 0.0, 0.0, 0.0)]
+
+
+def test_two_apps_of_a_function_are_two_rows(spark):
+    df = spark.createDataFrame([("f", "x", "t"), ("f", "y", "t"), ("g", "x", "t")], "f string, a string, s string") \
+        .withColumn("id", F.concat_ws("|", "f", "a"))
+    out = stratified_sample(df, "id", "s", 2, seed=1, materialize_input=False)
+    rest = df.join(out.select("f", "a"), ["f", "a"], "left_anti")
+    assert out.count() == 2 and rest.count() == 1
+
+
 def test_value_shares_sum_to_100(spark):
     df = spark.createDataFrame([(x,) for x in "aabbbcdddd"], "t string")
     rows = T.value_share(df, "t").collect()
@@ -116,7 +180,7 @@ def test_exactly_k_matches_count_per_key(spark):
     from wattline.operators.sets import in_exactly_k
     rows = [("s1", k) for k in range(10)] + [("s2", k) for k in range(5, 15)] + [("s3", k) for k in range(8, 12)]
     df = spark.createDataFrame(rows, "s string, k int")
-    got = sorted(r.k for r in in_exactly_k(df, "s", "k", ["s1", "s2", "s3"], 2).collect())
+    got = sorted(r.k for r in in_exactly_k(df, "s", "k", 2).collect())
     want = sorted(r.k for r in df.distinct().groupBy("k").count().where("count = 2").collect())
     assert got == want
 

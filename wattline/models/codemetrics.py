@@ -18,71 +18,94 @@ FILE_SCHEMA = ("bundle string, path string, loc long, num_loops long, num_condit
                "num_function_calls long, max_nesting_depth long, cc_sum long, cc_blocks long, parsed boolean")
 
 
-class _Visitor(ast.NodeVisitor):
-    def __init__(self):
-        self.loops = self.ifs = self.calls = self.max_depth = 0
-        self.depth = 0
-
-    def _nest(self, node):
-        self.depth += 1
-        self.max_depth = max(self.max_depth, self.depth)
-        self.generic_visit(node)
-        self.depth -= 1
-
-    def visit_For(self, node):
-        self.loops += 1
-        self._nest(node)
-
-    def visit_While(self, node):
-        self.loops += 1
-        self._nest(node)
-
-    def visit_If(self, node):
-        self.ifs += 1
-        self._nest(node)
-
-    def visit_Call(self, node):
-        self.calls += 1
-        self.generic_visit(node)
-
-
-def _decisions(node: ast.AST) -> int:
-    """Decision points below ``node`` (not entering nested functions/classes)."""
-    n = 0
-    for child in ast.iter_child_nodes(node):
-        if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)):
+# What raises complexity, and by how much (lists of parts of a node).
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_SCOPES = (*_FUNCTIONS, ast.ClassDef)
+_LOOPS = (ast.For, ast.AsyncFor, ast.While)
+_NESTING = (ast.For, ast.While, ast.If)
+
+
+def decisions(node: ast.AST) -> int:
+    """Decision points of one node: branches, conditional expressions and
+    assertions 1, boolean operators one per extra operand, loops 1 and 1 more
+    for their ``else``, handlers 1 each and 1 for the ``else`` of a ``try``,
+    comprehensions 1 and 1 per condition, cases 1 each but for ``case _``."""
+    if isinstance(node, (ast.If, ast.IfExp, ast.Assert)):
+        return 1
+    if isinstance(node, ast.BoolOp):
+        return len(node.values) - 1
+    if isinstance(node, _LOOPS):
+        return 1 + bool(node.orelse)
+    if isinstance(node, (ast.Try, getattr(ast, "TryStar", ast.Try))):
+        return len(node.handlers) + bool(node.orelse)
+    if isinstance(node, ast.comprehension):
+        return 1 + len(node.ifs)
+    if isinstance(node, ast.Match):
+        rest = any(isinstance(c.pattern, ast.MatchAs) and c.pattern.pattern is None for c in node.cases)
+        return max(0, len(node.cases) - rest)
+    return 0
+
+
+def _scope(statements: list[ast.AST]) -> tuple[int, list[ast.AST]]:
+    """(decision points, scopes) of statements; functions and classes among
+    them are returned, not entered."""
+    total, inner, todo = 0, [], list(reversed(statements))
+    while todo:
+        node = todo.pop()
+        if isinstance(node, _SCOPES):
+            inner.append(node)
             continue
-        if isinstance(child, (ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.Assert)):
-            n += 1
-        elif isinstance(child, ast.BoolOp):
-            n += len(child.values) - 1
-        elif isinstance(child, ast.comprehension):
-            n += 1 + len(child.ifs)
-        n += _decisions(child)
-    return n
-
-
-def _blocks(tree: ast.AST) -> list[int]:
-    """Cyclomatic complexity (1 + decision points) of every function and
-    method; a class block counts its methods' mean complexity."""
+        total += decisions(node)
+        if not isinstance(node, ast.Assert):
+            todo.extend(ast.iter_child_nodes(node))
+    return total, inner
+
+
+def blocks(tree: ast.Module) -> list[int]:
+    """Complexities of the blocks of a module: its functions, its classes and
+    their methods.  A function counts 1 and its own decisions, closures apart.
+    A class without methods counts 1 and its decisions; with methods, the mean
+    over them of all that, plus 1 where it has several."""
     out = []
-    for node in ast.walk(tree):
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            out.append(1 + _decisions(node))
+    for scope in _scope(tree.body)[1]:
+        if isinstance(scope, _FUNCTIONS):
+            out.append(1 + _scope(scope.body)[0])
+            continue
+        own, inner = _scope(scope.body)
+        methods = [1 + _scope(m.body)[0] for m in inner if isinstance(m, _FUNCTIONS)]
+        real = 1 + own + sum(methods)
+        out.append(int(real / len(methods)) + (len(methods) > 1) if methods else real)
+        out += methods
     return out
 
 
+def counts(tree: ast.AST) -> tuple[int, int, int, int]:
+    """(loops, conditionals, calls, deepest nesting of loops and conditionals):
+    one walk with an explicit stack of (node, depth)."""
+    loops = ifs = calls = deepest = 0
+    todo = [(tree, 0)]
+    while todo:
+        node, depth = todo.pop()
+        if isinstance(node, _NESTING):
+            depth += 1
+            deepest = max(deepest, depth)
+            loops += not isinstance(node, ast.If)
+            ifs += isinstance(node, ast.If)
+        calls += isinstance(node, ast.Call)
+        todo.extend((child, depth) for child in ast.iter_child_nodes(node))
+    return loops, ifs, calls, deepest
+
+
 def file_metrics(content: str) -> tuple:
-    lines = content.splitlines()
-    loc = sum(1 for ln in lines if ln.strip() and not ln.strip().startswith("#"))
+    """(LOC, loops, conditionals, calls, nesting, sum and number of block
+    complexities, parsed).  A file that does not parse has only its LOC."""
+    loc = sum(1 for ln in content.splitlines() if ln.strip() and not ln.strip().startswith("#"))
     try:
         tree = ast.parse(content)
-        v = _Visitor()
-        v.visit(tree)
-        blocks = _blocks(tree)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return loc, 0, 0, 0, 0, 0, 0, False
-    return loc, v.loops, v.ifs, v.calls, v.max_depth, sum(blocks), len(blocks), True
+    cc = blocks(tree)
+    return (loc, *counts(tree), sum(cc), len(cc), True)
 
 
 def source_metrics(sources: DataFrame, bundle: str = "bundle", path: str = "path", content: str = "content") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wattline.config import DEFAULT_CODE_METRICS, NUMERIC_FEATURES
 from wattline.functions import energy as E
-from wattline.functions.text import loc_count
+from wattline.models.codemetrics import source_metrics
 from wattline.operators import projections as P
 from wattline.operators.quantiles import grouped_percentiles
 
@@ -23,30 +23,16 @@ TELEMETRY_NUMERIC = (
 CODE_METRICS = tuple(DEFAULT_CODE_METRICS)
 
 
-def words(text: Column) -> Column:
-    return F.split(F.lower(text), "[^a-z]+")
-
-
-def text_code_metrics(docs: DataFrame, key: Column, text: str = "text") -> DataFrame:
-    """Static metrics of a source text with built-in expressions: loops
-    (``for`` / ``while`` words), conditionals (``if``), calls (``(``
-    characters), complexity 1 + loops + conditionals, nesting (capped
-    conditional count) and LOC (at least 1)."""
-    t = F.col(text)
-    # one split, one pass over the words for both counts
-    zero = F.struct(F.lit(0).alias("l"), F.lit(0).alias("c"))
-    counts = F.aggregate(words(t), zero, lambda acc, x: F.struct(
-        (acc["l"] + F.when(x.isin("for", "while"), 1).otherwise(0)).alias("l"),
-        (acc["c"] + F.when(x == "if", 1).otherwise(0)).alias("c")))
-    calls = F.length(t) - F.length(F.replace(t, F.lit("("), F.lit("")))
-    m = docs.select(key.alias("function_name"), counts.alias("_wc"),
-                    F.greatest(F.lit(1), loc_count(t)).cast("double").alias("lines_of_code"),
-                    calls.cast("double").alias("num_function_calls"))
-    loops, conds = F.col("_wc.l"), F.col("_wc.c")
-    return m.select("function_name", "lines_of_code", loops.cast("double").alias("num_loops"),
-                    conds.cast("double").alias("num_conditionals"), "num_function_calls",
-                    (1.0 + loops + conds).cast("double").alias("cyclomatic_complexity"),
-                    F.least(conds, F.lit(4)).cast("double").alias("max_nesting_depth"))
+def parsed_code_metrics(docs: DataFrame, key: Column, text: str = "text") -> DataFrame:
+    """Static metrics of each function's source from its parsed code, one
+    source per function: LOC (at least 1), loops, conditionals, calls, deepest
+    nesting and the mean complexity of its blocks (1 without any)."""
+    src = docs.select(key.alias("bundle"), key.alias("path"), F.coalesce(F.col(text), F.lit("")).alias("content"))
+    m = source_metrics(src)
+    cc = F.when(F.col("cc_blocks") > 0, F.col("cc_sum") / F.col("cc_blocks")).otherwise(F.lit(1.0))
+    return m.select(F.col("bundle").alias("function_name"), F.greatest(F.lit(1), F.col("loc")).cast("double").alias("lines_of_code"),
+                    *[F.col(c).cast("double").alias(c) for c in ("num_loops", "num_conditionals", "num_function_calls")],
+                    cc.cast("double").alias("cyclomatic_complexity"), F.col("max_nesting_depth").cast("double").alias("max_nesting_depth"))
 
 
 def invocation_telemetry(inv: DataFrame) -> DataFrame:
@@ -155,13 +141,12 @@ def lookup_with_fallback(requests: DataFrame, profile: DataFrame, fallback: Data
 def live_override(base: DataFrame, live: DataFrame, mapping: dict[str, str], key: str = "function_name",
                   positive_only: bool = True) -> DataFrame:
     """Replace base columns by live values where a live value exists (and is
-    > 0 when ``positive_only``)."""
+    > 0 when ``positive_only``).  ``mapping``: base column -> live column."""
     j = base.join(live, key, "left")
     cols = []
     for c in base.columns:
-        src = [lv for lv, tgt in mapping.items() if tgt == c]
-        if src:
-            lv = F.col(src[0])
+        if c in mapping:
+            lv = F.col(mapping[c])
             ok = lv.isNotNull() & (lv > 0) if positive_only else lv.isNotNull()
             cols.append(F.when(ok, lv).otherwise(F.col(c)).alias(c))
         else:

@@ -186,17 +186,23 @@ def duration_bucket_order(duration_ms: Column) -> Column:
 
 
 def align_features(df: DataFrame, features: Iterable[str], keep: Iterable[str] = ()) -> DataFrame:
-    """Missing features as 0.0, extras dropped, fixed order, coerced to double."""
-    have = set(df.columns)
+    """Missing features as 0.0, extras dropped, fixed order, coerced to double.
+    Numbers are cast as they are; only other columns are parsed."""
+    have = dict(df.dtypes)
     cols = [F.col(k) for k in keep]
     for f in features:
-        cols.append(numeric_coerce(F.col(f"`{f}`")).alias(f) if f in have else F.lit(0.0).alias(f))
+        cols.append(numeric_coerce(F.col(f"`{f}`"), is_number(have[f])).alias(f) if f in have else F.lit(0.0).alias(f))
     return df.select(*cols)
 
 
-def numeric_coerce(c: Column) -> Column:
-    """to double; unparsable or null -> 0."""
-    return F.coalesce(c.cast("string").try_cast("double"), F.lit(0.0))
+def is_number(dtype: str) -> bool:
+    return dtype in ("double", "float", "int", "bigint", "smallint", "tinyint") or dtype.startswith("decimal")
+
+
+def numeric_coerce(c: Column, number: bool = False) -> Column:
+    """to double; unparsable, null or NaN -> 0."""
+    d = c.cast("double") if number else c.cast("string").try_cast("double")
+    return F.coalesce(F.nanvl(d, F.lit(0.0)), F.lit(0.0))
 
 
 def drop_leakage(df: DataFrame, cols: Iterable[str] = LEAKAGE_COLUMNS) -> DataFrame:

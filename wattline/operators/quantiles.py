@@ -1,103 +1,78 @@
-"""Exact grouped percentiles that stay balanced when one group is huge.
-
-Spark's built-in ``percentile`` / ``median`` merge all values of a group in
-one task, so a group holding a third of the rows would land on one executor.
-Groups are therefore split by size (a partial-aggregate count per group):
-
-* groups up to ``hot_rows`` rows use the built-in exact ``percentile`` (one
-  shuffle; a task holds at most ``hot_rows`` values of a group);
-* larger ("hot") groups are range-partitioned on ``(keys, value)``, which
-  cuts each hot group by value into many partitions.  Every row gets its rank
-  inside its (partition, group) piece, the piece sizes give each piece its
-  offset in the group, and only the rows at the wanted ranks are joined back.
-
-Hot keys number at most ``rows / hot_rows``.  They are found first (one
-counting job; at most ``MAX_BROADCAST_HOT`` keys reach the driver, a
-checked size): with no hot group the plan is the plain one-shuffle
-aggregation; with a few, the key list is a broadcast literal table (proven
-bound) that splits the rows without shuffling them; beyond the bound the
-split is an ordinary join.  Both paths give the linear interpolation of
-``percentile_cont`` at ``pos = (n - 1) * p``.
+"""Exact grouped percentiles that stay balanced when one group, or one value
+of it, is huge.  One plan for all sizes:
+
+1. rows are counted per (keys, value): copies of a value fall together inside
+   each map task, and the rest is dealt by (keys, value);
+2. values fall into buckets by a fixed monotone function of the value alone
+   (logarithmic, ``STEPS`` a factor e), so buckets need no sampling and come
+   out the same whenever they are computed;
+3. bucket counts per group give the buckets that hold the wanted ranks;
+4. only values of these buckets are sorted, each bucket by itself.
+
+The plan is lazy: building it runs no job.  Keys may be null (null-safe
+joins).  Results are the linear interpolation of ``percentile_cont`` at
+``pos = (n - 1) * p``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.session import shuffle_partitions
+#: Buckets for each factor e in the magnitude of a value.
+STEPS = 16384
+
+
+def value_bucket(v: Column) -> Column:
+    """Monotone bucket number of a double; NaN is the largest value, as in a sort."""
+    size = F.floor(F.log(1.0 + F.abs(v) * 1e6) * STEPS)
+    return F.when(F.isnan(v), F.lit((1 << 63) - 1)).when(v < 0, -size).otherwise(size).cast("long")
 
 
-HOT_GROUP_ROWS = 1_000_000
-MAX_BROADCAST_HOT = 10_000
 
 
 def grouped_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                        partitions: int | None = None, hot_rows: int = HOT_GROUP_ROWS,
                         extra_aggs: list | None = None) -> DataFrame:
     """One row per group with a non-null value: ``keys + extra + list(probs)``.
 
-    ``extra_aggs`` (aggregate columns over ``df``) are computed in the same
-    aggregation as the percentiles, so a summary needs no second pass.
-    Without keys the single group is treated as hot."""
-    parts = partitions or shuffle_partitions(df.sparkSession)
-    extra = list(extra_aggs or [])
+    ``extra_aggs`` are aggregate columns over the rows with a value; they are
+    one more aggregation, joined per group."""
     base = df.withColumn("_v", F.col(value).cast("double")).where(F.col("_v").isNotNull())
+    pct = _percentiles(base, keys, probs)
+    if not extra_aggs:
+        return pct
     if not keys:
-        pct = ranked_percentiles(base.select("_v"), [], probs, parts)
-        return base.agg(*extra).crossJoin(pct) if extra else pct
-    plist = list(probs.values())
-
-    def builtin(rows: DataFrame) -> DataFrame:
-        return (rows.groupBy(*keys).agg(*extra, F.percentile("_v", plist).alias("_ps"))
-                .select("*", *[F.col("_ps")[i].alias(name) for i, name in enumerate(probs)]).drop("_ps"))
-
-    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > hot_rows).select(*keys)
-    found = hot.limit(MAX_BROADCAST_HOT + 1).collect()
-    if not found:
-        return builtin(base)
-    if len(found) <= MAX_BROADCAST_HOT:
-        hot = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
-    cold_res = builtin(base.join(hot, list(keys), "left_anti"))
-    hot_base = base.join(hot, list(keys), "left_semi")
-    hot_res = ranked_percentiles(hot_base.select(*keys, "_v"), keys, probs, parts)
-    if extra:
-        hot_res = hot_base.groupBy(*keys).agg(*extra).join(hot_res, list(keys), "inner")
-    return cold_res.unionByName(hot_res)
-
-
-def ranked_percentiles(base: DataFrame, keys: list[str], probs: dict[str, float], parts: int) -> DataFrame:
-    """Range-partitioned exact percentiles of ``_v`` per group (any size)."""
-    ranged = (base.repartitionByRange(parts, *keys, "_v")
-              .withColumn("_pid", F.spark_partition_id()))
-    local = ranged.withColumn(
-        "_lr", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy("_v")) - 1)
-
-    # piece sizes: at most (#groups + #partitions) rows
-    pieces = local.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_c"))
-    by_group = Window.partitionBy(*keys)
-    pieces = (pieces
-              .withColumn("_start", F.coalesce(F.sum("_c").over(
-                  by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("_n", F.sum("_c").over(by_group)))
-
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"))
-                       for name, p in probs.items()])
-    targets = (pieces.select("*", F.explode(wanted).alias("_t"))
-               .withColumn("_pos", (F.col("_n") - 1) * F.col("_t.p"))
-               .withColumn("_r", F.explode(F.array_distinct(F.array(
-                   F.floor("_pos").cast("long"), F.ceil("_pos").cast("long")))))
-               .where((F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_start") + F.col("_c")))
-               .select("_pid", *keys, (F.col("_r") - F.col("_start")).alias("_lr"),
-                       F.col("_t.name").alias("_name"), "_pos", "_r"))
-
-    picked = local.join(targets, ["_pid", *keys, "_lr"], "inner")
+        return base.agg(*extra_aggs).crossJoin(F.broadcast(pct))     # one row each
+    right = pct.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *probs)
+    left = base.groupBy(*keys).agg(*extra_aggs)
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & left[k].eqNullSafe(right[f"_k{i}"])
+    return left.join(right, cond).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def _percentiles(base: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    counts = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", value_bucket(F.col("_v")))
+    buckets = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"))
+    group = Window.partitionBy(*keys)
+    # a group has at most a few thousand buckets for each magnitude of its values
+    buckets = (buckets.withColumn("_start", F.coalesce(F.sum("_c").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+               .withColumn("_n", F.sum("_c").over(group)))
+    ranks = F.array_distinct(F.array(*[f((F.col("_n") - 1) * F.lit(float(p))).cast("long") for p in probs.values() for f in (F.floor, F.ceil)]))
+    wanted = buckets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_wb"), "_start", "_n",
+                            F.filter(ranks, lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_c"))).alias("_ranks")).where(F.size("_ranks") > 0)
+    cond = counts["_b"] == wanted["_wb"]
+    for i, k in enumerate(keys):
+        cond = cond & counts[k].eqNullSafe(wanted[f"_k{i}"])
+    rows = counts.join(wanted, cond)
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v")
+    upto = F.col("_start") + F.sum("_c").over(inside)
+    rows = rows.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_c"))
+    rows = rows.withColumn("_r", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_from")) & (r < F.col("_to")))))
     aggs = []
-    for name in probs:
-        is_name = F.col("_name") == name
-        lo = F.max(F.when(is_name & (F.col("_r") == F.floor("_pos")), F.col("_v")))
-        hi = F.max(F.when(is_name & (F.col("_r") == F.ceil("_pos")), F.col("_v")))
-        frac = F.max(F.when(is_name, F.col("_pos") - F.floor("_pos")))
-        aggs.append((lo + frac * (hi - lo)).alias(name))
-    return picked.groupBy(*keys).agg(*aggs)
+    for name, p in probs.items():
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        lo = F.max(F.when(F.col("_r") == F.floor(pos), F.col("_v")))
+        hi = F.max(F.when(F.col("_r") == F.ceil(pos), F.col("_v")))
+        aggs.append(F.when(lo == hi, lo).otherwise(lo + F.max(pos - F.floor(pos)) * (hi - lo)).alias(name))
+    return rows.groupBy(*keys).agg(*aggs)

@@ -1,49 +1,46 @@
 """Set algebra over key sets stored as (set_id, key) rows.
 
-Pairwise overlaps and "in exactly k sets" are computed from one membership
-mask per key (a partial aggregate), then from the handful of distinct
-masks: no self-join of keys, so no pair is emitted per key.
+The sets are those in the data.  Pairwise overlaps come from each key's sorted
+list of sets (at most the number of sets) and the counts of equal lists: no
+self-join of keys, so no pair is emitted per key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def membership_masks(members: DataFrame, set_col: str, key: str, set_ids: Sequence) -> DataFrame:
-    """key -> bitmask of the sets that contain it (bit i = ``set_ids[i]``)."""
-    bit = None
-    for i, s in enumerate(set_ids):
-        bit = F.when(F.col(set_col) == s, F.lit(1 << i)) if bit is None else bit.when(F.col(set_col) == s, F.lit(1 << i))
-    return (members.select(key, bit.alias("_bit")).where(F.col("_bit").isNotNull())
-            .groupBy(key).agg(F.bit_or("_bit").alias("mask")))
+def memberships(members: DataFrame, set_col: str, key: str) -> DataFrame:
+    """key -> sorted distinct ids (as text) of the sets that hold it."""
+    m = members.select(key, F.col(set_col).cast("string").alias("_s")).where(F.col(key).isNotNull() & F.col("_s").isNotNull())
+    return m.groupBy(key).agg(F.array_sort(F.collect_set("_s")).alias("sets"))
 
 
-def mask_counts(masks: DataFrame) -> DataFrame:
-    """At most 2^n rows: how many keys have each membership mask."""
-    return masks.groupBy("mask").agg(F.count(F.lit(1)).alias("keys"))
+def _pairs(sets: Column) -> Column:
+    """All (earlier, later) pairs of a sorted array."""
+    return F.flatten(F.transform(sets, lambda a, i: F.transform(
+        F.slice(sets, i + 2, F.size(sets)), lambda b: F.struct(a.alias("set_a"), b.alias("set_b")))))
 
 
-def pairwise_overlap(members: DataFrame, set_col: str, key: str, set_ids: Sequence) -> DataFrame:
-    """|S_i n S_j| for every pair i < j, plus their mean (``avg_overlap``)."""
-    mc = mask_counts(membership_masks(members, set_col, key, set_ids))
-    pairs = [(i, j) for i in range(len(set_ids)) for j in range(i + 1, len(set_ids))]
-    arr = F.array(*[F.struct(F.lit(str(set_ids[i])).alias("set_a"), F.lit(str(set_ids[j])).alias("set_b"),
-                             F.lit((1 << i) | (1 << j)).alias("pm")) for i, j in pairs])
-    per_pair = (mc.select("mask", "keys", F.explode(arr).alias("p"))
-                .select("p.set_a", "p.set_b", F.when((F.col("mask").bitwiseAND(F.col("p.pm"))) == F.col("p.pm"),
-                                                     F.col("keys")).otherwise(F.lit(0)).alias("k"))
-                .groupBy("set_a", "set_b").agg(F.sum("k").alias("overlap")))
+def pairwise_overlap(members: DataFrame, set_col: str, key: str) -> DataFrame:
+    """|S_i n S_j| for every pair of sets, plus their mean (``avg_overlap``)."""
+    kinds = memberships(members, set_col, key).groupBy("sets").agg(F.count(F.lit(1)).alias("keys"))
+    inside = (kinds.select("keys", F.explode(_pairs(F.col("sets"))).alias("p")).select("keys", "p.*")
+              .groupBy("set_a", "set_b").agg(F.sum("keys").alias("overlap")))
+    # one row: the ids of all sets, and from it the n (n - 1) / 2 pairs
+    every = kinds.select(F.explode("sets").alias("_s")).agg(F.array_sort(F.collect_set("_s")).alias("sets"))
+    every = every.select(F.explode(_pairs(F.col("sets"))).alias("p")).select("p.*")
+    per_pair = every.join(inside, ["set_a", "set_b"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
     avg = per_pair.agg(F.avg("overlap").alias("avg_overlap"))
     return per_pair.crossJoin(F.broadcast(avg))
 
 
-def in_exactly_k(members: DataFrame, set_col: str, key: str, set_ids: Sequence, k: int) -> DataFrame:
-    masks = membership_masks(members, set_col, key, set_ids)
-    return masks.where(F.bit_count("mask") == k).select(key)
+def in_exactly_k(members: DataFrame, set_col: str, key: str, k: int) -> DataFrame:
+    m = members.where(F.col(key).isNotNull() & F.col(set_col).isNotNull())
+    return m.groupBy(key).agg(F.count_distinct(set_col).alias("_n")).where(F.col("_n") == k).select(key)
 
 
 def key_set(df: DataFrame, key: str, cond=None) -> DataFrame:

@@ -37,12 +37,17 @@ DURATION_SPEC = {
 def duration_summary(fn_day: DataFrame, min_invocations: int | None = 10) -> DataFrame:
     """Per (function, app): two-level duration statistics, optionally keeping
     functions with at least ``min_invocations`` calls over all days."""
-    out = two_level(fn_day, ["hash_function", "hash_app"], "day", DURATION_SPEC)
+    have = set(fn_day.columns)      # percentile columns are reduced only where the input has them
+    out = two_level(fn_day, ["hash_function", "hash_app"], "day", {k: v for k, v in DURATION_SPEC.items() if v[0] in have})
     return out if min_invocations is None else P.min_count(out, "invocation_count", min_invocations)
 
 
-def memory_summary(app_day: DataFrame, value: str = "avg_mb") -> DataFrame:
-    return two_level(app_day, ["hash_app"], "day", {"memory_allocated_mb": (value, "mean")})
+MEMORY_SPEC = {"memory_allocated_mb": ("avg_mb", "mean"), "memory_p50_mb": ("p50_mb", "mean"), "memory_p99_mb": ("p99_mb", "mean")}
+
+
+def memory_summary(app_day: DataFrame) -> DataFrame:
+    """Two-level mean, median and 99th percentile of an app's memory."""
+    return two_level(app_day, ["hash_app"], "day", MEMORY_SPEC)
 
 
 def row_sum(cols: Sequence[str]) -> Column:
@@ -59,13 +64,13 @@ def present_columns(df: DataFrame, wanted: Sequence[str]) -> list[str]:
 
 def invocation_summary(minutes: DataFrame, minute_cols: Sequence[str]) -> DataFrame:
     """Per function: mean daily invocation count and the trigger of its
-    first day (first by (day, trigger) order, so the result does not depend
-    on file order)."""
+    first day that has one (first by (day, trigger) order, so the result does
+    not depend on file order)."""
     cols = present_columns(minutes, minute_cols)
     daily = minutes.select("hash_function", "trigger_type", "day", row_sum(cols).alias("daily_invocations"))
     return (daily.groupBy("hash_function")
             .agg(F.avg("daily_invocations").alias("daily_invocations"),
-                 F.min_by("trigger_type", F.struct("day", "trigger_type")).alias("trigger_type")))
+                 F.min_by("trigger_type", F.when(F.col("trigger_type").isNotNull(), F.struct("day", "trigger_type"))).alias("trigger_type")))
 
 
 def trace_master(fn_day: DataFrame, app_day: DataFrame, minutes: DataFrame, minute_cols: Sequence[str],
@@ -100,12 +105,13 @@ def region_function_summary(inv: DataFrame, function="function_name", latency="l
 
 def value_share(df: DataFrame, col: str, top: int | None = None) -> DataFrame:
     """Count and percentage per category, largest first (ties by value).
+    Rows without a category are in the total, but are no category.
     The total is the sum of the counts, a one-row aggregate joined by
     broadcast (size 1: bounded);
     ``top`` uses ordered take (per-task top-k, then a merge)."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("_total"))      # from the counts: no second pass over df
-    out = (counts.crossJoin(F.broadcast(total))
+    out = (counts.where(F.col(col).isNotNull()).crossJoin(F.broadcast(total))
            .select(col, "n", (F.col("n") * 100.0 / F.col("_total")).alias("pct")))
     if top is not None:
         out = out.orderBy(F.desc("n"), F.asc(col)).limit(top)

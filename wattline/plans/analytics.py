@@ -17,8 +17,7 @@ from wattline.plans.rowwise import function_energy_profile
 from wattline.plans.traces import MINUTE_COLS
 from wattline.sources.tables import Catalog
 
-SAMPLE_N = 500
-SET_IDS = ["AF", "NF", "NO", "RF"]
+SAMPLE_N = 5000
 GRID = 60
 
 
@@ -27,22 +26,23 @@ def r9(c: str):
 
 
 def master(cat: Catalog) -> DataFrame:
-    return T.trace_master(cat.v_fn_day, cat.v_app_day, cat.v_fn_minutes, MINUTE_COLS)
+    return T.trace_master(cat.v_fn_day_basic, cat.v_app_day, cat.v_fn_minutes, MINUTE_COLS)
 
 
 def stratified(cat: Catalog) -> DataFrame:
-    return stratified_sample(master(cat), "hash_function", "trigger_type", SAMPLE_N, seed=42)
+    """A trace row is a function of one app, so both name it."""
+    return stratified_sample(master(cat).withColumn("_id", F.concat_ws("|", "hash_function", "hash_app")), "_id", "trigger_type", SAMPLE_N, seed=42)
 
 
 @register("win_stratified_sample")
 def win_stratified_sample(cat: Catalog) -> DataFrame:
-    return stratified(cat).select("hash_function", "trigger_type")
+    return stratified(cat).select("hash_function", "hash_app", "trigger_type")
 
 
 @register("join_anti_remaining")
 def join_anti_remaining(cat: Catalog) -> DataFrame:
-    return master(cat).join(stratified(cat).select("hash_function"), "hash_function", "left_anti") \
-        .select("hash_function", "trigger_type")
+    keys = ["hash_function", "hash_app"]
+    return master(cat).join(stratified(cat).select(keys), keys, "left_anti").select(*keys, "trigger_type")
 
 
 @register("win_seeded_sample")
@@ -81,7 +81,7 @@ def topk_attributions(cat: Catalog) -> DataFrame:
 
 def aligned(cat: Catalog) -> DataFrame:
     shap = cat.v_attr.select("row_id", "feature", "shap_value")
-    lime = cat.v_attr.where(F.abs("lime_weight") > 0.002).select("row_id", "feature", "lime_weight")
+    lime = cat.v_attr.select("row_id", "feature", "lime_weight")
     return A.align_methods(shap, lime)
 
 
@@ -145,8 +145,8 @@ def topk_per_group_avg(cat: Catalog) -> DataFrame:
 def topk_correlated(cat: Catalog) -> DataFrame:
     from wattline.plans.metrics import CORR_FEATURES
     c = M.correlation_with(cat.v_pred, "actual_wh", CORR_FEATURES)
-    top = c.where(F.col("rank_desc") <= 3).withColumn("kind", F.lit("top"))
-    bottom = c.where(F.col("rank_asc") <= 3).withColumn("kind", F.lit("bottom"))
+    top = c.where(F.col("rank_desc") <= 10).withColumn("kind", F.lit("top"))
+    bottom = c.where(F.col("rank_asc") <= 10).withColumn("kind", F.lit("bottom"))
     return top.unionByName(bottom).select("kind", "feature", r9("corr"))
 
 
@@ -271,13 +271,13 @@ def memberships(cat: Catalog) -> DataFrame:
 
 @register("set_pairwise_overlap")
 def set_pairwise_overlap(cat: Catalog) -> DataFrame:
-    return S.pairwise_overlap(memberships(cat), "set_id", "l_partkey", SET_IDS).select(
+    return S.pairwise_overlap(memberships(cat), "set_id", "l_partkey").select(
         "set_a", "set_b", "overlap", r9("avg_overlap"))
 
 
 @register("agg_in_exactly_k")
 def agg_in_exactly_k(cat: Catalog) -> DataFrame:
-    return S.in_exactly_k(memberships(cat), "set_id", "l_partkey", SET_IDS, 3)
+    return S.in_exactly_k(memberships(cat), "set_id", "l_partkey", 3)
 
 
 @register("agg_inverted_index")

@@ -87,7 +87,7 @@ def training_means(cat: Catalog) -> DataFrame:
 
 
 def trace_master(cat: Catalog) -> DataFrame:
-    return T.trace_master(cat.v_fn_day, cat.v_app_day, cat.v_fn_minutes, MINUTE_COLS)
+    return T.trace_master(cat.v_fn_day_basic, cat.v_app_day, cat.v_fn_minutes, MINUTE_COLS)
 
 
 @register("join_broadcast_means")

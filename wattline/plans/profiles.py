@@ -16,13 +16,15 @@ from wattline.sources.tables import Catalog
 FALLBACK_NUMERIC = ("memory_config_mb", "aws_duration_ms", "lines_of_code", "cyclomatic_complexity",
                     "local_cpu_percent")
 CATEGORICAL = ("function_type", "input_size")
+#: Profile columns and the live values that override them.
+LIVE_COLUMNS = {"aws_duration_ms": "live_duration_ms", "memory_config_mb": "live_memory_mb", "aws_memory_used_mb": "live_memory_mb"}
 
 
 def telemetry(cat: Catalog) -> DataFrame:
     """The compiled telemetry table: invocations, source metrics of
     document ``fn-<doc_id>`` as the function's code, derived columns."""
     key = F.concat(F.lit("fn-"), F.col("doc_id").cast("string"))
-    code = PR.text_code_metrics(cat.documents, key)
+    code = PR.parsed_code_metrics(cat.documents, key)
     return PR.compile_telemetry(cat.v_inv, code)
 
 
@@ -30,7 +32,7 @@ def profile(cat: Catalog, materialized: bool = False) -> DataFrame:
     """Function profile; ``materialized`` checkpoints it for plans that read
     it several times (lookup + fallback medians + fallback modes)."""
     key = F.concat(F.lit("fn-"), F.col("doc_id").cast("string"))
-    p = PR.profile_from_parts(cat.v_inv, PR.text_code_metrics(cat.documents, key))
+    p = PR.profile_from_parts(cat.v_inv, PR.parsed_code_metrics(cat.documents, key))
     if materialized:
         from wattline.session import materialize
         p = materialize(p)
@@ -58,7 +60,7 @@ def ml_compile_dataset(cat: Catalog) -> DataFrame:
 def src_function_inventory(cat: Catalog) -> DataFrame:
     """Inventory rows with two alternative name keys; unnamed rows dropped,
     runtime and memory defaults filled."""
-    p = part_function_names(cat).join(cat.part.select("p_partkey", "p_size"), "p_partkey")
+    p = part_function_names(cat, keep=("p_size",))
     raw = p.select(
         "p_partkey",
         F.when(F.col("p_size") % 3 != 0, F.col("name")).alias("FunctionName"),
@@ -74,8 +76,7 @@ def src_function_inventory(cat: Catalog) -> DataFrame:
 
 
 def live_points(cat: Catalog) -> DataFrame:
-    live = cat.v_live.join(cat.events.select("event_id", "event_type"), "event_id") \
-        .withColumn("is_error", (F.col("event_type") == "error").cast("int"))
+    live = cat.v_live.withColumn("is_error", (F.col("function_name") == "fn-error").cast("int"))   # the name is the event type
     return PR.hourly_points(live)
 
 
@@ -105,7 +106,7 @@ def agg_function_profile(cat: Catalog) -> DataFrame:
 
 @register("agg_mode")
 def agg_mode(cat: Catalog) -> DataFrame:
-    return PR.grouped_mode(telemetry(cat), ["function_name"], "input_size")
+    return PR.grouped_mode(PR.invocation_telemetry(cat.v_inv), ["function_name"], "input_size")
 
 
 @register("join_profile_modes")
@@ -132,12 +133,12 @@ def join_lookup_fallback(cat: Catalog) -> DataFrame:
 def join_live_override(cat: Catalog) -> DataFrame:
     """Profile values replaced by live values (> 0) where a function has live
     traffic (function ``fn-<user_id>``)."""
-    prof = profile(cat).select("function_name", "aws_duration_ms", "memory_config_mb")
+    prof = profile(cat).select("function_name", "aws_duration_ms", "memory_config_mb", "aws_memory_used_mb")
     live = (cat.v_live.groupBy(F.concat(F.lit("fn-"), F.col("user_id").cast("string")).alias("function_name"))
             .agg((F.avg("duration_ms") * 100).alias("live_duration_ms"),
                  (F.max("user_id") * 10.0).alias("live_memory_mb")))
-    out = PR.live_override(prof, live, {"live_duration_ms": "aws_duration_ms", "live_memory_mb": "memory_config_mb"})
-    return out.select("function_name", r9("aws_duration_ms"), r9("memory_config_mb"))
+    out = PR.live_override(prof, live, LIVE_COLUMNS)
+    return out.select("function_name", r9("aws_duration_ms"), r9("memory_config_mb"), r9("aws_memory_used_mb"))
 
 
 @register("prj_monthly_projection_profile")

@@ -135,7 +135,7 @@ def prj_trigger_flags(cat: Catalog) -> DataFrame:
     return P.trigger_flags(cat.v_inv.select("inv_id", "trigger_type")).drop("trigger_type")
 
 
-def part_function_names(cat: Catalog) -> DataFrame:
+def part_function_names(cat: Catalog, keep: tuple[str, ...] = ()) -> DataFrame:
     """Named workloads: a family chosen by size, suffixed by the key; every
     seventh size gives a name without a dash."""
     fam = F.element_at(F.array(*[F.lit(x) for x in
@@ -143,7 +143,7 @@ def part_function_names(cat: Catalog) -> DataFrame:
                        (F.col("p_size") % 5 + 1).cast("int"))
     name = F.when(F.col("p_size") % 7 == 0, F.lit("hello")) \
         .otherwise(F.concat(fam, F.lit("-"), F.col("p_partkey").cast("string")))
-    return cat.part.select("p_partkey", name.alias("name"))
+    return cat.part.select("p_partkey", name.alias("name"), *keep)
 
 
 @register("prj_name_category")
@@ -212,7 +212,7 @@ def flt_valid_caps(cat: Catalog) -> DataFrame:
 @register("flt_min_count")
 def flt_min_count(cat: Catalog) -> DataFrame:
     c = cat.v_inv.groupBy("function_name").agg(F.count(F.lit(1)).alias("invocation_count"))
-    return P.min_count(c, minimum=35)
+    return P.min_count(c)
 
 
 @register("flt_name_search")

@@ -25,6 +25,11 @@ def master(cat: Catalog) -> DataFrame:
     return T.trace_master(cat.v_fn_day, cat.v_app_day, cat.v_fn_minutes, MINUTE_COLS)
 
 
+def basic_master(cat: Catalog) -> DataFrame:
+    """The master table for reports that need no duration percentiles."""
+    return T.trace_master(cat.v_fn_day_basic, cat.v_app_day, cat.v_fn_minutes, MINUTE_COLS)
+
+
 @register("src_minute_wide")
 def src_minute_wide(cat: Catalog) -> DataFrame:
     m = cat.v_fn_minutes
@@ -55,14 +60,14 @@ def agg_two_level_duration(cat: Catalog) -> DataFrame:
 
 @register("agg_two_level_memory")
 def agg_two_level_memory(cat: Catalog) -> DataFrame:
-    return T.memory_summary(cat.v_app_day).select("hash_app", r9("memory_allocated_mb"))
+    return T.memory_summary(cat.v_app_day).select("hash_app", r9("memory_allocated_mb"), r9("memory_p50_mb"), r9("memory_p99_mb"))
 
 
 @register("agg_distinct_counts")
 def agg_distinct_counts(cat: Catalog) -> DataFrame:
     """Distinct functions overall, and the sum of per-day distinct counts
     (the "raw unique" figure, which counts a function once per day)."""
-    d = cat.v_fn_day
+    d = cat.v_fn_day_basic
     per_day = d.groupBy("day").agg(F.countDistinct("hash_function").alias("n"))
     overall = d.agg(F.countDistinct("hash_function").alias("distinct_functions"))
     return overall.crossJoin(per_day.agg(F.sum("n").alias("raw_unique_sum")))
@@ -70,7 +75,7 @@ def agg_distinct_counts(cat: Catalog) -> DataFrame:
 
 @register("join_duration_invocations")
 def join_duration_invocations(cat: Catalog) -> DataFrame:
-    dur = T.duration_summary(cat.v_fn_day)
+    dur = T.duration_summary(cat.v_fn_day_basic)
     inv = T.invocation_summary(cat.v_fn_minutes, MINUTE_COLS)
     return dur.join(inv, "hash_function", "inner").select(
         "hash_function", "hash_app", "invocation_count", r9("avg_duration_ms"), r9("daily_invocations"), "trigger_type")
@@ -78,7 +83,7 @@ def join_duration_invocations(cat: Catalog) -> DataFrame:
 
 @register("join_function_memory")
 def join_function_memory(cat: Catalog) -> DataFrame:
-    dur = T.duration_summary(cat.v_fn_day)
+    dur = T.duration_summary(cat.v_fn_day_basic)
     return dur.join(T.memory_summary(cat.v_app_day), "hash_app", "inner").select(
         "hash_function", "hash_app", r9("avg_duration_ms"), r9("memory_allocated_mb"))
 
@@ -89,13 +94,14 @@ _MASTER_COLS = ["hash_function", "hash_app", "invocation_count", "trigger_type"]
 @register("trace_master")
 def trace_master_q(cat: Catalog) -> DataFrame:
     m = master(cat)
-    return m.select(*_MASTER_COLS, *[r9(c) for c in _DUR_OUT], r9("daily_invocations"), r9("memory_allocated_mb"))
+    return m.select(*_MASTER_COLS, *[r9(c) for c in _DUR_OUT], r9("daily_invocations"), r9("memory_allocated_mb"),
+                    r9("memory_p50_mb"), r9("memory_p99_mb"))
 
 
 @register("trace_energy_top_functions")
 def trace_energy_top_functions(cat: Catalog) -> DataFrame:
     """Flagship: functions with the highest energy per call, top 20."""
-    m = master(cat).withColumn("energy_wh", E.energy_wh("memory_allocated_mb", "avg_duration_ms"))
+    m = basic_master(cat).withColumn("energy_wh", E.energy_wh("memory_allocated_mb", "avg_duration_ms"))
     top = m.orderBy(F.desc("energy_wh"), F.asc("hash_function"), F.asc("hash_app")).limit(20)
     return top.select("hash_function", "hash_app", "trigger_type", r9("avg_duration_ms"), r9("memory_allocated_mb"),
                       R.half_up("energy_wh", 9).alias("energy_wh"),
@@ -111,7 +117,7 @@ def agg_trace_functions(cat: Catalog) -> DataFrame:
 
 @register("agg_value_share")
 def agg_value_share(cat: Catalog) -> DataFrame:
-    return T.value_share(master(cat), "trigger_type").select("trigger_type", "n", r9("pct"))
+    return T.value_share(basic_master(cat), "trigger_type").select("trigger_type", "n", r9("pct"))
 
 
 @register("agg_value_share_top")
