@@ -26,8 +26,18 @@ def str_hourly_traffic(cat: Catalog) -> DataFrame:
     return hourly(cat)
 
 
+def earlier(cat: Catalog) -> DataFrame:
+    """The forecast of what came before the middle of the covered time."""
+    e = cat.events
+    return MON.forecast_from_history(e.join(F.broadcast(MON.forecast_cut(e)), F.col("ts") < F.col("cut")).drop("cut"))
+
+
+def judged(cat: Catalog, hours: DataFrame) -> DataFrame:
+    return hours.join(F.broadcast(MON.forecast_cut(cat.events)), F.col("window_start") >= F.col("cut")).drop("cut")
+
+
 def status(cat: Catalog) -> DataFrame:
-    return MON.drift_status(hourly(cat), MON.forecast_from_history(cat.events))
+    return MON.drift_status(judged(cat, hourly(cat)), earlier(cat))
 
 
 @register("str_drift_status")
@@ -40,7 +50,7 @@ def str_drift_status(cat: Catalog) -> DataFrame:
 def str_drift_alerts(cat: Catalog) -> DataFrame:
     a = MON.drift_alerts(status(cat))
     return a.select("function_name", "window_start", r9("deviation_pct"), "severity", "title", "direction",
-                    "cost_estimate_inr")
+                    "cost_estimate_inr", "saving_estimate_inr", "detail", "advice")
 
 
 @register("str_live_history")
@@ -50,8 +60,8 @@ def str_live_history(cat: Catalog) -> DataFrame:
 
 @register("str_gap_stream")
 def str_gap_stream(cat: Catalog) -> DataFrame:
-    """Live energy per call against each function's reference prediction
-    (mean energy per call over the landed history)."""
+    """Live energy per call against each function's reference value (mean
+    energy per call over the landed history; ``gap_analysis`` has the model's)."""
     hist = cat.events.select(F.concat(F.lit("fn-"), F.col("event_type")).alias("function_name"),
                              ((F.lit(10.0) + F.lit(0.2) * (F.col("user_id") * 10.0)) * F.col("value")
                               / F.lit(3600000.0)).alias("e"))
@@ -68,5 +78,5 @@ def join_forecast_actual(cat: Catalog) -> DataFrame:
     hourly_b = (e.groupBy(F.concat(F.lit("fn-"), F.col("event_type")).alias("function_name"),
                           F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("window_start"))
                 .agg(F.count(F.lit(1)).alias("actual_rph")))
-    return hourly_b.join(MON.forecast_from_history(e), "function_name", "inner") \
+    return judged(cat, hourly_b).join(earlier(cat), "function_name", "inner") \
         .select("function_name", "window_start", "actual_rph", r9("predicted_rph"))
