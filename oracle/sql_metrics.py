@@ -118,6 +118,9 @@ SELECT hash_function, trigger_type, round(avg_duration_ms, 9) AS avg_duration_ms
   round(abs(actual_wh - predicted_wh), 9) AS absolute_error_wh,
   round(abs(actual_wh - predicted_wh) / greatest(actual_wh, 1e-9) * 100.0e0, 9) AS percentage_error,
   round(greatest(0.0e0, 100.0e0 - abs(actual_wh - predicted_wh) / greatest(actual_wh, 1e-9) * 100.0e0), 9) AS accuracy_pct FROM az""",
+    "sink_summary_json": f"""WITH {AZURE}, o AS ({overall('azure')})
+SELECT round(r2, 6) AS r2_score, round(mae, 6) AS mae_wh, round(rmse, 6) AS rmse_wh, round(mape, 6) AS mape_pct, round(accuracy, 6) AS mean_accuracy_pct,
+  n AS sample_size, CASE WHEN r2 >= 0.95 THEN 'STRONG' WHEN r2 >= 0.85 THEN 'MODERATE' WHEN r2 >= 0.70 THEN 'LIMITED' ELSE 'WEAK' END AS generalizability_verdict FROM o""",
     "src_json_summary": f"""WITH {AZURE}, o AS ({overall('azure')}),
 b AS ({by_category('azure', 'trigger_type', ['http', 'timer', 'queue', 'storage'], 'trigger_type')})
 SELECT CASE WHEN o.r2 >= 0.95 THEN 'STRONG' WHEN o.r2 >= 0.85 THEN 'MODERATE' WHEN o.r2 >= 0.70 THEN 'LIMITED' ELSE 'WEAK' END

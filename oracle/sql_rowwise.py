@@ -29,6 +29,33 @@ _ALIGN_COLS = {"memory_config_mb": "CAST(memory_mb AS DOUBLE)", "cold_start": "C
 
 _MONTHS = [f"m{i}" for i in range(1, 13)]
 
+# The 12 inputs of the range check.
+_CHECKED = ("memory_config_mb", "lines_of_code", "num_loops", "num_conditionals", "num_function_calls", "cyclomatic_complexity",
+            "max_nesting_depth", "local_duration_ms", "local_cpu_percent", "local_memory_mb", "aws_duration_ms", "aws_memory_used_mb")
+
+
+def _out_of_range() -> str:
+    from oracle.sql_profiles import PROFILE
+    live = {"aws_duration_ms": "ld", "memory_config_mb": "lm", "aws_memory_used_mb": "lm"}
+    cols = ", ".join(f"CASE WHEN {live[c]} IS NOT NULL AND {live[c]} > 0 THEN {live[c]} ELSE {c} END AS {c}" if c in live else c for c in _CHECKED)
+    buf = {c: f"(CASE WHEN mx_{c} > mn_{c} THEN (mx_{c} - mn_{c}) * 0.5e0 ELSE 1.0e0 END)" for c in _CHECKED}
+    flags = ", ".join(f"CASE WHEN {c} < mn_{c} - {b} OR {c} > mx_{c} + {b} THEN printf('{c} (%.1f) is out of typical range [%.1f, %.1f]', {c}, mn_{c} - {b}, mx_{c} + {b}) END"
+                      for c, b in buf.items())
+    return f"""WITH {PROFILE},
+lv AS (SELECT 'fn-' || CAST(user_id AS VARCHAR) AS function_name, avg(duration_ms) * 100 AS ld, max(user_id) * 10.0e0 AS lm
+  FROM v_live GROUP BY 'fn-' || CAST(user_id AS VARCHAR)),
+q AS (SELECT prof.function_name, {cols} FROM prof LEFT JOIN lv ON prof.function_name = lv.function_name),
+p AS (SELECT *, (10.0e0 + 0.2e0 * memory_config_mb) * aws_duration_ms / 3600000.0e0 * 3 - 0.2e0 AS prediction FROM q),
+b AS (SELECT {", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in _CHECKED)}, max(energy_target_wh) AS target_max FROM telemetry),
+f AS (SELECT function_name, list_filter([{flags},
+  CASE WHEN prediction <= 0 OR prediction > target_max * 2.0e0 THEN printf('Predicted energy (%.4f Wh) is out of typical target bounds.', prediction) END],
+  lambda x: x IS NOT NULL) AS r FROM p, b)
+SELECT function_name, len(r) > 0 AS is_low_confidence, array_to_string(r, '; ') AS reasons,
+  CASE WHEN len(r) > 0 THEN 0.5e0 ELSE 0.9998e0 END AS confidence, CASE WHEN len(r) > 0 THEN 'low' ELSE 'high' END AS confidence_status,
+  CASE WHEN len(r) > 0 THEN 'this function''s profile differs significantly from the training data; prediction may be less reliable. Reasons: '
+    || array_to_string(r, '; ') ELSE 'Prediction is reliable based on training distribution similarity.' END AS confidence_message FROM f"""
+
+
 SQL = {
     "prj_energy": """SELECT inv_id, function_name, memory_mb, latency_ms, 10.0e0 + 0.2e0 * memory_mb AS power_w,
   (10.0e0 + 0.2e0 * memory_mb) * latency_ms / 3600000.0e0 AS energy_wh,
@@ -121,22 +148,7 @@ SELECT * FROM v WHERE memory_allocated_mb IS NOT NULL AND avg_duration_ms IS NOT
     "flt_name_search": f"""WITH {_PART_NAMES} SELECT p_partkey, name FROM pnames WHERE lower(name) LIKE '%etl-transform-1%'""",
     "flt_negative_pred": f"""WITH {_PROFILE}
 SELECT function_name, round(predicted_wh * 2 - 0.15e0, 9) AS prediction FROM fprof WHERE round(predicted_wh * 2 - 0.15e0, 9) < 0""",
-    "flt_out_of_range": """WITH live AS (SELECT function_name, avg(user_id) * 20 AS memory_mb, avg(duration_ms) * 100 AS latency_ms,
-  count(*) / 40 AS quantity, avg(duration_ms) / 20 AS prediction FROM v_live GROUP BY function_name),
-b AS (SELECT min(CAST(memory_mb AS DOUBLE)) AS mn1, max(CAST(memory_mb AS DOUBLE)) AS mx1, min(latency_ms) AS mn2, max(latency_ms) AS mx2,
-  min(quantity) AS mn3, max(quantity) AS mx3 FROM v_inv),
-bb AS (SELECT *, CASE WHEN mx1 - mn1 > 0 THEN (mx1 - mn1) * 0.5 ELSE 1.0 END AS b1, CASE WHEN mx2 - mn2 > 0 THEN (mx2 - mn2) * 0.5 ELSE 1.0 END AS b2,
-  CASE WHEN mx3 - mn3 > 0 THEN (mx3 - mn3) * 0.5 ELSE 1.0 END AS b3 FROM b),
-t AS (SELECT max(actual_wh) AS target_max FROM v_pred),
-f AS (SELECT live.function_name, list_filter([
-  CASE WHEN memory_mb < mn1 - b1 OR memory_mb > mx1 + b1 THEN printf('memory_mb (%.1f) is out of typical range [%.1f, %.1f]', memory_mb, mn1 - b1, mx1 + b1) END,
-  CASE WHEN latency_ms < mn2 - b2 OR latency_ms > mx2 + b2 THEN printf('latency_ms (%.1f) is out of typical range [%.1f, %.1f]', latency_ms, mn2 - b2, mx2 + b2) END,
-  CASE WHEN quantity < mn3 - b3 OR quantity > mx3 + b3 THEN printf('quantity (%.1f) is out of typical range [%.1f, %.1f]', quantity, mn3 - b3, mx3 + b3) END,
-  CASE WHEN prediction <= 0 OR prediction > target_max * 2.0 THEN printf('Predicted energy (%.4f Wh) is out of typical target bounds.', prediction) END],
-  lambda x: x IS NOT NULL) AS r
-  FROM live, bb, t)
-SELECT function_name, len(r) > 0 AS is_low_confidence, array_to_string(r, '; ') AS reasons,
-  CASE WHEN len(r) > 0 THEN 0.5e0 ELSE 0.9998e0 END AS confidence FROM f""",
+    "flt_out_of_range": _out_of_range(),
     "flt_energy_gate": f"""WITH d AS (SELECT doc_id, CAST({sql_loc_count('text')} AS DOUBLE) AS loc,
   1.0e0 + (length(text) - length(replace(text, ',', ''))) / 10.0e0 AS cc FROM documents)
 SELECT doc_id, round(0.5e0 + cc * 0.15e0 + loc * 0.002e0, 6) AS gate_energy_wh,

@@ -33,3 +33,40 @@ def test_telemetry_csv_cold_start_variants(spark):
         f.write("\n".join(lines) + "\n")
     got = {r.function_name: r.cold_start for r in IO.read_telemetry_csv(spark, root).collect()}
     assert got == {"fn0": 1, "fn1": 0, "fn2": 1, "fn3": 0, "fn4": 0}
+
+
+def test_columns_by_name_whatever_the_order(spark):
+    """A leading extra column, another order, short rows, a file without the columns."""
+    import warnings
+    root = tempfile.mkdtemp(prefix="wattline-names-")
+    files = {"day=1": "HashOwner,HashApp,HashFunction,Average,Count\no,a,f,1.5,2\no,a,g,x,3\n",
+             "day=2": "Count,Average,HashFunction\n7,2.5,f\n8,3.5\n9,4.5,g,extra\n", "day=3": "Other\n1\n"}
+    for d, text in files.items():
+        os.makedirs(f"{root}/{d}")
+        with open(f"{root}/{d}/p.csv", "w") as f:
+            f.write(text)
+    schema = StructType([StructField("HashFunction", StringType()), StructField("Average", DoubleType())])
+    with warnings.catch_warnings(record=True) as w:
+        warnings.simplefilter("always")
+        got = IO.read_trace_glob(spark, f"{root}/day=*/*.csv", schema, ["HashFunction", "Average"])
+        rows, report = IO.read_csv_by_name(spark, f"{root}/day=*", {"HashFunction": "string", "Average": "double"})
+    assert any("Average" in str(x.message) for x in w)
+    assert sorted(((r.HashFunction, r.Average, r.day) for r in got.collect()), key=str) == [("f", 1.5, 1), ("f", 2.5, 2), ("g", None, 1)]
+    rep = {r.file.split("/")[-2]: (r.status.split(":")[0], r.rows, r.bad_rows) for r in report.collect()}
+    assert rep == {"day=1": ("read", 2, 0), "day=2": ("read", 3, 2), "day=3": ("skipped", 0, 0)}
+    assert rows.count() == 3
+
+
+def test_sources_in_zip_archives(spark):
+    import zipfile
+
+    from wattline.models import codemetrics as CM
+    root = tempfile.mkdtemp(prefix="wattline-zip-")
+    with zipfile.ZipFile(f"{root}/fn-1.zip", "w") as z:
+        z.writestr("handler.py", "def f(x):\n    if x:\n        return 1\n")
+        z.writestr("lib/util.py", "class A:\n    def g(self):\n        for i in y:\n            pass\n        else:\n            pass\n")
+        z.writestr("data.bin", b"\xff\xfe")
+    b = CM.bundle_metrics(CM.source_metrics(IO.read_code_archives(spark, root))).first()
+    # blocks: f 2, A 4 (1 + method's 3, one method), g 3
+    assert (b.bundle, b.files, b.lines_of_code, b.num_loops, b.num_conditionals) == ("fn-1", 2, 9, 1, 1)
+    assert b.cyclomatic_complexity == 3.0

@@ -16,6 +16,15 @@ def missing_values(df: DataFrame) -> DataFrame:
     return long.where(F.col("missing_count") > 0)
 
 
+def missing_inputs(requests: DataFrame, key: str, raw: Sequence[str], encoded: Sequence[str]) -> DataFrame:
+    """Requests (key, inputs map<string, ...>) that can't be scored: some raw
+    feature is missing and some encoded feature too.  Lists the raw ones."""
+    lacking = lambda names: F.array_except(F.array(*[F.lit(n) for n in names]), F.map_keys("inputs"))
+    r = requests.withColumn("inputs", F.coalesce("inputs", F.create_map().cast(dict(requests.dtypes)["inputs"])))
+    return (r.select(key, lacking(raw).alias("_raw"), lacking(encoded).alias("_enc")).where((F.size("_raw") > 0) & (F.size("_enc") > 0))
+            .select(key, F.concat(F.lit("Missing required features: "), F.array_join("_raw", ", ")).alias("message"), F.size("_raw").alias("n_missing")))
+
+
 def missing_required(df: DataFrame, keys: Sequence[str], required: Sequence[str]) -> DataFrame:
     """Per row, the required inputs that are null (array_except on the
     present names); rows with nothing missing are dropped."""
@@ -56,5 +65,10 @@ def out_of_range(requests: DataFrame, train: DataFrame, features: Sequence[str],
     return (j.withColumn("_r", reasons)
             .withColumns({"is_low_confidence": F.size("_r") > 0,
                           "reasons": F.array_join("_r", "; "),
-                          "confidence": F.when(F.size("_r") > 0, F.lit(low)).otherwise(F.lit(high))})
+                          "confidence": F.when(F.size("_r") > 0, F.lit(low)).otherwise(F.lit(high)),
+                          "confidence_status": F.when(F.size("_r") > 0, "low").otherwise("high"),
+                          # The two messages.
+                          "confidence_message": F.when(F.size("_r") > 0, F.concat(
+                              F.lit("this function's profile differs significantly from the training data; prediction may be less reliable. Reasons: "),
+                              F.array_join("_r", "; "))).otherwise("Prediction is reliable based on training distribution similarity.")})
             .drop("_r", *[c for c in j.columns if c.startswith("_min_") or c.startswith("_max_")], "target_max"))

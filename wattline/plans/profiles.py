@@ -129,15 +129,18 @@ def join_lookup_fallback(cat: Catalog) -> DataFrame:
     return out.select("function_name", *[r9(c) for c in FALLBACK_NUMERIC], *CATEGORICAL, "is_fallback")
 
 
+def live_by_user(cat: Catalog) -> DataFrame:
+    """Live duration and memory of function ``fn-<user_id>``."""
+    return (cat.v_live.groupBy(F.concat(F.lit("fn-"), F.col("user_id").cast("string")).alias("function_name"))
+            .agg((F.avg("duration_ms") * 100).alias("live_duration_ms"), (F.max("user_id") * 10.0).alias("live_memory_mb")))
+
+
 @register("join_live_override")
 def join_live_override(cat: Catalog) -> DataFrame:
     """Profile values replaced by live values (> 0) where a function has live
     traffic (function ``fn-<user_id>``)."""
     prof = profile(cat).select("function_name", "aws_duration_ms", "memory_config_mb", "aws_memory_used_mb")
-    live = (cat.v_live.groupBy(F.concat(F.lit("fn-"), F.col("user_id").cast("string")).alias("function_name"))
-            .agg((F.avg("duration_ms") * 100).alias("live_duration_ms"),
-                 (F.max("user_id") * 10.0).alias("live_memory_mb")))
-    out = PR.live_override(prof, live, LIVE_COLUMNS)
+    out = PR.live_override(prof, live_by_user(cat), LIVE_COLUMNS)
     return out.select("function_name", r9("aws_duration_ms"), r9("memory_config_mb"), r9("aws_memory_used_mb"))
 
 

@@ -232,14 +232,15 @@ def flt_negative_pred(cat: Catalog) -> DataFrame:
 @register("flt_out_of_range")
 def flt_out_of_range(cat: Catalog) -> DataFrame:
     from wattline.operators.checks import out_of_range
-    train = cat.v_inv.select(F.col("memory_mb").cast("double"), "latency_ms", "quantity")
-    live = (cat.v_live.groupBy("function_name")
-            .agg((F.avg("user_id") * 20).alias("memory_mb"), (F.avg("duration_ms") * 100).alias("latency_ms"),
-                 (F.count(F.lit(1)) / 40).alias("quantity"),
-                 (F.avg("duration_ms") / 20).alias("prediction")))
-    target_max = cat.v_pred.agg(F.max("actual_wh").alias("target_max"))
-    out = out_of_range(live, train, ["memory_mb", "latency_ms", "quantity"], "prediction", target_max)
-    return out.select("function_name", "is_low_confidence", "reasons", "confidence")
+    from wattline.config import RANGE_CHECK_FEATURES
+    from wattline.plans.profiles import LIVE_COLUMNS, live_by_user, profile, telemetry
+    from wattline.operators.profiles import live_override
+    train = telemetry(cat)
+    req = live_override(profile(cat).select("function_name", *RANGE_CHECK_FEATURES), live_by_user(cat), LIVE_COLUMNS)
+    # stand-in score: the power formula, shifted so that some rows fall below 0
+    req = req.withColumn("prediction", P.E.energy_wh("memory_config_mb", "aws_duration_ms") * 3 - 0.2)
+    out = out_of_range(req, train, RANGE_CHECK_FEATURES, "prediction", train.agg(F.max("energy_target_wh").alias("target_max")))
+    return out.select("function_name", "is_low_confidence", "reasons", "confidence", "confidence_status", "confidence_message")
 
 
 @register("flt_energy_gate")

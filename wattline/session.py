@@ -73,6 +73,14 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
 
 
+def file_versions(spark: SparkSession, path: str) -> tuple:
+    """(name, size, time) of a file, or of the files of a folder."""
+    fs, p = _storage(spark, path)
+    st = fs.getFileStatus(p)
+    files = fs.listStatus(p) if st.isDirectory() else [st]
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in files))
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     fs, p = _storage(spark, path)
     fs.delete(p, True)
