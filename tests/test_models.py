@@ -56,3 +56,71 @@ def test_code_metrics_from_bundle_files(spark):
     assert not rows["broken.py"].parsed and rows["broken.py"].loc == 2
     b = CM.bundle_metrics(files).first()
     assert b.bundle == "b1" and b.lines_of_code == 10 and b.cyclomatic_complexity == 5.0
+
+
+def test_discretised_lime_finds_the_step(spark):
+    """The prediction depends on whether a is in its lower half."""
+    train = _frame(spark, 400)
+    bins = X.quartile_bins(train, FEATS)
+    step = lambda df: df.withColumn("prediction", F.when(F.col("a") <= 2.0, 5.0).otherwise(1.0) + 0.0 * F.col("b"))
+    w = X.lime_discretised(_frame(spark, 2), bins, FEATS, step, n_samples=600)
+    got = {(r.row_id, r.feature): r.lime_weight for r in w.collect()}
+    for i in (0, 1):      # a = 0 and 1: both in the lower half
+        assert got[(i, "a")] > 0.8 and abs(got[(i, "b")]) < 0.4 and abs(got[(i, "c")]) < 0.4
+
+
+def test_weighted_shap_background(spark):
+    e = _frame(spark, 2)
+    bg = spark.createDataFrame([(0.0, 0.0, 0.0, 3.0), (4.0, 4.0, 4.0, 1.0)], "a double, b double, c double, w double")
+    s = X.permutation_shap(e, bg, FEATS, _linear, n_perm=2, weight="w")
+    want = 2.0 * 1.0 - 3.0 * 1.0 + 0.5 * 1.0 + 1.0       # the linear model at the weighted mean
+    assert all(abs(r.base_value - want) < 1e-9 for r in s.collect())
+
+
+def test_forest_ignores_constant_columns_and_network_stops_early(spark):
+    from wattline.models import trees as TR
+    from wattline.models.mlp import DistributedMLP
+    df = _frame(spark, 300).withColumn("k", F.lit(1.0)).withColumn("energy_target_wh", F.col("a") + 2 * F.col("b"))
+    rf = TR.fit(df, "rf", features=["a", "k", "b"], num_trees=5, max_depth=4)
+    imp = {r.feature: r.importance for r in TR.importances(spark, rf, ["a", "k", "b"]).collect()}
+    assert imp["k"] == 0.0 and imp["b"] > imp["a"] > 0
+    net = DistributedMLP(["a", "b", "k"], "energy_target_wh", hidden=(16,), epochs=60, batch=16, lr=0.01, patience=5).fit(df)
+    assert net.history[-1] < 0.05 and len(net.history) <= 61
+    assert net.transform(df).selectExpr("max(abs(prediction - energy_target_wh)) e").first().e < 1.5
+
+
+def test_gap_report_hand_rows(spark):
+    """p = 0 stays, p < 0 takes the floor after the range check, range 0 has a buffer of 1."""
+    from wattline.config import RANGE_CHECK_FEATURES
+    from wattline.operators.gap import gap_report
+    train = spark.createDataFrame([[100.0] + [5.0] * 11, [200.0] + [5.0] * 11], ", ".join(f"{c} double" for c in RANGE_CHECK_FEATURES))
+    inputs = spark.createDataFrame([(n, *[150.0] + [v] * 11) for n, v in (("zero", 5.0), ("neg", 5.0), ("far", 6.5), ("ok", 6.0))],
+                                   "function_name string, " + ", ".join(f"{c} double" for c in RANGE_CHECK_FEATURES))
+    live = spark.createDataFrame([("zero", 0.0, 0.0), ("neg", 0.0, 0.0), ("far", 0.0, 0.0), ("ok", 5.5, 120.0)],
+                                 "function_name string, avg_duration_ms double, max_memory_mb double")
+    score = lambda df: df.withColumn("prediction", F.when(F.col("function_name") == "zero", 0.0)
+                                     .when(F.col("function_name") == "neg", -2.0).otherwise((10 + 0.2 * F.col("memory_config_mb")) * F.col("aws_duration_ms") / 3600000.0))
+    top = spark.createDataFrame([(1.0,)], "target_max double")
+    got = {r.function_name: r for r in gap_report(inputs, live, train, top, score).collect()}
+    assert got["zero"].predicted_wh == 0.0 and got["zero"].confidence_status == "low"
+    assert got["neg"].predicted_wh == 0.0001 and "-2.0000" in got["neg"].reasons
+    assert got["far"].confidence == 0.5 and "out of typical range [4.0, 6.0]" in got["far"].reasons
+    ok = got["ok"]      # memory 120 in both memory inputs: the used memory is out of its range
+    assert ok.memory_config_mb == 120.0 and ok.aws_memory_used_mb == 120.0 and ok.aws_duration_ms == 5.5
+    assert abs(ok.accuracy_pct - 100.0) < 1e-9 and ok.verdict == "Excellent"
+
+
+def test_missing_inputs_rule(spark):
+    from wattline.operators.checks import missing_inputs
+    df = spark.createDataFrame([("raw", {"a": 1.0, "b": 1.0}), ("enc", {"x": 1.0, "y": 1.0}), ("bad", {"a": 1.0, "x": 1.0}), ("none", None)],
+                               "k string, inputs map<string,double>")
+    got = {r.k: r.message for r in missing_inputs(df, "k", ["a", "b"], ["x", "y"]).collect()}
+    assert got == {"bad": "Missing required features: b", "none": "Missing required features: a, b"}
+
+
+def test_means_of_an_empty_table_are_the_fallback(spark):
+    from wattline.config import FALLBACK_MEANS
+    from wattline.plans.modelling import MEAN_FEATURES, means_of
+    df = spark.createDataFrame([], ", ".join(f"{c} double" for c in MEAN_FEATURES) + ", function_type string")
+    r = means_of(df).first()
+    assert r.mean_lines_of_code == FALLBACK_MEANS["lines_of_code"] and r.share_io == FALLBACK_MEANS["share_io"]

@@ -57,6 +57,13 @@ DEFAULT_CODE_METRICS = {
     "lines_of_code": 20.0, "num_loops": 2.0, "num_conditionals": 1.0,
     "num_function_calls": 5.0, "cyclomatic_complexity": 2.0, "max_nesting_depth": 2.0,
 }
+# Training means used where there is no training table.
+FALLBACK_MEANS = {
+    "cold_start": 0.033783783783783786, "lines_of_code": 23.86861861861862, "num_loops": 2.40015015015015,
+    "num_conditionals": 0.668918918918919, "num_function_calls": 9.396396396396396, "cyclomatic_complexity": 4.069069069069069,
+    "max_nesting_depth": 1.5375375375375375, "local_cpu_percent": 17.49655405405405, "memory_efficiency": 0.09614081855292793,
+    "share_io": 0.3378, "share_memory": 0.3288,
+}
 # Default local / cloud durations (ms) when no measurement exists.
 DEFAULT_LOCAL_DURATION_MS = 50.0
 DEFAULT_AWS_DURATION_MS = 60.0

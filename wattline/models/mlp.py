@@ -1,11 +1,13 @@
 """Multilayer-perceptron regressor trained data-parallel.
 
-Spark ML has no MLP regressor, so each epoch broadcasts the weights, every
-task computes the loss gradient of its partition with numpy (mapInPandas,
-Arrow batches), the per-task gradients are summed on the executors (one
-aggregation by parameter index), and the driver receives that single summed
-vector and takes an Adam step.  Only weights and one gradient (a few
-thousand numbers) move through the driver, whatever the partition count.  Inputs and target are standardised (population statistics).
+Spark ML has no MLP regressor.  Each epoch broadcasts the weights; every task
+takes mini-batch Adam steps over its partition with numpy (mapInPandas, Arrow
+batches) and yields its weights; the executors sum them weighted by rows (one
+aggregation by parameter index) and the driver receives the one mean.  Only
+weights (a few thousand numbers) move through the driver, whatever the number
+of partitions.  A part of the rows, by hash, is held back; training stops when
+their loss has not improved for ``patience`` epochs, and the best weights
+stay.  Inputs and target are standardised (population statistics).
 """
 
 from __future__ import annotations
@@ -68,60 +70,88 @@ def _grad(params: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.nd
 
 
 class DistributedMLP:
-    def __init__(self, features: Sequence[str], target: str, hidden: Sequence[int] = (64, 32),
-                 epochs: int = 40, lr: float = 0.01, seed: int = 42):
+    """Defaults: layers 64 and 32, batches of 32, rate 0.001, at most 100
+    epochs, a fifth held back, patience 10."""
+
+    def __init__(self, features: Sequence[str], target: str, hidden: Sequence[int] = (64, 32), epochs: int = 100, batch: int = 32,
+                 lr: float = 0.001, hold_back: float = 0.2, patience: int = 10, rows_per_task: int = 100_000, seed: int = 42):
         self.features, self.target = list(features), target
         self.sizes = [len(self.features), *hidden, 1]
-        self.epochs, self.lr, self.seed = epochs, lr, seed
+        self.epochs, self.batch, self.lr, self.seed = epochs, batch, lr, seed
+        self.hold_back, self.patience, self.rows_per_task = hold_back, patience, rows_per_task
         self.scaler = PopulationScaler([*self.features, target])
         self.params: list[np.ndarray] = []
-        self.history: list[float] = []
+        self.history: list[float] = []      # loss of the held-back rows after each epoch
 
     def _matrix(self, df: DataFrame) -> DataFrame:
         s = self.scaler.transform(df, suffix="__s")
-        return s.select(F.array(*[F.col(f"`{c}__s`") for c in self.features]).alias("x"),
-                        F.col(f"{self.target}__s").alias("y"))
+        x = F.array(*[F.col(f"`{c}__s`") for c in self.features])
+        return s.select(x.alias("x"), F.col(f"{self.target}__s").alias("y"),
+                        (F.pmod(F.xxhash64(x, F.lit(self.seed)), F.lit(1000)) < int(1000 * self.hold_back)).alias("held"))
+
+    def _epoch(self, data: DataFrame, theta: np.ndarray, state: np.ndarray, steps: int, number: int) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """One pass: mean weights and Adam moments over the tasks, and the
+        summed loss and number of held-back rows under the incoming weights."""
+        shared = data.sparkSession.sparkContext.broadcast((theta, state))
+        sizes, batch, lr, seed = self.sizes, self.batch, self.lr, self.seed
+
+        def run(it):
+            theta, state = (x.copy() for x in shared.value)
+            m, v = state[:len(theta)], state[len(theta):]
+            start = _unflatten(theta.copy(), sizes)
+            rng = np.random.default_rng(seed + number)
+            t, rows, loss, held = steps, 0, 0.0, 0
+            for pdf in it:
+                if len(pdf) == 0:
+                    continue
+                x, y, h = np.stack(pdf["x"].to_numpy()).astype(float), pdf["y"].to_numpy(dtype=float), pdf["held"].to_numpy(dtype=bool)
+                if h.any():
+                    loss += float(np.sum((_forward(start, x[h])[0] - y[h]) ** 2))
+                    held += int(h.sum())
+                x, y = x[~h], y[~h]
+                order = rng.permutation(len(x))
+                for a in range(0, len(order), batch):
+                    i = order[a:a + batch]
+                    g, _ = _grad(_unflatten(theta, sizes), x[i], y[i])
+                    g /= len(i)
+                    t += 1
+                    m[:] = 0.9 * m + 0.1 * g
+                    v[:] = 0.999 * v + 0.001 * g * g
+                    theta -= lr * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+                rows += len(x)
+            yield pd.DataFrame({"w": [(np.concatenate([theta, state]) * rows).tolist() + [float(rows), loss, float(held)]]})
+
+        out = data.mapInPandas(run, "w array<double>").select(F.posexplode("w").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+        total = np.zeros(3 * len(theta) + 3)
+        for r in out:
+            total[r["i"]] = r["v"]
+        shared.unpersist()
+        mean = total[:-3] / max(total[-3], 1.0)
+        return mean[:len(theta)], mean[len(theta):], float(total[-2]), float(total[-1])
 
     def fit(self, df: DataFrame) -> "DistributedMLP":
         self.scaler.fit(df)
-        data = self._matrix(df).persist()
+        data = self._matrix(df)
         n = data.count()
-        sc = df.sparkSession.sparkContext
+        tasks = max(1, -(-n // self.rows_per_task))
+        data = data.repartition(tasks).persist()
         theta = _flatten(_init(self.sizes, self.seed))
-        m = np.zeros_like(theta)
-        v = np.zeros_like(theta)
-        b1, b2, eps = 0.9, 0.999, 1e-8
-        sizes = self.sizes
-        for epoch in range(1, self.epochs + 1):
-            bw = sc.broadcast(theta)
-
-            def part_grad(it, bw=bw):
-                params = _unflatten(bw.value, sizes)
-                g = np.zeros_like(bw.value)
-                loss = 0.0
-                for pdf in it:
-                    if len(pdf) == 0:
-                        continue
-                    x = np.stack(pdf["x"].to_numpy()).astype(float)
-                    gg, ll = _grad(params, x, pdf["y"].to_numpy(dtype=float))
-                    g += gg
-                    loss += ll
-                yield pd.DataFrame({"g": [g.tolist()], "loss": [loss]})
-
-            parts = data.mapInPandas(part_grad, "g array<double>, loss double")
-            summed = (parts.select(F.posexplode(F.array_append("g", F.col("loss"))).alias("i", "v"))
-                      .groupBy("i").agg(F.sum("v").alias("v")).collect())
-            total = np.zeros(len(theta) + 1)
-            for r in summed:
-                total[r["i"]] = r["v"]
-            grad = total[:-1] / max(n, 1)
-            self.history.append(float(total[-1]) / max(n, 1))
-            m = b1 * m + (1 - b1) * grad
-            v = b2 * v + (1 - b2) * grad * grad
-            theta = theta - self.lr * (m / (1 - b1 ** epoch)) / (np.sqrt(v / (1 - b2 ** epoch)) + eps)
-            bw.unpersist()
+        state = np.zeros(2 * len(theta))
+        best, best_theta, waited = np.inf, theta, 0
+        steps = max(1, int(n * (1 - self.hold_back) / tasks / self.batch))
+        for epoch in range(self.epochs + 1):       # the last pass only measures
+            new, new_state, loss, held = self._epoch(data, theta, state, epoch * steps, epoch)
+            value = loss / held if held else 0.0
+            self.history.append(value)
+            if value < best - 1e-4 * 1e-2:
+                best, best_theta, waited = value, theta, 0
+            else:
+                waited += 1
+            if waited >= self.patience:
+                break
+            theta, state = new, new_state
         data.unpersist()
-        self.params = _unflatten(theta, sizes)
+        self.params = _unflatten(best_theta, self.sizes)
         return self
 
     def transform(self, df: DataFrame, out: str = "prediction", floor: float | None = 0.0) -> DataFrame:

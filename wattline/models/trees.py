@@ -25,24 +25,30 @@ ALIASES = {"xgboost": "gbt", "gbt": "gbt", "random_forest": "rf", "rf": "rf",
            "neural_network": "mlp", "neural_net": "mlp", "nn": "mlp", "mlp": "mlp"}
 
 
-def gbt_estimator(target: str = TARGET, max_iter: int = 30, max_depth: int = 6, seed: int = 42,
-                  validation_col: str | None = "is_validation") -> GBTRegressor:
-    extra = {"validationIndicatorCol": validation_col, "validationTol": 0.0001} if validation_col else {}
-    return GBTRegressor(featuresCol="features", labelCol=target, maxIter=max_iter, maxDepth=max_depth,
-                        stepSize=0.15, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, maxBins=64,
-                        **extra)
+def gbt_estimator(target: str = TARGET, max_iter: int = 1000, max_depth: int = 10, step: float = 0.1, seed: int = 42,
+                  validation_col: str | None = "is_validation", validation_tol: float = 1e-5, max_bins: int = 256) -> GBTRegressor:
+    """At most ``max_iter`` trees; with a validation column, boosting ends at
+    the first tree that improves its error by less than the tolerance."""
+    extra = {"validationIndicatorCol": validation_col, "validationTol": validation_tol} if validation_col else {}
+    return GBTRegressor(featuresCol="features", labelCol=target, maxIter=max_iter, maxDepth=max_depth, stepSize=step,
+                        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, maxBins=max_bins, maxMemoryInMB=1024, **extra)
 
 
-def rf_estimator(target: str = TARGET, num_trees: int = 30, max_depth: int = 10, seed: int = 42) -> RandomForestRegressor:
+def rf_estimator(target: str = TARGET, num_trees: int = 200, max_depth: int = 15, features: str = "sqrt", seed: int = 42,
+                 max_bins: int = 256) -> RandomForestRegressor:
     return RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=num_trees, maxDepth=max_depth,
-                                 featureSubsetStrategy="sqrt", seed=seed, maxBins=64)
+                                 featureSubsetStrategy=features, seed=seed, maxBins=max_bins, maxMemoryInMB=1024)
 
 
 def fit(train: DataFrame, kind: str, features: Sequence[str] = FEATURE_ORDER, **params) -> PipelineModel:
     """``kind`` "gbt" or "rf"; ``train`` holds the feature columns, the
     target and (for gbt) a boolean ``is_validation`` column."""
     est = gbt_estimator(**params) if kind == "gbt" else rf_estimator(**params)
-    asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    # a column that never varies can't split; in the forest's feature subsets
+    # it would only take the place of one that can
+    row = train.agg(*[(F.min(f) != F.max(f)).alias(f) for f in features]).first()
+    used = [f for f in features if row[f]] or list(features)
+    asm = VectorAssembler(inputCols=used, outputCol="features", handleInvalid="keep")
     return Pipeline(stages=[asm, est]).fit(train)
 
 
@@ -60,9 +66,9 @@ def predict(model: PipelineModel, df: DataFrame, floor: float | None = 0.0, out:
 def importances(spark: SparkSession, model: PipelineModel, features: Sequence[str] = FEATURE_ORDER) -> DataFrame:
     """Normalised feature importances of the fitted ensemble, ranked (one
     row per model input)."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    total = sum(imp) or 1.0
-    rows = [(f, float(v) / total) for f, v in zip(features, imp)]
+    imp = dict(zip(model.stages[0].getInputCols(), model.stages[-1].featureImportances.toArray().tolist()))
+    total = sum(imp.values()) or 1.0
+    rows = [(f, float(imp.get(f, 0.0)) / total) for f in features]
     df = spark.createDataFrame(rows, "feature string, importance double")
     from pyspark.sql import Window
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.config import NUMERIC_FEATURES
+from wattline.config import FALLBACK_MEANS, NUMERIC_FEATURES
 from wattline.functions import rounding as R
 from wattline.functions.labels import FEATURE_ORDER
 from wattline.models import codemetrics as CM
@@ -28,6 +28,7 @@ from wattline.sources import files as IO
 from wattline.sources.tables import Catalog
 
 SPLITS = {"train": 0.64, "validation": 0.16, "test": 0.20}
+# The inputs that traces lack, imputed by training means.
 MEAN_FEATURES = ("cold_start", "lines_of_code", "num_loops", "num_conditionals", "num_function_calls",
                  "cyclomatic_complexity", "max_nesting_depth", "local_cpu_percent", "memory_efficiency")
 _MODELS: dict = {}
@@ -86,11 +87,17 @@ def ml_split(cat: Catalog) -> DataFrame:
     return hash_split(telemetry(cat).select("inv_id"), "inv_id", SPLITS)
 
 
+def means_of(t: DataFrame) -> DataFrame:
+    """One row: means of the imputed inputs and shares of the function types;
+    of an empty table, the fixed fallback means."""
+    share = lambda kind: F.avg(F.when(F.col("function_type") == kind, 1.0).otherwise(0.0))
+    return t.agg(*[F.coalesce(F.avg(c), F.lit(FALLBACK_MEANS[c])).alias(f"mean_{c}") for c in MEAN_FEATURES],
+                 F.coalesce(share("io"), F.lit(FALLBACK_MEANS["share_io"])).alias("share_io"),
+                 F.coalesce(share("memory"), F.lit(FALLBACK_MEANS["share_memory"])).alias("share_memory"))
+
+
 def training_means(cat: Catalog) -> DataFrame:
-    t = telemetry(cat)
-    return t.agg(*[F.avg(c).alias(f"mean_{c}") for c in MEAN_FEATURES],
-                 F.avg(F.when(F.col("function_type") == "io", 1.0).otherwise(0.0)).alias("share_io"),
-                 F.avg(F.when(F.col("function_type") == "memory", 1.0).otherwise(0.0)).alias("share_memory"))
+    return means_of(telemetry(cat))
 
 
 def trace_master(cat: Catalog) -> DataFrame:
@@ -274,55 +281,93 @@ def ml_predict(cat: Catalog) -> DataFrame:
     return P.confidence(scored).select("function_name", "model", "is_fallback", "prediction", "confidence")
 
 
-@register("ml_cv")
-def ml_cv(cat: Catalog) -> DataFrame:
-    """5-fold cross-validation (folds by seeded hash) of both tree models:
-    R2, MAE, RMSE per model and fold."""
+#: What the registered cross-validation passes where the defaults (500 rounds,
+#: 100 trees, 100 epochs) would take an hour on one machine.
+CV_SETTINGS = {"gbt": {"max_iter": 500}, "rf": {"num_trees": 20}, "mlp": {"epochs": 15}}
+
+
+def cross_validate(data: DataFrame, kinds: dict[str, dict], folds: int = 5, seed: int = 7) -> DataFrame:
+    """R2, MAE and RMSE per model and fold (folds by seeded hash).  Boosting
+    stops early on a fifth of the fold's training rows."""
     from wattline.session import materialize
-    data = materialize(hash_split(FE.telemetry_features(telemetry(cat), keep=("inv_id",)), "inv_id",
-                                  {f"f{i}": 0.2 for i in range(5)}, seed=7).withColumnRenamed("split", "fold"))
+    data = materialize(hash_split(data.drop("split", "is_validation"), "inv_id", {f"f{i}": 1 / folds for i in range(folds)}, seed=seed)
+                       .withColumnRenamed("split", "fold"))
     out = None
-    for k in range(5):
+    for k in range(folds):
         train, test = data.where(F.col("fold") != f"f{k}"), data.where(F.col("fold") == f"f{k}")
-        for kind, params in (("rf", {"num_trees": 10, "max_depth": 6}),
-                             ("gbt", {"max_iter": 10, "max_depth": 4, "validation_col": None})):
-            mdl = TR.fit(train, kind, **params)
-            pred = TR.predict(mdl, test).select(F.col("energy_target_wh").alias("actual_wh"),
-                                                F.col("prediction").alias("predicted_wh"))
-            row = M.regression_metrics(pred).select(F.lit(kind).alias("model"), F.lit(k).alias("fold"),
-                                                    "r2", "mae", "rmse", "n")
+        train = train.withColumn("is_validation", F.pmod(F.xxhash64("inv_id", F.lit(seed)), F.lit(5)) == 0)
+        for kind, params in kinds.items():
+            mdl = fitted(train, kind, **params)
+            pred = mdl.transform(test) if kind == "mlp" else TR.predict(mdl, test)
+            row = M.regression_metrics(pred.select(F.col("energy_target_wh").alias("actual_wh"), F.col("prediction").alias("predicted_wh"))).select(
+                F.lit(kind).alias("model"), F.lit(k).alias("fold"), "r2", "mae", "rmse", "n")
             out = row if out is None else out.unionByName(row)
     return out
 
 
+@register("ml_cv")
+def ml_cv(cat: Catalog) -> DataFrame:
+    """5-fold cross-validation of the three models on the training part."""
+    return cross_validate(prepared(cat).where(F.col("split") != "test"), CV_SETTINGS)
+
+
 # ------------------------------------------------------------------ explanations
 def explained_rows(cat: Catalog, n: int = 10) -> DataFrame:
     return seeded_sample(test_split(cat), "inv_id", n, seed=42).withColumn("row_id", F.col("inv_id"))
 
 
-def background_rows(cat: Catalog, n: int = 20) -> DataFrame:
+def background_rows(cat: Catalog, n: int = 100) -> DataFrame:
     return seeded_sample(prepared(cat).where(F.col("split") == "train"), "inv_id", n, seed=7)
 
 
 @register("ml_shap")
 def ml_shap(cat: Catalog) -> DataFrame:
-    return X.permutation_shap(explained_rows(cat), background_rows(cat), list(FEATURE_ORDER),
-                              scorer(cat, "gbt", floor=None), n_perm=4)
+    """Each of the three models: 100 background rows for the trees, their
+    k-means centres, weighted by cluster size, for the network."""
+    from wattline.session import materialize
+    rows = materialize(explained_rows(cat))
+    background = materialize(background_rows(cat))
+    centres = X.background_kmeans(background, list(FEATURE_ORDER), k=10)
+    centres = centres.select(*[F.col("center")[i].alias(f) for i, f in enumerate(FEATURE_ORDER)], "weight")
+    out = None
+    for kind in ("gbt", "rf", "mlp"):
+        bg, weight = (centres, "weight") if kind == "mlp" else (background, None)
+        s = X.permutation_shap(rows, bg, list(FEATURE_ORDER), scorer(cat, kind, floor=None), n_perm=4, weight=weight)
+        s = s.select(F.lit(kind).alias("model"), "*")
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def lime_rows(cat: Catalog, rows: DataFrame, kind: str, n_samples: int = 1000) -> DataFrame:
+    """Discretised LIME; bins from a bounded sample of the training rows."""
+    from wattline.session import materialize
+    train = materialize(seeded_sample(prepared(cat).where(F.col("split") == "train"), "inv_id", 5000, seed=11).select(*FEATURE_ORDER))
+    return X.lime_discretised(rows, X.quartile_bins(train, list(FEATURE_ORDER)), list(FEATURE_ORDER), scorer(cat, kind, floor=None), n_samples=n_samples)
+
+
+@register("ml_lime_global")
+def ml_lime_global(cat: Catalog) -> DataFrame:
+    """Mean absolute LIME weight of each feature over 50 rows, ranked."""
+    from wattline.operators import attributions as A
+    return A.global_importance(lime_rows(cat, explained_rows(cat, 50), "gbt"), "lime_weight").select("feature", "importance", "rank", "relative_pct")
+
+
+@register("ml_shap_global")
+def ml_shap_global(cat: Catalog) -> DataFrame:
+    """Mean absolute Shapley value of each feature over 50 rows, ranked."""
+    from wattline.operators import attributions as A
+    s = X.permutation_shap(explained_rows(cat, 50), background_rows(cat), list(FEATURE_ORDER), scorer(cat, "gbt", floor=None), n_perm=1)
+    return A.global_importance(s, "shap_value").select("feature", "importance", "rank", "relative_pct")
 
 
 @register("ml_lime")
 def ml_lime(cat: Catalog) -> DataFrame:
-    train = prepared(cat).where(F.col("split") == "train")
-    row = train.agg(*[F.stddev_pop(f).alias(f"s_{f}") for f in NUMERIC_FEATURES],
-                    *[F.avg(f).alias(f"m_{f}") for f in NUMERIC_FEATURES]).first()
-    std = {f: FE.usable_std(float(row[f"s_{f}"] or 0.0), float(row[f"m_{f}"] or 0.0)) for f in NUMERIC_FEATURES}
-    return X.lime(explained_rows(cat), std, list(FEATURE_ORDER), scorer(cat, "gbt", floor=None),
-                  n_samples=1000, perturb=list(NUMERIC_FEATURES))
+    return lime_rows(cat, explained_rows(cat), "gbt")
 
 
 @register("ml_background_kmeans")
 def ml_background_kmeans(cat: Catalog) -> DataFrame:
-    return X.background_kmeans(background_rows(cat, 100), list(NUMERIC_FEATURES), k=5)
+    return X.background_kmeans(background_rows(cat), list(NUMERIC_FEATURES), k=5)
 
 
 # ------------------------------------------------------------------ code metrics
