@@ -4,18 +4,19 @@
    sketch of shingle counts (fixed size).  Documents with equal sets form one
    class; only one text of a class goes on.
 2. Shingles are ordered by (sketch count, hash).  Two sets over the threshold
-   share a shingle among the first of each in that order, so each class is
-   dealt to the tiles of these shingles only.  Very common shingles come last
-   in the order and hardly ever make a tile.
+   share a shingle among the first of each in that order (fewer for the smaller
+   set), so each class is dealt to the tiles of these shingles only.  Very
+   common shingles come last in the order and hardly ever make a tile.  A tile's
+   rows are sorted by size; a row without a partner of fitting size goes.
 3. Neighbours by size within a tile are compared first.  This links most of
    what belongs together, also large groups of near copies, with one pair per
    row.
 4. Tiles that still hold several components are cut into size bands and, where
    large, into blocks.  Inside a tile, numpy compares hashed bitmap signatures
    of the pairs of different components; bit counts bound the overlap from
-   above.  What passes is compared exactly by sorted-array intersection.  Per
-   pair of components in a tile the likeliest pairs go first; the others
-   follow only while the components stay apart.
+   above.  What passes is compared exactly by sorted-array intersection: first
+   the likeliest pairs that would join the tile's components to a forest, then,
+   while components stay apart, more forests, until no pair is left out.
 
 ``similar_pairs`` returns every link between different sets; ``components``
 the components, for which links inside a component needn't be found.
@@ -34,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm.common import drop_saved, join_groups, key_bitmap, maybe_in, mix64, save, split_by, text_bytes, text_chunks, whole_rows
@@ -42,8 +43,8 @@ from wattline.llm.components import components as connected
 
 #: Counters of the shingle sketch (one byte each when broadcast: 4 MB).
 SKETCH_BITS, SLICE_BITS = 22, 12
-BLOCK = 1024             # rows of a block of a large tile
-FIRST_TRIES = 8          # pairs compared first for two components in a tile
+BLOCK = 512              # rows of a block of a large tile
+FIRST_TRIES = 2          # forests of pairs compared first in a tile
 SEEN_CLASSES = 1 << 20   # classes that a task remembers
 
 PROFILE = "doc_id long, n int, s1 long, s2 long, slice int, counts binary"
@@ -61,8 +62,13 @@ class Rule:
         return (100 * np.minimum(a, b) >= self.percent * np.maximum(a, b))
 
     def prefix(self, n: int) -> int:
+        """Shingles of which a link shares one, against any other set."""
         return n - -(-n * self.percent // 100) + 1
 
+    def short_prefix(self, n: int) -> int:
+        """Shingles of which a link shares one, against a set not smaller."""
+        return n - -(-2 * n * self.percent // (100 + self.percent)) + 1
+
 
 # ---- shingle sets -------------------------------------------------------
 
@@ -198,14 +204,15 @@ def _sketch(profiles: DataFrame) -> np.ndarray:
 # ---- pass 2: tiles ------------------------------------------------------
 
 def _prefixes(reps: DataFrame, rule: Rule, levels: np.ndarray) -> DataFrame:
-    """(h, v, n): the classes of each prefix shingle."""
+    """(h, v, n, short): the classes of each prefix shingle; ``short`` tells
+    whether it is among the first that suffice for the smaller set."""
     shared = reps.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, level = Shingler(rule), shared.value
         seen: set[int] = set()
         for _, data, off in text_chunks(batches):
-            hs, vs, ns = [], [], []
+            hs, vs, ns, short = [], [], [], []
             for s in shingler.sets(data, off):
                 if not len(s):
                     continue
@@ -221,50 +228,63 @@ def _prefixes(reps: DataFrame, rule: Rule, levels: np.ndarray) -> DataFrame:
                 hs.append(s[top])
                 vs.append(v)
                 ns.append((k, len(s)))
+                short.append(np.arange(k) < rule.short_prefix(len(s)))
             if hs:
                 k = [x[0] for x in ns]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.repeat(np.array(vs, np.int64), k)),
-                    pa.array(np.repeat(np.array([x[1] for x in ns], np.int32), k))], names=["h", "v", "n"])
+                    pa.array(np.repeat(np.array([x[1] for x in ns], np.int32), k)), pa.array(np.concatenate(short))], names=["h", "v", "n", "short"])
 
-    return reps.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, v long, n int")
+    return reps.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, v long, n int, short boolean")
 
 
-def _shared_tiles(prefixes: DataFrame) -> DataFrame:
-    """Rows of tiles with several classes, each with its neighbour by size:
-    (h, v, n, prev, prev_n), prev null for the first of a tile."""
+def _shared_tiles(prefixes: DataFrame, rule: Rule) -> DataFrame:
+    """Rows of tiles that have a partner of fitting size: (h, v, n, short,
+    prev); prev is the nearest smaller class that fits, or null.  Sorted by
+    size, the nearest partner tells whether there is any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold = None     # the last two rows, of which the first is already done
-
-        def settle(h, v, n, first: int, last: int) -> pa.RecordBatch:
-            same = np.concatenate(([False], h[1:] == h[:-1]))
-            multi = same | np.concatenate((same[1:], [False]))
-            i = first + np.flatnonzero(multi[first:last])
-            return pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(v[i]), pa.array(n[i]), pa.array(v[i - 1], mask=~same[i]),
-                                               pa.array(n[i - 1], mask=~same[i])], names=["h", "v", "n", "prev", "prev_n"])
+        hold = None     # the nearest short row before the last row, if any, and the last row
+
+        def settle(h, v, n, x, first: int, last: int) -> tuple[pa.RecordBatch, np.ndarray]:
+            at = np.arange(len(h))
+            near = np.concatenate(([-1], np.maximum.accumulate(np.where(x, at, -1))[:-1]))
+            near = np.where((near >= 0) & (h[near] == h), near, -1)
+            down = (near >= 0) & rule.sizes_fit(n[near], n)
+            up = np.zeros(len(h), bool)
+            up[:-1] = x[:-1] & (h[1:] == h[:-1]) & rule.sizes_fit(n[:-1], n[1:])
+            i = first + np.flatnonzero((down | up)[first:last])
+            return pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(v[i]), pa.array(n[i]), pa.array(x[i]), pa.array(v[near[i]], mask=~down[i])],
+                                              names=["h", "v", "n", "short", "prev"]), near
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("h", "v", "n")]
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "v", "n", "short")]
             done = 0
             if hold is not None:
                 done = len(hold[0]) - 1
                 cols = [np.concatenate((a, b)) for a, b in zip(hold, cols)]
-            h, v, n = cols
+            h, v = cols[0], cols[1]
             keep = np.concatenate(([True], (h[1:] != h[:-1]) | (v[1:] != v[:-1])))    # copies of a class
-            h, v, n = h[keep], v[keep], n[keep]
-            yield settle(h, v, n, done, len(h) - 1)
-            hold = [x[-2:] for x in (h, v, n)]
+            cols = [c[keep] for c in cols]
+            out, near = settle(*cols, done, len(cols[0]) - 1)
+            yield out
+            last = [len(cols[0]) - 1] if near[-1] < 0 else [near[-1], len(cols[0]) - 1]
+            hold = [c[last] for c in cols]
         if hold is not None:
-            yield settle(*hold, len(hold[0]) - 1, len(hold[0]))
+            yield settle(*hold, len(hold[0]) - 1, len(hold[0]))[0]
 
-    rows = prefixes.repartition("h").sortWithinPartitions("h", "n", "v")
-    return rows.mapInArrow(run, "h long, v long, n int, prev long, prev_n int")
+    rows = prefixes.repartition("h").sortWithinPartitions("h", "n", F.desc("short"), "v")
+    return rows.mapInArrow(run, "h long, v long, n int, short boolean, prev long")
 
 
 # ---- comparison ---------------------------------------------------------
 
 def _exact(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, link) for pairs (a, b) of classes."""
+    pairs = pairs.select("a", "b")
+    wanted = key_bitmap(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), "v")
+    texts = maybe_in(texts.select("v", "text"), "v", wanted)     # the other texts stay where they are
     left = texts.select(F.col("v").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("v").alias("b"), F.col("text").alias("tb"))
 
@@ -282,13 +302,14 @@ def _exact(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                     link.append(100 * both >= rule.percent * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(link, pa.bool_())], names=["a", "b", "link"])
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, link boolean")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, link boolean").distinct()
 
 
 def _bounded(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """Pairs whose signatures allow enough overlap."""
-    x = texts.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    y = texts.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    sigs = texts.select("v", "n", "sig").distinct()
+    x = sigs.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    y = sigs.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,7 +321,7 @@ def _bounded(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                 keep.append(100 * most >= rule.percent * (na + nb - most))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -322,25 +343,55 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(hold)
 
 
+def _forests(pairs: list[tuple[float, int, int, int, int]], tries: int) -> tuple[list[tuple[int, int]], bool]:
+    """From (unlikeliness, component, component, a, b): the pairs of up to
+    ``tries`` forests over the components, likeliest first, and whether pairs
+    were left out."""
+    out, rest = [], sorted(pairs)
+    for _ in range(tries):
+        parent: dict[int, int] = {}
+
+        def root(x: int, parent=parent) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        later = []
+        for pair in rest:
+            x, y = root(pair[1]), root(pair[2])
+            if x == y:
+                later.append(pair)
+            else:
+                parent[x] = y
+                out.append(pair[3:])
+        rest = later
+        if not rest:
+            break
+    return out, bool(rest)
+
+
 def _tile_pairs(rows: DataFrame, rule: Rule, tries: int | None) -> DataFrame:
     """Pairs of one tile block whose signatures allow a link, of different
-    components: per pair of components the ``tries`` likeliest; ``more`` tells
+    components: those of the first ``tries`` forests, or all; ``more`` tells
     whether that left some out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["tile", "kind", "bi", "bj"]):
-            v, c, n, left, blk = (g.column(x).to_numpy() for x in ("v", "root", "n", "own", "blk"))
+            v, c, n, left, short, blk = (g.column(x).to_numpy() for x in ("v", "root", "n", "own", "short", "blk"))
+            main = g.column("main").to_numpy(zero_copy_only=False)
             sigs = g.column("sig").to_pylist()
             words = min(map(len, sigs)) // 8
             sig = np.stack([_folded(s, words) for s in sigs])
-            cross, bi, bj = g.column("kind")[0].as_py() == 0, g.column("bi")[0].as_py(), g.column("bj")[0].as_py()
-            found = []
+            cross, apart_blocks = g.column("kind")[0].as_py() == 0, g.column("bi")[0].as_py() != g.column("bj")[0].as_py()
+            found, more = [], False
             for i in range(len(v)):
                 # each pair once, and only where one row belongs to the band itself
                 j = np.arange(len(v)) > i
                 j &= (c != c[i]) & (left | left[i]) & rule.sizes_fit(n, n[i])
-                if cross:        # main component against the others
-                    j &= g.column("main").to_numpy(zero_copy_only=False) != g.column("main")[i].as_py()
-                elif bi != bj:   # pairs inside one block belong to that block's own group
+                # the tile's shingle must be among the first of the smaller set
+                j &= np.where(n == n[i], short | short[i], np.where(n < n[i], short, short[i]))
+                if cross:             # main component against the others
+                    j &= main != main[i]
+                elif apart_blocks:    # pairs inside one block belong to that block's own group
                     j &= blk != blk[i]
                 j = np.flatnonzero(j)
                 if not len(j):
@@ -349,41 +400,41 @@ def _tile_pairs(rows: DataFrame, rule: Rule, tries: int | None) -> DataFrame:
                 most = (n[j].astype(np.int64) + n[i] - apart) // 2
                 either = n[j].astype(np.int64) + n[i] - most
                 ok = 100 * most >= rule.percent * either
-                for k, m, e in zip(j[ok].tolist(), most[ok].tolist(), either[ok].tolist()):
-                    a, b = (i, k) if v[i] < v[k] else (k, i)
-                    found.append((min(c[i], c[k]), max(c[i], c[k]), -m / e, int(v[a]), int(v[b])))
-            found.sort()
-            out, last, count = [], None, 0
-            for x, y, _, a, b in found:
-                count = count + 1 if (x, y) == last else 1
-                last = (x, y)
-                if tries is None or count <= tries:
-                    out.append((a, b, False))
-                elif count == tries + 1:
-                    out[-1] = (*out[-1][:2], True)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "more"])
+                j, unlike = j[ok], -(most[ok] / either[ok])
+                if tries is not None and len(j) > tries:    # of the pairs with one component, the likeliest
+                    order = np.lexsort((unlike, c[j]))
+                    j, unlike = j[order], unlike[order]
+                    first = np.concatenate(([True], c[j][1:] != c[j][:-1]))
+                    place = np.arange(len(j)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+                    more |= bool((place >= tries).any())
+                    j, unlike = j[place < tries], unlike[place < tries]
+                found += [(u, int(c[i]), int(c[k]), int(min(v[i], v[k])), int(max(v[i], v[k]))) for k, u in zip(j.tolist(), unlike.tolist())]
+            pairs, rest = ([x[3:] for x in found], False) if tries is None else _forests(found, tries)
+            if pairs:
+                more |= rest
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64()),
+                                                  pa.array([more] * len(pairs), pa.bool_())], names=["a", "b", "more"])
 
     part = rows.repartition("tile", "kind", "bi", "bj").sortWithinPartitions("tile", "kind", "bi", "bj")
     return part.mapInArrow(run, "a long, b long, more boolean")
 
 
 def _blocks(tiles: DataFrame, roots: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Rows of tile blocks: (tile, kind, bi, bj, blk, main, own, v, n, root, sig).
+    """Rows of tile blocks: (tile, kind, bi, bj, blk, main, own, short, v, n, root, sig).
 
     A row stands in its size band and, as a visitor, in the next.  In each
     band the main component is the largest; its rows are never compared with
     each other.  Kind 0 holds a block of the main component and one of the
     others, kind 1 two blocks of the others."""
     step = float(np.log(100 / rule.percent))
-    rows = tiles.select("h", "v", "n").join(roots.select("v", "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    rows = tiles.select("h", "v", "n", "short").join(roots.select("v", "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step + 1e-9)).cast("int")
-    rows = rows.select("h", "v", "n", "root", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")),
+    rows = rows.select("h", "v", "n", "short", "root", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")),
                                                                 F.struct((band + 1).alias("band"), F.lit(False).alias("own")))).alias("x"))
-    rows = rows.select("h", "x.band", "x.own", "v", "n", "root")
+    rows = rows.select("h", "x.band", "x.own", "short", "v", "n", "root")
     per = rows.groupBy("h", "band", "root").agg(F.count(F.lit(1)).alias("k"), F.max("own").alias("any_own"),
-                                                 F.sum(F.xxhash64("v", "own").cast("decimal(38,0)")).alias("sum"),
-                                                 F.expr("bit_xor(xxhash64(own, v))").alias("xor"))
+                                                 F.sum(F.xxhash64("v", "own", "short").cast("decimal(38,0)")).alias("sum"),
+                                                 F.expr("bit_xor(xxhash64(own, short, v))").alias("xor"))
     per = per.groupBy("h", "band").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("m"), F.max("any_own").alias("any_own"),
                                        F.sum("sum").alias("sum"), F.expr("bit_xor(xor)").alias("xor"))
     per = per.where("any_own and top.k < m")     # several components, one of them in this band
@@ -400,8 +451,9 @@ def _blocks(tiles: DataFrame, roots: DataFrame, texts: DataFrame, rule: Rule) ->
     other = F.concat(F.transform(up(F.col("nd")), lambda i: key(0, i, F.col("blk"))),
                      F.transform(up(F.col("nr")), lambda j: key(1, F.least(j, F.col("blk")), F.greatest(j, F.col("blk")))))
     rows = rows.withColumn("key", F.explode(F.when(F.col("main"), main).otherwise(other)))
-    rows = rows.select(F.xxhash64("h", "band").alias("tile"), "key.kind", "key.bi", "key.bj", "blk", "main", "own", "v", "n", "root")
-    return rows.join(texts.select("v", "sig"), "v")
+    rows = rows.select(F.xxhash64("h", "band").alias("tile"), "key.kind", "key.bi", "key.bj", "blk", "main", "own", "short", "v", "n", "root")
+    # signatures of one class are equal, however many of its texts there are
+    return rows.join(texts.select("v", "sig").distinct(), "v")
 
 
 # ---- the join -----------------------------------------------------------
@@ -425,46 +477,47 @@ def _find(docs: DataFrame, rule: Rule, all_links: bool) -> _Found:
         rule = Rule(rule.words, rule.percent, rule.seed + 1)    # two sets share 64 of 128 bits: other hashes
     levels = _sketch(both)
     reps = maybe_in(docs, "doc_id", key_bitmap(classes.select(F.col("rep").alias("doc_id")), "doc_id"))
-    tiles = save(_shared_tiles(_prefixes(reps, rule, levels)), "tiles")
+    tiles = save(_shared_tiles(_prefixes(reps, rule, levels), rule), "tiles")
     own = save(tiles.select("v").distinct().join(classes.select("v", "rep"), "v"), "tile-classes")
-    texts = save(_texts(maybe_in(docs, "doc_id", key_bitmap(own.select(F.col("rep").alias("doc_id")), "doc_id")), own, rule), "texts")
-    fit = (F.least("n", "prev_n") * 100 >= F.greatest("n", "prev_n") * rule.percent)
-    first = tiles.where(F.col("prev").isNotNull() & fit).select(F.least("v", "prev").alias("a"), F.greatest("v", "prev").alias("b")).distinct()
+    texts = save(_texts(maybe_in(docs, "doc_id", key_bitmap(own.select(F.col("rep").alias("doc_id")), "doc_id")), rule), "texts")
+    first = tiles.where(F.col("prev").isNotNull()).select(F.least("v", "prev").alias("a"), F.greatest("v", "prev").alias("b")).distinct()
     tried = save(_exact(_bounded(first, texts, rule), texts, rule), "tried")
     tries = None if all_links else FIRST_TRIES
     while True:
         links = tried.where("link").select("a", "b")
-        roots = texts.select("v", F.col("v").alias("root")) if all_links else connected(links)
+        roots = tiles.select("v", F.col("v").alias("root")).limit(0) if all_links else connected(links)    # without links, a class is its own root
         pairs = save(_tile_pairs(_blocks(tiles, roots, texts, rule), rule, tries), "tile-pairs")
         new = save(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "new-pairs")
-        more = not all_links and not pairs.where("more").isEmpty()
-        if not all_links:
-            drop_saved(roots)
-        if new.isEmpty() and not more:
-            break
-        if new.isEmpty():
-            tries *= 8       # all likelier pairs failed: look at more of them
-            continue
-        tried = save(tried.unionByName(_exact(new, texts, rule)), "tried")
+        found = save(_exact(new, texts, rule), "tried")
+        tried = tried.unionByName(found)
         if all_links:
             break
+        more = not pairs.where("more").isEmpty()
+        drop_saved(roots)
+        if not more:
+            break             # every pair of different components that may link was compared
+        tries *= 8            # where the likelier pairs failed, more of them are looked at
     return _Found(profiles.drop("s2"), classes.drop("clash"), tried.where("link").select("a", "b"))
 
 
-def _texts(docs: DataFrame, own: DataFrame, rule: Rule) -> DataFrame:
-    """(v, n, sig, text) of one document of each class."""
+def _texts(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(v, n, sig, text) of at least one document of each class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(rule)
+        shingler, seen = Shingler(rule), set()
         for rows, data, off in text_chunks(batches):
             sets = shingler.sets(data, off)
+            v = [_set_hash(s)[0] if len(s) else None for s in sets]
+            new = []
+            for x in v:
+                new.append(x is not None and x not in seen)
+                if len(seen) >= SEEN_CLASSES:
+                    seen.clear()
+                seen.add(x)
             yield pa.RecordBatch.from_arrays([
-                pa.array([_set_hash(s)[0] for s in sets], pa.int64()), rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()),
-                pa.array([signature(s) for s in sets], pa.binary()), rows.column("text")], names=["v", "doc_id", "n", "sig", "text"])
+                pa.array(v, pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
+                pa.array([signature(s) for s in sets], pa.binary()), rows.column("text")], names=["v", "n", "sig", "text"]).filter(pa.array(new, pa.bool_()))
 
-    rows = docs.mapInArrow(run, "v long, doc_id long, n int, sig binary, text string").where("n > 0")
-    rows = rows.join(own.select("v", "rep"), "v").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    one = F.row_number().over(Window.partitionBy("v").orderBy("doc_id"))     # rows repeated under one id
-    return rows.withColumn("_r", one).where("_r = 1").select("v", "n", "sig", "text")
+    return docs.mapInArrow(run, "v long, n int, sig binary, text string")
 
 
 def similar_pairs(docs: DataFrame, rule: Rule | None = None) -> tuple[DataFrame, DataFrame]:
