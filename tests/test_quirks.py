@@ -193,3 +193,10 @@ def test_stratified_split_exact_per_stratum(spark):
     for r in out.groupBy("s").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "train").alias("tr"),
                                   F.count_if(F.col("split") != "test").alias("trv")).collect():
         assert abs(r.tr - 0.64 * r.n) <= 1 and abs(r.trv - 0.8 * r.n) <= 1
+
+
+def test_json_value_leaves_at_any_depth(spark):
+    from wattline.plans.workloads import value_leaves
+    doc = '{"value": 1.5, "a": [{"value": -2, "b": {"c": {"value": 3e2}}}, {"text": "\\"value\\": 9", "value": "x"}]}'
+    got = spark.createDataFrame([(doc,)], "d string").select(value_leaves(F.col("d")).alias("v")).first().v
+    assert [float(x) for x in got] == [1.5, -2.0, 300.0]

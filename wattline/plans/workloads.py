@@ -132,17 +132,23 @@ def fn_json_roundtrip(cat: Catalog) -> DataFrame:
                          F.get_json_object(F.to_json("r"), "$.metadata.region").alias("region"))
 
 
+def value_leaves(doc):
+    """Numeric ``value`` members of a JSON text at any depth.  Inside a string
+    the quotes would be escaped, so the pattern can't match there."""
+    return F.regexp_extract_all(doc, F.lit(r'"value"\s*:\s*(-?[0-9][0-9.eE+-]*)'), F.lit(1))
+
+
 @register("fn_json_leaves")
 def fn_json_leaves(cat: Catalog) -> DataFrame:
-    """Nested JSON per event with ``value`` leaves at two depths; leaves are
-    read back by path and aggregated per user (count, sum, mean)."""
+    """Nested JSON per event with ``value`` leaves at two depths; every
+    numeric ``value`` leaf, at any depth, is read back and aggregated per user
+    (count, sum, mean)."""
     k = F.from_json("props", "k INT")
     doc = F.to_json(F.struct(F.struct(F.col("value").alias("value"),
                                       F.struct(k["k"].alias("value"), F.lit("leaf").alias("label")).alias("meta"))
                              .alias("a"), F.col("event_type").alias("label")))
     leaves = cat.events.select("user_id", doc.alias("doc")).select(
-        "user_id", F.explode(F.array(F.get_json_object("doc", "$.a.value"),
-                                     F.get_json_object("doc", "$.a.meta.value"))).alias("leaf"))
+        "user_id", F.explode(value_leaves(F.col("doc"))).alias("leaf"))
     v = F.col("leaf").cast("double")
     return leaves.groupBy("user_id").agg(F.count(v).alias("leaves"), r6(F.sum(v), "leaf_sum"),
                                          R.half_up(F.avg(v), 9).alias("leaf_avg"))
