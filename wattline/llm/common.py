@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,31 @@ def split_by(df: DataFrame, key: str, bitmap: DataFrame) -> tuple[DataFrame, Dat
     return both.where("_hit").drop("_hit"), both.where("not _hit").drop("_hit")
 
 
+#: Bytes of an Arrow batch.  Rows hold whole texts, and a worker beside a
+#: small executor can't hold many copies of Spark's default of 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+def _give_back() -> None:
+    """Return what the task no longer uses; workers live on between tasks."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):     # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with small batches (a setting of the session) and workers
+    that return their memory after each task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def whole_rows(df: DataFrame, *cols: tuple[Column, str]) -> DataFrame:
     """Named working columns, and the row itself as ``_row``: column names of
     the input can't clash with working columns."""

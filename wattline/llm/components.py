@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import drop_saved, save
+from wattline.llm.common import drop_saved, map_arrow, save
 
 
 #: Edges that one task joins by itself.
@@ -40,7 +40,7 @@ def _finish(edges: DataFrame) -> DataFrame:
             names = list(parent)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([root(x) for x in names], pa.int64())], names=["u", "m"])
 
-    return edges.repartition(1).mapInArrow(run, "u long, m long")
+    return map_arrow(edges.repartition(1), run, "u long, m long")
 
 
 def components(links: DataFrame) -> DataFrame:

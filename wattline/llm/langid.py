@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import held_out
+from wattline.llm.common import held_out, map_arrow
 
 BUCKETS = 4096
 CLUSTERS = 4
@@ -143,7 +143,7 @@ def fit(docs: DataFrame) -> Model | None:
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([held.tobytes()])], names=["n", "held"])
 
     df, total = np.zeros(BUCKETS), 0
-    for r in sample.mapInArrow(seen, "n long, held binary").collect():     # one row a task, of fixed size
+    for r in map_arrow(sample, seen, "n long, held binary").collect():     # one row a task, of fixed size
         df, total = df + np.frombuffer(r["held"], np.int64), total + r["n"]
     if not total:
         return None
@@ -210,4 +210,4 @@ def predict(docs: DataFrame, model: Model | None, reject_as: str | None = None)
                                              names=["doc_id", "lang_pred", "score", "distance", "rejected"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, distance double, rejected boolean")
+    return map_arrow(rows, run, "doc_id long, lang_pred string, score double, distance double, rejected boolean")

@@ -38,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import drop_saved, join_groups, key_bitmap, maybe_in, mix64, save, split_by, text_bytes, text_chunks, whole_rows
+from wattline.llm.common import drop_saved, join_groups, key_bitmap, map_arrow, maybe_in, mix64, save, split_by, text_bytes, text_chunks, whole_rows
 from wattline.llm.components import components as connected
 
 #: Counters of the shingle sketch (one byte each when broadcast: 4 MB).
 SKETCH_BITS, SLICE_BITS = 22, 12
 BLOCK = 512              # rows of a block of a large tile
-FIRST_TRIES = 2          # forests of pairs compared first in a tile
+FIRST_TRIES = 4          # forests of pairs compared first in a tile
 SEEN_CLASSES = 1 << 20   # classes that a task remembers
 
 PROFILE = "doc_id long, n int, s1 long, s2 long, slice int, counts binary"
@@ -178,7 +178,7 @@ def _profiles(docs: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in kinds[:4]), pa.array(range(a, a + k), pa.int32()),
                                                   pa.array([x.tobytes() for x in own], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PROFILE)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, PROFILE)
 
 
 def _sketch(profiles: DataFrame) -> np.ndarray:
@@ -196,7 +196,7 @@ def _sketch(profiles: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "counts"])
 
     levels = np.zeros((1 << (SKETCH_BITS - SLICE_BITS), 1 << SLICE_BITS), np.uint8)
-    for r in slices.repartition("slice").mapInArrow(add, "slice int, counts binary").collect():
+    for r in map_arrow(slices.repartition("slice"), add, "slice int, counts binary").collect():
         levels[r["slice"]] = np.frombuffer(r["counts"], np.uint8)
     return levels.ravel()
 
@@ -235,7 +235,7 @@ def _prefixes(reps: DataFrame, rule: Rule, levels: np.ndarray) -> DataFrame:
                     pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.repeat(np.array(vs, np.int64), k)),
                     pa.array(np.repeat(np.array([x[1] for x in ns], np.int32), k)), pa.array(np.concatenate(short))], names=["h", "v", "n", "short"])
 
-    return reps.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, v long, n int, short boolean")
+    return map_arrow(reps.select(F.col("text").cast("string").alias("text")), run, "h long, v long, n int, short boolean")
 
 
 def _shared_tiles(prefixes: DataFrame, rule: Rule) -> DataFrame:
@@ -275,7 +275,7 @@ def _shared_tiles(prefixes: DataFrame, rule: Rule) -> DataFrame:
             yield settle(*hold, len(hold[0]) - 1, len(hold[0]))[0]
 
     rows = prefixes.repartition("h").sortWithinPartitions("h", "n", F.desc("short"), "v")
-    return rows.mapInArrow(run, "h long, v long, n int, short boolean, prev long")
+    return map_arrow(rows, run, "h long, v long, n int, short boolean, prev long")
 
 
 # ---- comparison ---------------------------------------------------------
@@ -302,7 +302,7 @@ def _exact(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                     link.append(100 * both >= rule.percent * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(link, pa.bool_())], names=["a", "b", "link"])
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, link boolean").distinct()
+    return map_arrow(pairs.join(left, "a").join(right, "b"), run, "a long, b long, link boolean").distinct()
 
 
 def _bounded(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -321,7 +321,7 @@ def _bounded(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                 keep.append(100 * most >= rule.percent * (na + nb - most))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(pairs.select("a", "b").join(x, "a").join(y, "b"), run, "a long, b long").distinct()
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -416,7 +416,7 @@ def _tile_pairs(rows: DataFrame, rule: Rule, tries: int | None) -> DataFrame:
                                                   pa.array([more] * len(pairs), pa.bool_())], names=["a", "b", "more"])
 
     part = rows.repartition("tile", "kind", "bi", "bj").sortWithinPartitions("tile", "kind", "bi", "bj")
-    return part.mapInArrow(run, "a long, b long, more boolean")
+    return map_arrow(part, run, "a long, b long, more boolean")
 
 
 def _blocks(tiles: DataFrame, roots: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -496,7 +496,7 @@ def _find(docs: DataFrame, rule: Rule, all_links: bool) -> _Found:
         drop_saved(roots)
         if not more:
             break             # every pair of different components that may link was compared
-        tries *= 8            # where the likelier pairs failed, more of them are looked at
+        tries *= 16           # where the likelier pairs failed, more of them are looked at
     return _Found(profiles.drop("s2"), classes.drop("clash"), tried.where("link").select("a", "b"))
 
 
@@ -517,7 +517,7 @@ def _texts(docs: DataFrame, rule: Rule) -> DataFrame:
                 pa.array(v, pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
                 pa.array([signature(s) for s in sets], pa.binary()), rows.column("text")], names=["v", "n", "sig", "text"]).filter(pa.array(new, pa.bool_()))
 
-    return docs.mapInArrow(run, "v long, n int, sig binary, text string")
+    return map_arrow(docs, run, "v long, n int, sig binary, text string")
 
 
 def similar_pairs(docs: DataFrame, rule: Rule | None = None) -> tuple[DataFrame, DataFrame]:

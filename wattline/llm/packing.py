@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import save
+from wattline.llm.common import map_arrow, save
 
 MAX_LEN = 1024
 END_ID = 2
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), fields)], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(make, schema)
+    return map_arrow(rows, make, schema)
 
 
 # ---- plan ---------------------------------------------------------------
@@ -261,7 +261,7 @@ def pack_pieces(cut_pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
                 pa.array(run[:, 3] + at % run[:, 2]), pa.array(run[:, 4] + at // run[:, 2] * length)], names=kept + ["sequence_id", "offset"])
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return ranked.mapInArrow(look_up, kept + ", sequence_id long, offset long")
+    return map_arrow(ranked, look_up, kept + ", sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN,

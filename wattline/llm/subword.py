@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattline.llm.common import map_arrow
+
 SPACE = "▁"
 _UNIT = re.compile(r" ?[^ \n]+| |\n")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -452,7 +454,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
     rows = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias("_text"))
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep)) + ", ids array<int>")
+    return map_arrow(rows, run, ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep)) + ", ids array<int>")
 
 
 def _pieces(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
@@ -480,4 +482,4 @@ def decode(coded: DataFrame, vocabulary: Vocabulary, out: str = "text") -> DataF
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
 
     rows = coded.withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", `{out}` string")
+    return map_arrow(rows, run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", `{out}` string")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import held_out
+from wattline.llm.common import held_out, map_arrow
 
 THRESHOLD = 0.3
 #: Bounds of the labelled sample: rows of each class, characters in all.
@@ -95,20 +95,22 @@ def _spaced(text: str) -> str:
 def toxic_passages(toxic: list[str], ordinary: list[str], min_z: float = 4.0, ratio: float = 40.0) -> list[bytes]:
     """The parts of toxic texts whose character sequences are far more common
     in toxic than in ordinary texts (by texts that hold them)."""
-    def holders(texts: list[str]) -> Counter:
+    def holders(texts: list[str], only: set[str] | None = None) -> Counter:
         c: Counter = Counter()
         for t in map(_spaced, texts):
-            c.update({t[i:i + GRAM] for i in range(len(t) - GRAM + 1)})
+            grams = {t[i:i + GRAM] for i in range(len(t) - GRAM + 1)}
+            c.update(grams if only is None else grams & only)
         return c
 
-    a, b = holders(toxic), holders(ordinary)
+    a = {g: n for g, n in holders(toxic).items() if n >= 3}
+    b = holders(ordinary, set(a))      # the others can't mark a passage
     na, nb = max(1, len(toxic)), max(1, len(ordinary))
 
     def marks(g: str) -> bool:
         x, y = a[g], b[g]
         p = (x + y) / (na + nb)
         z = (x / na - y / nb) / (p * (1 - p) * (1 / na + 1 / nb) + 1e-12) ** 0.5
-        return x >= 3 and z > min_z and x / na >= min(ratio, nb / 4) * (y + 0.5) / nb
+        return z > min_z and x / na >= min(ratio, nb / 4) * (y + 0.5) / nb
 
     good = {g for g in a if marks(g)}
     out = []
@@ -216,7 +218,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                                               pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    return map_arrow(rows, run, "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -228,4 +230,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column("text")) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import save, scratch_path
+from wattline.llm.common import map_arrow, save, scratch_path
 
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -193,7 +193,7 @@ def write_archive(pages: DataFrame, folder: str | None = None, min_revisit_bytes
 
     # the join deals payloads by id, so neither a hot payload nor a hot host makes one large file
     rows = _with_revisits(pages, min_revisit_bytes).sortWithinPartitions("page_id")
-    return folder, save(rows.mapInArrow(write, INDEX_SCHEMA), "warc-index")
+    return folder, save(map_arrow(rows, write, INDEX_SCHEMA), "warc-index")
 
 
 def _open(folder: str, name: str):
@@ -223,7 +223,7 @@ def read_archive(folder: str, index: DataFrame, payloads: bool = True) -> DataFr
                     rows.append(row if payloads else row | {"payload": None})
                 yield _record_batch(rows)
 
-    return frames.mapInArrow(read, RECORD_SCHEMA)
+    return map_arrow(frames, read, RECORD_SCHEMA)
 
 
 def read_records(folder: str, places: DataFrame) -> DataFrame:
@@ -239,4 +239,4 @@ def read_records(folder: str, places: DataFrame) -> DataFrame:
                 rows.append(parse_record(data, r["offset"])[0])
             yield _record_batch(rows)
 
-    return places.mapInArrow(read, RECORD_SCHEMA)
+    return map_arrow(places, read, RECORD_SCHEMA)
