@@ -88,9 +88,12 @@ def split_by(df: DataFrame, key: str, bitmap: DataFrame) -> tuple[DataFrame, Dat
 BATCH_BYTES = 8 << 20
 
 
-def _give_back() -> None:
-    """Return what the task no longer uses; workers live on between tasks."""
+def give_back() -> None:
+    """Return memory that is no longer used: of a task (workers live on between
+    tasks) or, after a fit, of the driver."""
     import ctypes
+    import gc
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):     # another C library
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -103,7 +106,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)
-        _give_back()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

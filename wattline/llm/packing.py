@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import map_arrow, save
+from wattline.llm.common import give_back, map_arrow, save
 
 MAX_LEN = 1024
 END_ID = 2
@@ -241,6 +241,7 @@ def pack_pieces(cut_pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():    # at most max_len rows
         hist[length] = n
     plan = plan_packing(hist, max_len)
+    give_back()
     runs = np.array(sorted(plan.runs), np.int64).reshape(-1, 6)
     # key of a rank: length and rank in one sortable number
     shift = np.int64(1 << 50)

@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import held_out, map_arrow
+from wattline.llm.common import give_back, held_out, map_arrow
 
 THRESHOLD = 0.3
 #: Bounds of the labelled sample: rows of each class, characters in all.
-MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2000, 8000, 64_000_000
+MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 1500, 5000, 48_000_000
 WINDOW = 64            # bytes of a window, at most
 GRAM = 5               # characters of the sequences that mark toxic passages
 TOXIC_SIZES = (1024, 1536, 2048, 3072)   # bytes of the toxic dictionary; the best on calibration rows is taken
@@ -190,8 +190,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chars = F.sum(F.length("text")).over(Window.orderBy("_r", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_c", chars).where(F.col("_c") <= MAX_CHARS).orderBy("_r", "doc_id").select("text", "toxic")
     sample = rows.collect()
-    return fit_rows([r["text"] for r in sample if r["toxic"]], [r["text"] for r in sample if not r["toxic"]],
-                    seen.get(True, 0) / total if total else 0.0)
+    toxic, ordinary = [r["text"] for r in sample if r["toxic"]], [r["text"] for r in sample if not r["toxic"]]
+    del sample
+    model = fit_rows(toxic, ordinary, seen.get(True, 0) / total if total else 0.0)
+    del toxic, ordinary
+    give_back()
+    return model
 
 
 def _scorer(model: Model):
