@@ -22,8 +22,8 @@ SQL = {
   round(deviation_pct, 9) AS deviation_pct, CASE WHEN abs(deviation_pct) <= 8 THEN 'On Track' ELSE 'Drifting' END AS status FROM st""",
     "str_drift_alerts": "WITH " + _HOURLY + """ SELECT function_name, window_start, round(deviation_pct, 9) AS deviation_pct,
   CASE WHEN a <= 8 THEN 'ok' WHEN a <= 20 THEN 'warning' ELSE 'critical' END AS severity,
-  CASE WHEN a <= 8 THEN 'System Healthy' ELSE CASE WHEN a <= 20 THEN 'Mild Drift Detected' WHEN a <= 40 THEN 'Significant Anomaly'
-    ELSE 'Critical Deviation' END || ' (' || format('{:.1f}', deviation_pct) || '%)' END AS title,
+  CASE WHEN a <= 8 THEN 'System Healthy' WHEN a <= 20 THEN 'Mild Drift Detected' WHEN a <= 40 THEN 'Significant Anomaly'
+    ELSE 'Critical Deviation' END AS title, CASE WHEN a <= 8 THEN title ELSE title || ' (' || format('{:.1f}', deviation_pct) || '%)' END AS headline,
   CASE WHEN over THEN 'over' ELSE 'under' END AS direction, cost AS cost_estimate_inr, saving AS saving_estimate_inr,
   CASE WHEN a <= 8 THEN 'Actual traffic (' || actual_rph || ' req/hr) is within ' || format('{:.1f}', a) || '% of forecast.'
     WHEN a <= 20 AND over THEN 'Actual live traffic slightly exceeds ML forecasting.'

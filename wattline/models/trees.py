@@ -35,7 +35,7 @@ def gbt_estimator(target: str = TARGET, max_iter: int = 1000, max_depth: int = 1
 
 
 def rf_estimator(target: str = TARGET, num_trees: int = 200, max_depth: int = 15, features: str = "sqrt", seed: int = 42,
-                 max_bins: int = 256) -> RandomForestRegressor:
+                 max_bins: int = 64) -> RandomForestRegressor:
     return RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=num_trees, maxDepth=max_depth,
                                  featureSubsetStrategy=features, seed=seed, maxBins=max_bins, maxMemoryInMB=1024)
 

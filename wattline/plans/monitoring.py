@@ -49,7 +49,7 @@ def str_drift_status(cat: Catalog) -> DataFrame:
 @register("str_drift_alerts")
 def str_drift_alerts(cat: Catalog) -> DataFrame:
     a = MON.drift_alerts(status(cat))
-    return a.select("function_name", "window_start", r9("deviation_pct"), "severity", "title", "direction",
+    return a.select("function_name", "window_start", r9("deviation_pct"), "severity", "title", "headline", "direction",
                     "cost_estimate_inr", "saving_estimate_inr", "detail", "advice")
 
 
