@@ -85,7 +85,7 @@ def split_by(df: DataFrame, key: str, bitmap: DataFrame) -> tuple[DataFrame, Dat
 
 #: Bytes of an Arrow batch.  Rows hold whole texts, and a worker beside a
 #: small executor can't hold many copies of Spark's default of 64 MB.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def give_back() -> None:
