@@ -30,7 +30,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = F.filter("spans", lambda s: s["kind"] != "net")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(rules), 256).alias("base_sha256"),
-                      joined(F.col("spans")).alias("spans"), count("net"))
+                      joined(F.col("spans")).alias("spans"), count("net"), F.col("spans.score").alias("scores"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
