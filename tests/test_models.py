@@ -124,3 +124,21 @@ def test_means_of_an_empty_table_are_the_fallback(spark):
     df = spark.createDataFrame([], ", ".join(f"{c} double" for c in MEAN_FEATURES) + ", function_type string")
     r = means_of(df).first()
     assert r.mean_lines_of_code == FALLBACK_MEANS["lines_of_code"] and r.share_io == FALLBACK_MEANS["share_io"]
+
+
+def test_registered_models_run_at_the_full_settings(spark, monkeypatch):
+    from wattline.models.mlp import DistributedMLP
+    from wattline.models.trees import rf_estimator
+    from wattline.plans import modelling as PM
+    from wattline.sources.tables import Catalog
+    cv, fits = {}, {}
+    monkeypatch.setattr(PM, "prepared", lambda cat: spark.createDataFrame([("train",)], "split string"))
+    monkeypatch.setattr(PM, "_MODELS", {})
+    monkeypatch.setattr(PM, "cross_validate", lambda data, kinds, **k: cv.update(kinds))
+    monkeypatch.setattr(PM, "fitted", lambda data, kind, **params: fits.update({kind: params}))
+    cat = Catalog(spark, "/root/testdata/sf0.001")
+    PM.ml_cv(cat)
+    PM.model(cat, "rf")
+    assert cv == {"gbt": {"max_iter": 500}, "rf": {"num_trees": 100}, "mlp": {"epochs": 100}}
+    assert rf_estimator(**fits["rf"]).getNumTrees() == 200
+    assert DistributedMLP(["a"], "b", **cv["mlp"]).patience == 10

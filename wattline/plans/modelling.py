@@ -144,15 +144,10 @@ def model(cat: Catalog, kind: str):
     key = (cat.spark.sparkContext.applicationId, cat.sf_dir, fingerprint(cat), kind)
     if key not in _MODELS:
         data = prepared(cat).where(F.col("split") != "test")      # 80 %; boosting stops early on its validation part
-        _MODELS[key] = fitted(data, kind, **FIT_SETTINGS.get(kind, {}))
+        _MODELS[key] = fitted(data, kind)
     return _MODELS[key]
 
 
-#: What the registered queries pass instead of the defaults: the forest's 200
-#: trees of depth 15 take minutes on one machine.
-FIT_SETTINGS = {"rf": {"num_trees": 40}}
-
-
 def fitted(data: DataFrame, kind: str, **params):
     if kind == "mlp":
         return DistributedMLP(list(FEATURE_ORDER), "energy_target_wh", **params).fit(data)
@@ -286,9 +281,8 @@ def ml_predict(cat: Catalog) -> DataFrame:
     return P.confidence(scored).select("function_name", "model", "is_fallback", "prediction", "confidence")
 
 
-#: What the registered cross-validation passes where the defaults (500 rounds,
-#: 100 trees, 100 epochs) would take an hour on one machine.
-CV_SETTINGS = {"gbt": {"max_iter": 500}, "rf": {"num_trees": 20}, "mlp": {"epochs": 15}}
+#: The original cross-validation's settings (the network stops early).
+CV_SETTINGS = {"gbt": {"max_iter": 500}, "rf": {"num_trees": 100}, "mlp": {"epochs": 100}}
 
 
 def cross_validate(data: DataFrame, kinds: dict[str, dict], folds: int = 5, seed: int = 7) -> DataFrame:
