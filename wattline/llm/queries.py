@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import chat_format, exact_dedup, fingerprint, langid, ngram_join, packing, secret_scan, subword, toxicity, warc
+from wattline.llm import chat_format, exact_dedup, extract, fingerprint, langid, lexical, merkle, ngram_join, packing, secret_scan, sql, subword, toxicity, warc
 from wattline.llm.common import held_out, table, tokenizer_path
 
 
@@ -78,6 +78,18 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
                       fingerprint.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next", "n_shingles_est")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.check_lowered(table(spark, sf_dir, "documents"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -89,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_warc": op9_warc,
     "op10_fingerprint": op10_fingerprint,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -124,4 +139,4 @@ select page_id, strlen(html)::BIGINT payload_bytes, {_B32_SQL} payload_digest,
   case when page_id = keep then true end digest_ok
 from g
 """,
-}
+} | sql.ORACLES
