@@ -79,14 +79,19 @@ def test_weighted_shap_background(spark):
 
 def test_forest_ignores_constant_columns_and_network_stops_early(spark):
     from wattline.models import trees as TR
+    from wattline.models.forest import Settings, fit_forests
     from wattline.models.mlp import DistributedMLP
-    df = _frame(spark, 300).withColumn("k", F.lit(1.0)).withColumn("energy_target_wh", F.col("a") + 2 * F.col("b"))
-    rf = TR.fit(df, "rf", features=["a", "k", "b"], num_trees=5, max_depth=4)
-    imp = {r.feature: r.importance for r in TR.importances(spark, rf, ["a", "k", "b"]).collect()}
+    df = _frame(spark, 300).withColumn("k", F.lit(1.0)).withColumn("energy_target_wh", F.col("a") + 2 * F.col("b")).withColumn("is_validation", F.col("row_id") % 5 == 0)
+    gbt = TR.fit(df, features=["a", "k", "b"], max_iter=5, max_depth=4)
+    imp = {r.feature: r.importance for r in TR.importances(spark, gbt, ["a", "k", "b"]).collect()}
     assert imp["k"] == 0.0 and imp["b"] > imp["a"] > 0
+    assert fit_forests(df, ["a", "k", "b"], "energy_target_wh", Settings(trees=3, depth=4), F.col("row_id"))[0].used == ["a", "b"]
     net = DistributedMLP(["a", "b", "k"], "energy_target_wh", hidden=(16,), epochs=60, batch=16, lr=0.01, patience=5).fit(df)
     assert net.history[-1] < 0.05 and len(net.history) <= 61
     assert net.transform(df).selectExpr("max(abs(prediction - energy_target_wh)) e").first().e < 1.5
+    import numpy as np
+    rows = net.transform(df, floor=None).select("a", "b", "k", "prediction").collect()
+    assert np.allclose(net.predictor()(np.array([r[:3] for r in rows])), [r[3] for r in rows])
 
 
 def test_gap_report_hand_rows(spark):
@@ -126,19 +131,123 @@ def test_means_of_an_empty_table_are_the_fallback(spark):
     assert r.mean_lines_of_code == FALLBACK_MEANS["lines_of_code"] and r.share_io == FALLBACK_MEANS["share_io"]
 
 
-def test_registered_models_run_at_the_full_settings(spark, monkeypatch):
-    from wattline.models.mlp import DistributedMLP
-    from wattline.models.trees import rf_estimator
+def _wavy(spark, n=3000):
+    df = spark.range(n).select(F.col("id").alias("row_id"), *[((F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1 << 20))) / (1 << 20)).alias(c) for c in "abcd"])
+    return df.withColumn("d", F.floor(F.col("d") * 4).cast("double")).withColumn("y", F.sin(6 * F.col("a")) + F.col("b") * F.col("d"))
+
+
+def test_forest_levels_and_local_subtrees(spark):
+    """Splits from level jobs equal brute force; both ways predict alike, on any
+    partitioning, and a fold's forest never sees its rows."""
+    import numpy as np
+
+    from wattline.models import forest as FO
+    df = _wavy(spark)
+    whole = FO.fit_forests(df, list("abcd"), "y", FO.Settings(trees=12, depth=10), F.col("row_id"))[0]
+    again = FO.fit_forests(df.repartition(7), list("abcd"), "y", FO.Settings(trees=12, depth=10), F.col("row_id"))[0]
+    for x, y in zip(whole.trees, again.trees):
+        assert np.array_equal(x.feature, y.feature) and np.array_equal(x.bin, y.bin) and np.allclose(x.value, y.value)
+    levels = FO.fit_forests(df, list("abcd"), "y", FO.Settings(trees=12, depth=10, local_rows=200), F.col("row_id"))[0]
+    # one node, one looked-at feature: the same split either way
+    for x, y in zip(whole.trees, levels.trees):
+        assert (x.feature[0], x.bin[0]) == (y.feature[0], y.bin[0])
+    score = [m.transform(df, floor=None).agg(F.corr("y", "prediction")).first()[0] for m in (whole, levels)]
+    assert min(score) > 0.98 and abs(score[0] - score[1]) < 0.01
+    folds = FO.fit_forests(df, list("abcd"), "y", FO.Settings(trees=2, depth=6), F.col("row_id"), (F.col("row_id") % 3).cast("int"), range(3))
+    alone = FO.fit_forests(df.where("row_id % 3 != 1").withColumn("z", F.lit(0)), list("abcd"), "y", FO.Settings(trees=2, depth=6), F.col("row_id"))[0]
+    assert len(folds) == 3 and [len(f.trees) for f in folds] == [2, 2, 2] and len(alone.trees) == 2
+    empty = FO.fit_forests(df.where("false"), list("abcd"), "y", FO.Settings(trees=2), F.col("row_id"))[0]
+    assert empty.transform(df).selectExpr("max(prediction) p").first().p == 0.0
+
+
+def test_best_splits_against_brute_force(spark):
+    import numpy as np
+
+    from wattline.models import forest as FO
+    r = np.random.default_rng(3)
+    codes, y, w = r.integers(0, 6, 200), r.random(200), r.integers(1, 4, 200)
+    rows = [(0, 0, 2, int(c), float(w[codes == c].sum()), float((w * y)[codes == c].sum())) for c in range(6)]
+    got = FO._best_splits(spark.createDataFrame(rows, "tree int, node long, feature int, bin int, w double, wy double")).first()
+
+    def score(c):
+        a, b = codes <= c, codes > c
+        return sum(float((w * y)[k].sum()) ** 2 / float(w[k].sum()) for k in (a, b))
+
+    assert got["bin"] == max(range(5), key=score) and got["feature"] == 2 and got["lw"] == float(w[codes <= got["bin"]].sum())
+    score_, cut = FO._best_sorted(codes, np.zeros(200, np.int64), w.astype(float), w * y, np.array([w.sum()]), np.array([(w * y).sum()]))
+    assert cut[0] == got["bin"]
+
+
+def _enumerated(predict, x, background, weight):
+    """Shapley values from all subsets."""
+    import itertools
+    import math
+    n = len(x)
+
+    def worth(s):
+        z = background.copy()
+        z[:, list(s)] = x[list(s)]
+        return predict(z) @ weight
+
+    subsets = {s: worth(s) for k in range(n + 1) for s in itertools.combinations(range(n), k)}
+    return [sum(math.factorial(len(s)) * math.factorial(n - len(s) - 1) / math.factorial(n) * (subsets[tuple(sorted((*s, i)))] - v)
+                for s, v in subsets.items() if i not in s) for i in range(n)]
+
+
+def test_tree_and_kernel_attributions_equal_enumeration(spark):
+    import numpy as np
+
+    from wattline.models import attribution as AT
+    from wattline.models import forest as FO
+    from wattline.models import trees as TR
+    names = list("abcdef")
+    df = _wavy(spark, 400).withColumn("e", F.col("a") * F.col("c")).withColumn("f", F.round(F.col("b") * 3)).withColumn("energy_target_wh", F.col("y") + F.col("e") * F.col("f"))
+    df = df.withColumn("is_validation", F.col("row_id") % 5 == 0)
+    rows, background = df.where("row_id < 6"), df.where("row_id between 100 and 111")
+    x = np.array([[r[c] for c in names] for r in rows.orderBy("row_id").collect()])
+    bg = np.array([[r[c] for c in names] for r in background.collect()])
+    weight = np.full(len(bg), 1 / len(bg))
+    forest = FO.fit_forests(df, names, "energy_target_wh", FO.Settings(trees=9, depth=6), F.col("row_id"))[0]
+    gbt = TR.fit(df, features=names, max_iter=6, max_depth=4)
+    folder = tempfile.mkdtemp(prefix="wattline-trees-")
+    for nodes, scored in ((AT.forest_nodes(forest), forest.transform(rows, floor=None)), (AT.ensemble_nodes(gbt, names, folder), TR.predict(gbt, rows, floor=None))):
+        want = {r.row_id: r.prediction for r in scored.collect()}
+        predict = lambda z, nodes=nodes: sum(AT.tree_predict(t, z) for t in nodes)
+        got = AT.tree_shap(rows, background, names, nodes).collect()
+        assert len(got) == 6 * len(names) and all(abs(r.prediction - want[r.row_id]) < 1e-9 for r in got)
+        for i in range(6):
+            exact = _enumerated(predict, x[i], bg, weight)
+            own = {r.feature: r.shap_value for r in got if r.row_id == i}
+            assert all(abs(own[n] - v) < 1e-9 for n, v in zip(names, exact))
+    plain = [(t.feature, t.threshold, t.left, t.right, t.value) for t in AT.forest_nodes(forest)]
+    predict = lambda z: sum(AT.tree_predict(AT.NodeTable(*p), z) for p in plain)
+    for r in (got := AT.kernel_shap(rows, background, names, predict).collect()):
+        assert abs(r.shap_value - _enumerated(predict, x[r.row_id], bg, weight)[names.index(r.feature)]) < 1e-9
+    few = AT.kernel_shap(rows, background, names, predict, samples=20).groupBy("row_id").agg(
+        F.sum("shap_value").alias("s"), F.first("base_value").alias("b"), F.first("prediction").alias("p")).collect()
+    assert all(abs(r.s + r.b - r.p) < 1e-9 for r in few) and len(got) == 36
+
+
+def test_registered_models_really_fit(spark, monkeypatch):
+    """The registered settings are the original's, and the queries run on small ones."""
     from wattline.plans import modelling as PM
     from wattline.sources.tables import Catalog
-    cv, fits = {}, {}
-    monkeypatch.setattr(PM, "prepared", lambda cat: spark.createDataFrame([("train",)], "split string"))
-    monkeypatch.setattr(PM, "_MODELS", {})
-    monkeypatch.setattr(PM, "cross_validate", lambda data, kinds, **k: cv.update(kinds))
-    monkeypatch.setattr(PM, "fitted", lambda data, kind, **params: fits.update({kind: params}))
+    assert PM.CV_SETTINGS == {"gbt": {"max_iter": 500}, "rf": {"trees": 100}, "mlp": {"epochs": 100}}
+    assert (PM.FO.Settings().trees, PM.FO.Settings().depth, PM.EXPLAINED, PM.BACKGROUND, PM.CENTRES) == (200, 15, 100, 100, 5)
     cat = Catalog(spark, "/root/testdata/sf0.001")
-    PM.ml_cv(cat)
-    PM.model(cat, "rf")
-    assert cv == {"gbt": {"max_iter": 500}, "rf": {"num_trees": 100}, "mlp": {"epochs": 100}}
-    assert rf_estimator(**fits["rf"]).getNumTrees() == 200
-    assert DistributedMLP(["a"], "b", **cv["mlp"]).patience == 10
+    data = PM.prepared(cat).where("split != 'test'")
+    cv = PM.cross_validate(data, {"gbt": {"max_iter": 3, "max_depth": 4}, "rf": {"trees": 20}, "mlp": {"epochs": 2}}).collect()
+    assert len(cv) == 15 and all(r.r2 > 0.99 for r in cv if r.model == "rf") and sum(r.n for r in cv if r.model == "rf") == data.count()
+    small = {"gbt": {"max_iter": 3, "max_depth": 4}, "rf": {"trees": 5}, "mlp": {"epochs": 2}}
+    full = PM.fitted
+    monkeypatch.setattr(PM, "_MODELS", {})
+    monkeypatch.setattr(PM, "fitted", lambda data, kind: full(data, kind, **small[kind]))
+    monkeypatch.setattr(PM, "EXPLAINED", 8)
+    rows = PM.ml_shap(cat).collect()
+    assert len(rows) == 3 * 8 * len(PM.FEATURE_ORDER)
+    sums = {}
+    for r in rows:
+        s = sums.setdefault((r.model, r.row_id), [0.0, r.base_value, r.prediction])
+        s[0] += r.shap_value
+    assert all(abs(a + b - p) < 1e-8 for a, b, p in sums.values())
+    assert {r.model for r in PM.ml_predict(cat).select("model").distinct().collect()} <= {"xgboost", "random_forest", "neural_network"}

@@ -154,6 +154,13 @@ class DistributedMLP:
         self.params = _unflatten(best_theta, self.sizes)
         return self
 
+    def predictor(self):
+        """A function from a matrix of inputs to predictions, of plain values."""
+        params = [p.copy() for p in self.params]
+        mean, std = (np.array([x[c] for c in self.features]) for x in (self.scaler.mean, self.scaler.std))
+        tm, ts = self.scaler.mean[self.target], self.scaler.std[self.target]
+        return lambda x: _forward(params, (x - mean) / std)[0] * ts + tm
+
     def transform(self, df: DataFrame, out: str = "prediction", floor: float | None = 0.0) -> DataFrame:
         """Adds ``out``; the forward pass runs per Arrow batch on executors."""
         sc = df.sparkSession.sparkContext

@@ -1,9 +1,9 @@
-"""Tree-ensemble regressors with Spark ML (distributed tree building).
+"""Boosted trees with Spark ML (distributed tree building).
 
-Boosting is GBTRegressor (Spark's gradient-boosted trees: no leaf L2 term,
-so its numbers differ from other boosting libraries); early stopping uses a
-validation-indicator column.  The forest is RandomForestRegressor with
-``sqrt`` feature subsets.  Both are Pipeline stages after a VectorAssembler.
+GBTRegressor (Spark's gradient-boosted trees: no leaf L2 term, so its numbers
+differ from other boosting libraries), a Pipeline stage after a
+VectorAssembler; early stopping uses a validation-indicator column.  The
+random forest is ``models/forest.py``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,22 +34,15 @@ def gbt_estimator(target: str = TARGET, max_iter: int = 1000, max_depth: int = 1
                         subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, maxBins=max_bins, maxMemoryInMB=1024, **extra)
 
 
-def rf_estimator(target: str = TARGET, num_trees: int = 200, max_depth: int = 15, features: str = "sqrt", seed: int = 42,
-                 max_bins: int = 64) -> RandomForestRegressor:
-    return RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=num_trees, maxDepth=max_depth,
-                                 featureSubsetStrategy=features, seed=seed, maxBins=max_bins, maxMemoryInMB=1024)
-
-
-def fit(train: DataFrame, kind: str, features: Sequence[str] = FEATURE_ORDER, **params) -> PipelineModel:
-    """``kind`` "gbt" or "rf"; ``train`` holds the feature columns, the
-    target and (for gbt) a boolean ``is_validation`` column."""
-    est = gbt_estimator(**params) if kind == "gbt" else rf_estimator(**params)
-    # a column that never varies can't split; in the forest's feature subsets
-    # it would only take the place of one that can
+def fit(train: DataFrame, features: Sequence[str] = FEATURE_ORDER, **params) -> PipelineModel:
+    """``train`` holds the feature columns, the target and a boolean
+    ``is_validation`` column."""
+    # a column that never varies can't split; in the trees' feature subsets it
+    # would only take the place of one that can
     row = train.agg(*[(F.min(f) != F.max(f)).alias(f) for f in features]).first()
     used = [f for f in features if row[f]] or list(features)
     asm = VectorAssembler(inputCols=used, outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[asm, est]).fit(train)
+    return Pipeline(stages=[asm, gbt_estimator(**params)]).fit(train)
 
 
 def predict(model: PipelineModel, df: DataFrame, floor: float | None = 0.0, out: str = "prediction") -> DataFrame:

@@ -5,15 +5,18 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.config import FALLBACK_MEANS, NUMERIC_FEATURES
 from wattline.functions import rounding as R
 from wattline.functions.labels import FEATURE_ORDER
+from wattline.models import attribution as AT
 from wattline.models import codemetrics as CM
 from wattline.models import explain as X
 from wattline.models import features as FE
+from wattline.models import forest as FO
 from wattline.models import trees as TR
 from wattline.models.mlp import DistributedMLP
 from wattline.operators import metrics as M
@@ -150,15 +153,20 @@ def model(cat: Catalog, kind: str):
 
 def fitted(data: DataFrame, kind: str, **params):
     if kind == "mlp":
-        return DistributedMLP(list(FEATURE_ORDER), "energy_target_wh", **params).fit(data)
-    return TR.fit(data, kind, **params)
+        return DistributedMLP(list(FEATURE_ORDER), TR.TARGET, **params).fit(data)
+    if kind == "rf":
+        return FO.fit_forests(data, FEATURE_ORDER, TR.TARGET, FO.Settings(**params), F.col("inv_id"))[0]
+    return TR.fit(data, **params)
+
+
+def scored(m, df: DataFrame, floor: float | None = 0.0) -> DataFrame:
+    """``df`` with the model's ``prediction``."""
+    return TR.predict(m, df, floor=floor) if isinstance(m, PipelineModel) else m.transform(df, floor=floor)
 
 
 def scorer(cat: Catalog, kind: str, floor: float | None = 0.0):
     m = model(cat, kind)
-    if kind == "mlp":
-        return lambda df: m.transform(df, floor=floor)
-    return lambda df: TR.predict(m, df, floor=floor)
+    return lambda df: scored(m, df, floor)
 
 
 def test_split(cat: Catalog) -> DataFrame:
@@ -282,23 +290,39 @@ def ml_predict(cat: Catalog) -> DataFrame:
 
 
 #: The original cross-validation's settings (the network stops early).
-CV_SETTINGS = {"gbt": {"max_iter": 500}, "rf": {"num_trees": 100}, "mlp": {"epochs": 100}}
+CV_SETTINGS = {"gbt": {"max_iter": 500}, "rf": {"trees": 100}, "mlp": {"epochs": 100}}
 
 
 def cross_validate(data: DataFrame, kinds: dict[str, dict], folds: int = 5, seed: int = 7) -> DataFrame:
-    """R2, MAE and RMSE per model and fold (folds by seeded hash).  Boosting
-    stops early on a fifth of the fold's training rows."""
+    """R2, MAE and RMSE per model and fold (folds by seeded hash).  The forests
+    of all folds grow in the same jobs from one binned table; the other fits
+    run side by side.  Boosting stops early on a fifth of the fold's training
+    rows."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
     from wattline.session import materialize
+    spark = data.sparkSession
     data = materialize(hash_split(data.drop("split", "is_validation"), "inv_id", {f"f{i}": 1 / folds for i in range(folds)}, seed=seed)
-                       .withColumnRenamed("split", "fold"))
+                       .withColumn("fold", F.substring("split", 2, 9).cast("int")).drop("split"))
+    models: dict = {}
+    if "rf" in kinds:
+        forests = FO.fit_forests(data, FEATURE_ORDER, TR.TARGET, FO.Settings(**kinds["rf"]), F.col("inv_id"), F.col("fold"), range(folds))
+        models.update({("rf", k): m for k, m in enumerate(forests)})
+
+    def fit_one(kind: str, k: int):
+        train = data.where(F.col("fold") != k).withColumn("is_validation", F.pmod(F.xxhash64("inv_id", F.lit(seed)), F.lit(5)) == 0)
+        return fitted(train, kind, **kinds[kind])
+
+    todo = [(kind, k) for kind in kinds if kind != "rf" for k in range(folds)]
+    with ThreadPoolExecutor(max_workers=folds) as pool:
+        models.update(zip(todo, pool.map(inheritable_thread_target(spark)(lambda x: fit_one(*x)), todo)))
     out = None
-    for k in range(folds):
-        train, test = data.where(F.col("fold") != f"f{k}"), data.where(F.col("fold") == f"f{k}")
-        train = train.withColumn("is_validation", F.pmod(F.xxhash64("inv_id", F.lit(seed)), F.lit(5)) == 0)
-        for kind, params in kinds.items():
-            mdl = fitted(train, kind, **params)
-            pred = mdl.transform(test) if kind == "mlp" else TR.predict(mdl, test)
-            row = M.regression_metrics(pred.select(F.col("energy_target_wh").alias("actual_wh"), F.col("prediction").alias("predicted_wh"))).select(
+    for kind in kinds:
+        for k in range(folds):
+            pred = scored(models[kind, k], data.where(F.col("fold") == k))
+            row = M.regression_metrics(pred.select(F.col(TR.TARGET).alias("actual_wh"), F.col("prediction").alias("predicted_wh"))).select(
                 F.lit(kind).alias("model"), F.lit(k).alias("fold"), "r2", "mae", "rmse", "n")
             out = row if out is None else out.unionByName(row)
     return out
@@ -311,28 +335,40 @@ def ml_cv(cat: Catalog) -> DataFrame:
 
 
 # ------------------------------------------------------------------ explanations
+#: Rows that attributions explain, rows of the background, and centres of the
+#: network's background: the original's numbers.
+EXPLAINED, BACKGROUND, CENTRES = 100, 100, 5
+
+
 def explained_rows(cat: Catalog, n: int = 10) -> DataFrame:
     return seeded_sample(test_split(cat), "inv_id", n, seed=42).withColumn("row_id", F.col("inv_id"))
 
 
-def background_rows(cat: Catalog, n: int = 100) -> DataFrame:
+def background_rows(cat: Catalog, n: int = BACKGROUND) -> DataFrame:
     return seeded_sample(prepared(cat).where(F.col("split") == "train"), "inv_id", n, seed=7)
 
 
+def attributions(cat: Catalog, kind: str, rows: DataFrame, background: DataFrame) -> DataFrame:
+    """Shapley values by the model's own algorithm: exact for the trees,
+    kernel-weighted coalitions for the network, whose background is k-means
+    centres weighted by their clusters."""
+    m, features = model(cat, kind), list(FEATURE_ORDER)
+    if kind == "mlp":
+        centres = X.background_kmeans(background, features, k=CENTRES)
+        centres = centres.select(*[F.col("center")[i].alias(f) for i, f in enumerate(features)], "weight")
+        return AT.kernel_shap(rows, centres, features, m.predictor(), weight="weight")
+    nodes = AT.forest_nodes(m) if kind == "rf" else AT.ensemble_nodes(m, features, scratch(cat, "trees"))
+    return AT.tree_shap(rows, background, features, nodes)
+
+
 @register("ml_shap")
 def ml_shap(cat: Catalog) -> DataFrame:
-    """Each of the three models: 100 background rows for the trees, their
-    k-means centres, weighted by cluster size, for the network."""
+    """100 rows against 100 background rows, each of the three models."""
     from wattline.session import materialize
-    rows = materialize(explained_rows(cat))
-    background = materialize(background_rows(cat))
-    centres = X.background_kmeans(background, list(FEATURE_ORDER), k=10)
-    centres = centres.select(*[F.col("center")[i].alias(f) for i, f in enumerate(FEATURE_ORDER)], "weight")
+    rows, background = materialize(explained_rows(cat, EXPLAINED)), materialize(background_rows(cat))
     out = None
     for kind in ("gbt", "rf", "mlp"):
-        bg, weight = (centres, "weight") if kind == "mlp" else (background, None)
-        s = X.permutation_shap(rows, bg, list(FEATURE_ORDER), scorer(cat, kind, floor=None), n_perm=4, weight=weight)
-        s = s.select(F.lit(kind).alias("model"), "*")
+        s = attributions(cat, kind, rows, background).select(F.lit(kind).alias("model"), "row_id", "feature", "shap_value", "base_value", "prediction")
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -353,10 +389,12 @@ def ml_lime_global(cat: Catalog) -> DataFrame:
 
 @register("ml_shap_global")
 def ml_shap_global(cat: Catalog) -> DataFrame:
-    """Mean absolute Shapley value of each feature over 50 rows, ranked."""
+    """Mean absolute Shapley value of each feature over the background rows
+    themselves (boosted model, exact), ranked."""
     from wattline.operators import attributions as A
-    s = X.permutation_shap(explained_rows(cat, 50), background_rows(cat), list(FEATURE_ORDER), scorer(cat, "gbt", floor=None), n_perm=1)
-    return A.global_importance(s, "shap_value").select("feature", "importance", "rank", "relative_pct")
+    from wattline.session import materialize
+    background = materialize(background_rows(cat).withColumn("row_id", F.col("inv_id")))
+    return A.global_importance(attributions(cat, "gbt", background, background), "shap_value").select("feature", "importance", "rank", "relative_pct")
 
 
 @register("ml_lime")
