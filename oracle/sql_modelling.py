@@ -1,9 +1,8 @@
 """Oracle SQL: feature engineering (one-hot, scaling, split, cross-platform
 features, broadcast means)."""
 
-from oracle.sql_profiles import TELEMETRY
+from oracle.sql_profiles import SOURCE_METRICS, TELEMETRY
 from oracle.sql_traces import MASTER
-from wattline.functions.text import sql_loc_count
 from wattline.functions.labels import FEATURE_ORDER
 
 _MEANS = ("cold_start", "lines_of_code", "num_loops", "num_conditionals", "num_function_calls",
@@ -25,13 +24,12 @@ _XP.update({c: f"mean_{c}" for c in _MEANS})
 
 SQL = {
     "src_code_bundle": "SELECT source AS bundle, length(text) AS n_chars, md5(text) AS content_md5 FROM documents",
-    # no text of the fixture parses as Python
-    "ml_code_metrics": f"""SELECT source AS bundle, CAST(doc_id AS VARCHAR) AS path, CAST({sql_loc_count('text')} AS BIGINT) AS loc,
-  0::BIGINT AS num_loops, 0::BIGINT AS num_conditionals, 0::BIGINT AS num_function_calls, 0::BIGINT AS max_nesting_depth, 0::BIGINT AS cc_sum,
-  0::BIGINT AS cc_blocks, false AS parsed FROM documents""",
-    "agg_code_bundle": f"""SELECT source AS bundle, CAST(greatest(1, sum({sql_loc_count('text')})) AS BIGINT) AS lines_of_code,
-  0::BIGINT AS num_loops, 0::BIGINT AS num_conditionals, 0::BIGINT AS num_function_calls, 0::BIGINT AS max_nesting_depth,
-  1.0e0 AS cyclomatic_complexity, count(*) AS files FROM documents GROUP BY source""",
+    "ml_code_metrics": f"""SELECT bundle, path, loc, num_loops, num_conditionals, num_function_calls, max_nesting_depth, CAST(cc_sum AS BIGINT) AS cc_sum,
+  CAST(cc_blocks AS BIGINT) AS cc_blocks, parsed FROM ({SOURCE_METRICS})""",
+    "agg_code_bundle": f"""SELECT bundle, CAST(greatest(1, sum(loc)) AS BIGINT) AS lines_of_code, CAST(sum(num_loops) AS BIGINT) AS num_loops,
+  CAST(sum(num_conditionals) AS BIGINT) AS num_conditionals, CAST(sum(num_function_calls) AS BIGINT) AS num_function_calls, max(max_nesting_depth) AS max_nesting_depth,
+  CASE WHEN sum(cc_blocks) > 0 THEN CAST(sum(cc_sum) AS DOUBLE) / CAST(sum(cc_blocks) AS DOUBLE) ELSE 1.0e0 END AS cyclomatic_complexity,
+  count(*) AS files FROM ({SOURCE_METRICS}) GROUP BY bundle""",
     "ml_one_hot": f"""WITH {TELEMETRY}
 SELECT inv_id, CASE WHEN function_type = 'io' THEN 1.0e0 ELSE 0.0e0 END AS function_type_io,
   CASE WHEN function_type = 'memory' THEN 1.0e0 ELSE 0.0e0 END AS function_type_memory,

@@ -1,14 +1,22 @@
 """Oracle SQL: telemetry, profiles, lookups, overrides, roll-ups."""
 
-from wattline.functions.text import sql_loc_count
 from wattline.operators.profiles import TELEMETRY_NUMERIC
 
-# No text of the fixture parses as Python beyond single expressions without
-# calls, so the parsed metrics are LOC and constants (tests cover real sources).
-TELEMETRY = f"""code AS (SELECT 'fn-' || CAST(doc_id AS VARCHAR) AS function_name,
-  CAST(greatest(1, {sql_loc_count('text')}) AS DOUBLE) AS lines_of_code,
-  0.0e0 AS num_loops, 0.0e0 AS num_conditionals, 0.0e0 AS num_function_calls,
-  1.0e0 AS cyclomatic_complexity, 0.0e0 AS max_nesting_depth FROM documents),
+# The metrics of the source that is written from a document's row (v_source):
+# one loop and more, nested, so as many levels deep; a call per loop, one of the
+# data's length and some more; a block per function, with its decisions.  What
+# does not parse has only its lines.
+SOURCE_METRICS = """SELECT doc_id, source AS bundle, CAST(doc_id AS VARCHAR) AS path,
+  CAST(6 + l + 2 * i + c + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN ok THEN 0 ELSE 1 END AS BIGINT) AS loc,
+  CASE WHEN ok THEN l ELSE 0 END AS num_loops, CASE WHEN ok THEN i ELSE 0 END AS num_conditionals, CASE WHEN ok THEN 1 + l + c ELSE 0 END AS num_function_calls,
+  CASE WHEN ok THEN l ELSE 0 END AS max_nesting_depth, CASE WHEN ok THEN 1 + l + i + CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END ELSE 0 END AS cc_sum,
+  CASE WHEN ok THEN 1 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END ELSE 0 END AS cc_blocks, ok AS parsed
+  FROM (SELECT *, CAST(1 + doc_id % 4 AS BIGINT) AS l, CAST(length(coalesce(text, '')) % 5 AS BIGINT) AS i, CAST(doc_id % 7 AS BIGINT) AS c, doc_id % 11 <> 0 AS ok FROM documents)"""
+
+TELEMETRY = f"""code AS (SELECT 'fn-' || path AS function_name, CAST(loc AS DOUBLE) AS lines_of_code,
+  CAST(num_loops AS DOUBLE) AS num_loops, CAST(num_conditionals AS DOUBLE) AS num_conditionals, CAST(num_function_calls AS DOUBLE) AS num_function_calls,
+  CASE WHEN cc_blocks > 0 THEN CAST(cc_sum AS DOUBLE) / cc_blocks ELSE 1.0e0 END AS cyclomatic_complexity, CAST(max_nesting_depth AS DOUBLE) AS max_nesting_depth
+  FROM ({SOURCE_METRICS})),
 tj AS (SELECT i.inv_id, i.function_name, i.trigger_type, i.quantity, i.tax, i.discount, i.cold_start, i.latency_ms,
   CAST(i.memory_mb AS DOUBLE) AS mem, greatest(i.latency_ms, 1.0e0) AS dur,
   coalesce(c.lines_of_code, 20.0e0) AS lines_of_code, coalesce(c.num_loops, 2.0e0) AS num_loops,

@@ -22,6 +22,7 @@ from wattline.models.mlp import DistributedMLP
 from wattline.operators import metrics as M
 from wattline.operators import projections as P
 from wattline.operators import traces as T
+from wattline.operators.profiles import invocation_telemetry
 from wattline.operators.sampling import hash_split, seeded_sample
 from wattline.plans.profiles import CATEGORICAL, lookup_requests, profile, telemetry
 from wattline.plans.registry import register
@@ -72,7 +73,7 @@ def prepared(cat: Catalog) -> DataFrame:
 
 @register("ml_one_hot")
 def ml_one_hot(cat: Catalog) -> DataFrame:
-    t = telemetry(cat)
+    t = invocation_telemetry(cat.v_inv)
     return FE.OneHot(["function_type", "input_size"]).fit(t).transform(t, keep=["inv_id"])
 
 
@@ -87,7 +88,7 @@ def ml_scale(cat: Catalog) -> DataFrame:
 
 @register("ml_split")
 def ml_split(cat: Catalog) -> DataFrame:
-    return hash_split(telemetry(cat).select("inv_id"), "inv_id", SPLITS)
+    return hash_split(cat.v_inv.select("inv_id"), "inv_id", SPLITS)
 
 
 def means_of(t: DataFrame) -> DataFrame:
@@ -408,19 +409,14 @@ def ml_background_kmeans(cat: Catalog) -> DataFrame:
 
 
 # ------------------------------------------------------------------ code metrics
-def document_sources(cat: Catalog) -> DataFrame:
-    return cat.documents.select(F.col("source").alias("bundle"), F.col("doc_id").alias("path"),
-                                F.col("text").alias("content"))
-
-
 @register("ml_code_metrics")
 def ml_code_metrics(cat: Catalog) -> DataFrame:
-    return CM.source_metrics(document_sources(cat))
+    return CM.source_metrics(cat.v_source)
 
 
 @register("agg_code_bundle")
 def agg_code_bundle(cat: Catalog) -> DataFrame:
-    return CM.bundle_metrics(CM.source_metrics(document_sources(cat)))
+    return CM.bundle_metrics(CM.source_metrics(cat.v_source))
 
 
 # ------------------------------------------------------------------ file sources and sinks
@@ -551,4 +547,4 @@ def join_predictions_back(cat: Catalog) -> DataFrame:
 def ml_split_stratified(cat: Catalog) -> DataFrame:
     """80/20 then 80/20 of train, exact within each function type."""
     from wattline.operators.sampling import stratified_hash_split
-    return stratified_hash_split(telemetry(cat).select("inv_id", "function_type"), "inv_id", "function_type", SPLITS)
+    return stratified_hash_split(invocation_telemetry(cat.v_inv).select("inv_id", "function_type"), "inv_id", "function_type", SPLITS)

@@ -21,18 +21,20 @@ LIVE_COLUMNS = {"aws_duration_ms": "live_duration_ms", "memory_config_mb": "live
 
 
 def telemetry(cat: Catalog) -> DataFrame:
-    """The compiled telemetry table: invocations, source metrics of
-    document ``fn-<doc_id>`` as the function's code, derived columns."""
-    key = F.concat(F.lit("fn-"), F.col("doc_id").cast("string"))
-    code = PR.parsed_code_metrics(cat.documents, key)
-    return PR.compile_telemetry(cat.v_inv, code)
+    """The compiled telemetry table: invocations, metrics of the source of
+    document ``<doc_id>`` as the code of function ``fn-<doc_id>``, derived
+    columns."""
+    return PR.compile_telemetry(cat.v_inv, function_code(cat))
+
+
+def function_code(cat: Catalog) -> DataFrame:
+    return PR.parsed_code_metrics(cat.v_source, F.concat(F.lit("fn-"), F.col("path")), "content")
 
 
 def profile(cat: Catalog, materialized: bool = False) -> DataFrame:
     """Function profile; ``materialized`` checkpoints it for plans that read
     it several times (lookup + fallback medians + fallback modes)."""
-    key = F.concat(F.lit("fn-"), F.col("doc_id").cast("string"))
-    p = PR.profile_from_parts(cat.v_inv, PR.parsed_code_metrics(cat.documents, key))
+    p = PR.profile_from_parts(cat.v_inv, function_code(cat))
     if materialized:
         from wattline.session import materialize
         p = materialize(p)

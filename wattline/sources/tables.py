@@ -63,6 +63,10 @@ class Catalog:
     def v_live(self) -> DataFrame:
         return live_view(self.table("events"))
 
+    @cached_property
+    def v_source(self) -> DataFrame:
+        return source_view(self.table("documents"))
+
     @cached_property
     def v_attr(self) -> DataFrame:
         return attribution_view(self.table("lineitem"))
@@ -140,6 +144,26 @@ def function_minutes_view(v_inv: DataFrame) -> DataFrame:
             .agg(*[F.sum(F.when(m == i, F.col("quantity"))).alias(f"m{i}") for i in range(1, 13)]))
 
 
+def source_view(documents: DataFrame) -> DataFrame:
+    """Source bundle role: one Python file per document, written from its row:
+    a handler with nested loops, conditionals and calls, whose numbers follow
+    the id and the length of the text; for every third id a second function;
+    for every eleventh a line that does not parse.  The text is its data."""
+    text = F.coalesce("text", F.lit(""))
+    loops, ifs, calls = 1 + F.col("doc_id") % 4, F.length(text) % 5, F.col("doc_id") % 7
+    indent = lambda n: F.repeat(F.lit("    "), n.cast("int"))
+    number = lambda n: F.sequence(F.lit(0), n.cast("int") - 1)
+    times = lambda n, line: F.when(n > 0, F.concat(F.repeat(F.lit(line), n.cast("int")))).otherwise("")
+    nest = F.array_join(F.transform(number(loops), lambda i: F.concat(indent(i + 1), F.lit("for i"), i.cast("string"), F.lit(" in range(1):\n"))), "")
+    content = F.concat(
+        F.lit("# document "), F.col("doc_id").cast("string"), F.lit("\nimport json\n\nDATA = \""), F.regexp_replace(F.base64(text.cast("binary")), r"\s", ""),
+        F.lit("\"\n\n\ndef handler(event, context):\n    total = len(DATA)\n"), nest, indent(loops + 1), F.lit("total += 1\n"),
+        times(ifs, "    if total > 0:\n        total += 1\n"), times(calls, "    total = abs(total)\n"), F.lit("    return total\n"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit("\n\ndef check(value):\n    return value > 0 and value < 10 or value == 12\n")).otherwise(""),
+        F.when(F.col("doc_id") % 11 == 0, F.lit("def (:\n")).otherwise(""))
+    return documents.select("doc_id", F.col("source").alias("bundle"), F.col("doc_id").cast("string").alias("path"), content.alias("content"))
+
+
 def live_view(events: DataFrame) -> DataFrame:
     """Live traffic role: the event type names the function."""
     return events.select("event_id", F.concat(F.lit("fn-"), F.col("event_type")).alias("function_name"),
