@@ -250,4 +250,20 @@ def test_registered_models_really_fit(spark, monkeypatch):
         s = sums.setdefault((r.model, r.row_id), [0.0, r.base_value, r.prediction])
         s[0] += r.shap_value
     assert all(abs(a + b - p) < 1e-8 for a, b, p in sums.values())
-    assert {r.model for r in PM.ml_predict(cat).select("model").distinct().collect()} <= {"xgboost", "random_forest", "neural_network"}
+    monkeypatch.setattr(PM, "_SCORED", {})
+    online = {r.function_name: r for r in PM.online_predictions(cat).collect()}
+    assert {r.model for r in online.values()} == {"xgboost", "random_forest", "neural_network"} and min(r.prediction for r in online.values()) >= 0.0001
+    for r in PM.online_results(cat).collect():
+        p = online.pop(r.function_name)
+        per_call = p.memory_config_mb / 1024 * p.aws_duration_ms / 1000 * 0.001392 + 16.70 / 1_000_000
+        assert abs(r.energy_wh_per_invocation - p.prediction) <= 5.1e-5 and abs(r.monthly_carbon_kg - 7_200 * p.prediction * 0.708) < 6e-5
+        assert abs(r.monthly_cost_inr - 7_200_000 * per_call) < 6e-3 and abs(r.energy_kwh - r.total_requests * p.prediction / 1000) < 6e-4
+        assert abs(r.cost_inr - r.total_requests * per_call) < 6e-3 and 10_000_000 < r.total_requests < 14_400_000
+    assert not online
+    files = PM.ml_validation_files(cat).collect()
+    report = {(r.platform, r.group): r for r in PM.ml_trace_validation(cat).collect()}
+    for r in files:
+        want = report[r.platform, "overall"]
+        assert (r.n, r.verdict, r.detail_rows) == (want.n, want.verdict, want.n) and set(r.groups) >= set(PM.VALIDATION_GROUPS[r.platform])
+        assert abs(r.detail_mae - want.mae) < 1e-8 and abs(r.detail_accuracy - r.accuracy) < 1e-6 and abs(r.r2 - want.r2) < 1e-9
+    assert len(files) == 2

@@ -17,7 +17,7 @@ def test_trace_glob_day_from_path_and_column_subset(spark):
             f.write("HashApp,HashFunction,Average\n" + rows)
     schema = StructType([StructField("HashApp", StringType()), StructField("HashFunction", StringType()),
                          StructField("Average", DoubleType())])
-    df = IO.read_trace_glob(spark, f"{root}/day=*/*.csv", schema, ["HashFunction", "Average"])
+    df, _ = IO.read_trace_glob(spark, f"{root}/day=*/*.csv", schema, ["HashFunction", "Average"])
     assert df.columns == ["HashFunction", "Average", "day"]
     assert sorted(tuple(r) for r in df.collect()) == [("f1", 10.0, 1), ("f1", 30.0, 2), ("f2", 20.0, 1)]
 
@@ -31,7 +31,9 @@ def test_telemetry_csv_cold_start_variants(spark):
         lines.append(",".join(vals))
     with open(f"{root}/t.csv", "w") as f:
         f.write("\n".join(lines) + "\n")
-    got = {r.function_name: r.cold_start for r in IO.read_telemetry_csv(spark, root).collect()}
+    rows, report = IO.read_telemetry_csv(spark, root)
+    got = {r.function_name: r.cold_start for r in rows.collect()}
+    assert spark.read.parquet(IO.write_report(report, f"{root}-out")).selectExpr("sum(bad_rows)").first()[0] == 0
     assert got == {"fn0": 1, "fn1": 0, "fn2": 1, "fn3": 0, "fn4": 0}
 
 
@@ -48,13 +50,15 @@ def test_columns_by_name_whatever_the_order(spark):
     schema = StructType([StructField("HashFunction", StringType()), StructField("Average", DoubleType())])
     with warnings.catch_warnings(record=True) as w:
         warnings.simplefilter("always")
-        got = IO.read_trace_glob(spark, f"{root}/day=*/*.csv", schema, ["HashFunction", "Average"])
+        got, glob_report = IO.read_trace_glob(spark, f"{root}/day=*/*.csv", schema, ["HashFunction", "Average"])
         rows, report = IO.read_csv_by_name(spark, f"{root}/day=*", {"HashFunction": "string", "Average": "double"})
     assert any("Average" in str(x.message) for x in w)
     assert sorted(((r.HashFunction, r.Average, r.day) for r in got.collect()), key=str) == [("f", 1.5, 1), ("f", 2.5, 2), ("g", None, 1)]
     rep = {r.file.split("/")[-2]: (r.status.split(":")[0], r.rows, r.bad_rows) for r in report.collect()}
     assert rep == {"day=1": ("read", 2, 0), "day=2": ("read", 3, 2), "day=3": ("skipped", 0, 0)}
     assert rows.count() == 3
+    saved = spark.read.parquet(IO.write_report(glob_report, f"{root}-out")).collect()      # a planted bad row is reported
+    assert sorted((r.rows, r.bad_rows) for r in saved) == [(0, 0), (2, 0), (3, 2)]
 
 
 def test_sources_in_zip_archives(spark):

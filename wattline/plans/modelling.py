@@ -203,21 +203,32 @@ def agg_model_compare(cat: Catalog) -> DataFrame:
 SAMPLE_FUNCTIONS = 5000
 
 
+_SCORED: dict = {}
+
+
 def trace_predictions(cat: Catalog, platform: str) -> DataFrame:
     """Sampled trace functions of a platform with actual and predicted energy
-    (boosted model): (group, actual_wh, predicted_wh)."""
+    (boosted model): (function, group, avg_duration_ms, memory_allocated_mb,
+    actual_wh, predicted_wh), saved once per session and data folder."""
     from wattline.functions import energy as E
     from wattline.operators.sampling import stratified_sample
-    means = training_means(cat)
+    from wattline.session import materialize
+    key = (cat.spark.sparkContext.applicationId, cat.sf_dir, fingerprint(cat))
+    if (*key, platform) in _SCORED:
+        return _SCORED[(*key, platform)]
     if platform == "azure":
-        m = trace_master(cat).withColumn("_id", F.concat_ws("|", "hash_function", "hash_app")).withColumn("group", F.col("trigger_type"))
-        m = stratified_sample(m, "_id", "trigger_type", SAMPLE_FUNCTIONS, seed=42)
+        m = trace_master(cat).withColumn("function", F.concat_ws("|", "hash_function", "hash_app")).withColumn("group", F.col("trigger_type"))
+        m = stratified_sample(m, "function", "trigger_type", SAMPLE_FUNCTIONS, seed=42)
     else:
-        m = T.region_function_summary(cat.v_inv).withColumn("group", P.runtime_category(F.col("runtime")))
-        m = stratified_sample(m, "function_name", "group", SAMPLE_FUNCTIONS, seed=42)
+        m = T.region_function_summary(cat.v_inv).withColumn("group", P.runtime_category(F.col("runtime"))).withColumn("function", F.col("function_name"))
+        m = stratified_sample(m, "function", "group", SAMPLE_FUNCTIONS, seed=42)
+    if key not in _SCORED:
+        _SCORED[key] = materialize(training_means(cat))
     m = m.withColumn("actual_wh", E.energy_wh("memory_allocated_mb", "avg_duration_ms"))
-    feats = cross_platform_features(m, means, keep=("group", "actual_wh"), shares=platform == "alibaba")
-    return scorer(cat, "gbt", floor=0.0)(feats).select("group", "actual_wh", F.col("prediction").alias("predicted_wh"))
+    keep = ("function", "group", "avg_duration_ms", "memory_allocated_mb", "actual_wh")
+    feats = cross_platform_features(m, _SCORED[key], keep=keep, shares=platform == "alibaba")
+    _SCORED[(*key, platform)] = materialize(scorer(cat, "gbt", floor=0.0)(feats).select(*keep, F.col("prediction").alias("predicted_wh")))
+    return _SCORED[(*key, platform)]
 
 
 #: The groups that each platform's report lists.
@@ -241,6 +252,34 @@ def ml_trace_validation(cat: Catalog) -> DataFrame:
     return a.unionByName(b)
 
 
+def validation_summary(pred: DataFrame, platform: str) -> DataFrame:
+    """One nested row: overall metrics, metrics per group, verdict."""
+    m = M.regression_metrics(pred)
+    by = M.metrics_by(pred, "group", VALIDATION_GROUPS[platform], "group")
+    return m.crossJoin(by.agg(F.map_from_entries(F.collect_list(F.struct("group", F.struct("r2", "mae", "rmse", "mape", "accuracy", "n")))).alias("by_group"))).select(
+        F.lit(platform).alias("platform"), F.struct("r2", "mae", "rmse", "mape", "accuracy", "n").alias("overall"), "by_group", M.transfer_verdict(F.col("r2")).alias("verdict"))
+
+
+@register("ml_validation_files")
+def ml_validation_files(cat: Catalog) -> DataFrame:
+    """The files of a model-scored validation: per platform a detail CSV with
+    error columns and a summary JSON, written and read back; one row per
+    platform with the summary's figures and those that the detail gives."""
+    out = None
+    for platform in ("azure", "alibaba"):
+        pred, folder = trace_predictions(cat, platform), scratch(cat, f"validation-{platform}")
+        detail = P.error_columns(pred)
+        IO.write_csv(detail, f"{folder}/detail")
+        summary = validation_summary(pred, platform)
+        IO.write_summary_json(summary, f"{folder}/summary")
+        back = cat.spark.read.schema(detail.schema).option("header", True).csv(f"{folder}/detail")
+        again = back.agg(F.count(F.lit(1)).alias("detail_rows"), F.avg("absolute_error_wh").alias("detail_mae"), F.avg("accuracy_pct").alias("detail_accuracy"))
+        row = IO.read_summary_json(cat.spark, f"{folder}/summary", summary.schema).crossJoin(again)
+        row = row.select("platform", "overall.*", "verdict", F.map_keys("by_group").alias("groups"), "detail_rows", r9("detail_mae"), r9("detail_accuracy"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @register("gap_analysis")
 def gap_analysis(cat: Catalog) -> DataFrame:
     """Live roll-up -> inputs with live overrides -> prediction -> range check
@@ -266,13 +305,17 @@ def ml_importance(cat: Catalog) -> DataFrame:
     return TR.importances(cat.spark, model(cat, "gbt"))
 
 
-@register("ml_predict")
-def ml_predict(cat: Catalog) -> DataFrame:
+def online_predictions(cat: Catalog) -> DataFrame:
     """Batch scoring of requested functions: profile lookup with fallback,
     feature alignment, model chosen by each request's alias (xgboost / rf /
     nn, spread over the requests by a hash of the name), online floor and
-    confidence.  Each model scores only its own requests."""
+    confidence.  Each model scores only its own requests.  Saved once per
+    session and data folder."""
     from wattline.operators.profiles import lookup_with_fallback, profile_fallback
+    from wattline.session import materialize
+    key = (cat.spark.sparkContext.applicationId, cat.sf_dir, fingerprint(cat), "online")
+    if key in _SCORED:
+        return _SCORED[key]
     prof = profile(cat, materialized=True)
     cols = list(NUMERIC_FEATURES)
     fb = profile_fallback(prof, cols, CATEGORICAL)
@@ -284,10 +327,51 @@ def ml_predict(cat: Catalog) -> DataFrame:
     feats = FE.telemetry_features(req.withColumn("energy_target_wh", F.lit(None).cast("double")),
                                   keep=("function_name", "is_fallback", "model"))
     kinds = {"xgboost": "gbt", "random_forest": "rf", "neural_network": "mlp"}
-    parts = [scorer(cat, kind, floor=0.0001)(feats.where(F.col("model") == name))
-             .select("function_name", "model", "is_fallback", "prediction") for name, kind in kinds.items()]
-    scored = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return P.confidence(scored).select("function_name", "model", "is_fallback", "prediction", "confidence")
+    keep = ("function_name", "model", "is_fallback", "memory_config_mb", "aws_duration_ms", "prediction")
+    parts = [scorer(cat, kind, floor=0.0001)(feats.where(F.col("model") == name)).select(*keep) for name, kind in kinds.items()]
+    _SCORED[key] = materialize(P.confidence(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+    return _SCORED[key]
+
+
+@register("ml_predict")
+def ml_predict(cat: Catalog) -> DataFrame:
+    return online_predictions(cat).select("function_name", "model", "is_fallback", "prediction", "confidence")
+
+
+@register("online_analysis")
+def online_analysis(cat: Catalog) -> DataFrame:
+    """Analysis of each requested function from its model's prediction: energy
+    per call, confidence, monthly calls, carbon and cost."""
+    p = P.monthly_projection(online_predictions(cat), "prediction", "memory_config_mb", "aws_duration_ms")
+    return p.select("function_name", "model", "is_fallback", "prediction", "energy_wh_per_invocation", "confidence", "monthly_invocations",
+                    "monthly_carbon_kg", "monthly_cost_inr")
+
+
+def online_spike_hours(cat: Catalog) -> DataFrame:
+    from wattline.functions import energy as E
+    from wattline.operators import windows as W
+    p = online_predictions(cat).withColumn("cost_per_call", E.cost_per_call_inr("memory_config_mb", "aws_duration_ms"))
+    return W.spike_hours(p.select("function_name", "prediction", "cost_per_call"), energy="prediction", jitter_seed=42)
+
+
+@register("online_spike")
+def online_spike(cat: Catalog) -> DataFrame:
+    """Spike totals of each requested function from its model's prediction:
+    hourly requests with jitter, summed to energy, carbon and cost."""
+    from wattline.operators import windows as W
+    return W.spike_totals(online_spike_hours(cat), energy="prediction", cost_per_call="cost_per_call")
+
+
+@register("online_results")
+def online_results(cat: Catalog) -> DataFrame:
+    """Analyses and spike forecasts appended to one results table each and
+    read back: one row per function with what both tables hold of it."""
+    folder = scratch(cat, "online")
+    IO.append_results(online_analysis(cat), f"{folder}/analyses")
+    IO.append_results(online_spike(cat), f"{folder}/forecasts")
+    read = cat.spark.read.parquet
+    return read(f"{folder}/analyses").join(read(f"{folder}/forecasts"), "function_name").select(
+        "function_name", "model", "energy_wh_per_invocation", "monthly_carbon_kg", "monthly_cost_inr", "total_requests", "energy_kwh", "carbon_kg", "cost_inr")
 
 
 #: The original cross-validation's settings (the network stops early).
@@ -441,7 +525,9 @@ def src_telemetry_csv(cat: Catalog) -> DataFrame:
                      .otherwise(F.col("cold_start").cast("string")))
     path = scratch(cat, "telemetry_csv")
     IO.write_csv(t, path)
-    return IO.read_telemetry_csv(cat.spark, path)
+    rows, report = IO.read_telemetry_csv(cat.spark, path)
+    IO.write_report(report, path)
+    return rows
 
 
 @register("src_trace_glob")
@@ -460,7 +546,8 @@ def src_trace_glob(cat: Catalog) -> DataFrame:
                          StructField("Minimum", DoubleType()), StructField("Maximum", DoubleType()),
                          StructField("percentile_Average_50", DoubleType()),
                          StructField("percentile_Average_99", DoubleType())])
-    d = IO.read_trace_glob(cat.spark, f"{path}/day=*/*.csv", schema, ["HashApp", "HashFunction", "Average", "Count"])
+    d, report = IO.read_trace_glob(cat.spark, f"{path}/day=*/*.csv", schema, ["HashApp", "HashFunction", "Average", "Count"])
+    IO.write_report(report, path)
     return d.select("HashApp", "HashFunction", R.half_up("Average", 9).alias("Average"), "Count", "day")
 
 
