@@ -41,11 +41,19 @@ SQL = {
 FROM al""",
     "str_live_history": """SELECT function_name, event_id, ts, duration_ms, rank FROM (SELECT *, CAST(row_number() OVER
   (PARTITION BY function_name ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank FROM v_live) WHERE rank <= 12""",
-    "str_gap_stream": """WITH e AS (SELECT event_id, 'fn-' || event_type AS function_name,
+    # hours that a watermark of one hour has closed
+    "str_alert_stream": "WITH " + _HOURLY + """,
+closed AS (SELECT st.*, CASE WHEN abs(deviation_pct) <= 8 THEN 0 WHEN abs(deviation_pct) <= 20 THEN 1 WHEN abs(deviation_pct) <= 40 THEN 2 ELSE 3 END AS tier
+  FROM st WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)),
+seen AS (SELECT *, coalesce(lag(tier) OVER (PARTITION BY function_name ORDER BY window_start), 0) AS last_tier FROM closed)
+SELECT function_name, window_start, actual_rph, round(predicted_rph, 9) AS predicted_rph, round(deviation_pct, 9) AS deviation_pct, tier, last_tier
+FROM seen WHERE tier <> last_tier""",
+    "str_gap_stream": """WITH cut AS (SELECT date_trunc('hour', make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2)) AS c FROM events),
+e AS (SELECT event_id, ts, 'fn-' || event_type AS function_name,
   (10.0e0 + 0.2e0 * (user_id * 10.0e0)) * value / 3600000.0e0 AS actual_wh FROM events),
-r AS (SELECT function_name, avg(actual_wh) AS predicted_wh FROM e GROUP BY function_name),
+r AS (SELECT function_name, avg(actual_wh) AS predicted_wh FROM e, cut WHERE ts < c GROUP BY function_name),
 g AS (SELECT e.*, r.predicted_wh, 100.0e0 - abs(r.predicted_wh - e.actual_wh) / greatest(e.actual_wh, 0.0001e0) * 100.0e0 AS acc
-  FROM e JOIN r USING (function_name))
+  FROM e JOIN r USING (function_name), cut WHERE e.ts >= c)
 SELECT event_id, function_name, actual_wh, round(predicted_wh, 9) AS predicted_wh, round(acc, 9) AS gap_accuracy_pct,
   CASE WHEN acc >= 90 THEN 'Excellent' WHEN acc >= 75 THEN 'Good' ELSE 'Needs Review' END AS gap_verdict FROM g""",
     "join_forecast_actual": "WITH " + _HOURLY + """ SELECT function_name, window_start, actual_rph, round(predicted_rph, 9) AS predicted_rph FROM st""",

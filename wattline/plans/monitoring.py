@@ -58,15 +58,23 @@ def str_live_history(cat: Catalog) -> DataFrame:
     return MON.live_history_table(cat.spark, cat.sf_dir, 12)
 
 
+@register("str_alert_stream")
+def str_alert_stream(cat: Catalog) -> DataFrame:
+    """Alerts from inside the stream: hours in which a function's tier changes."""
+    a = MON.run_alerts(cat.spark, cat.sf_dir, MON.forecast_versions(cat.events))
+    return a.select("function_name", "window_start", "actual_rph", r9("predicted_rph"), r9("deviation_pct"), "tier", "last_tier")
+
+
 @register("str_gap_stream")
 def str_gap_stream(cat: Catalog) -> DataFrame:
-    """Live energy per call against each function's reference value (mean
-    energy per call over the landed history; ``gap_analysis`` has the model's)."""
-    hist = cat.events.select(F.concat(F.lit("fn-"), F.col("event_type")).alias("function_name"),
-                             ((F.lit(10.0) + F.lit(0.2) * (F.col("user_id") * 10.0)) * F.col("value")
-                              / F.lit(3600000.0)).alias("e"))
+    """Live energy per call in the second half of the covered time against
+    each function's mean before it (``str_gap_model`` has the model's)."""
+    cut = F.broadcast(MON.forecast_cut(cat.events))
+    energy = (F.lit(10.0) + F.lit(0.2) * (F.col("user_id") * 10.0)) * F.col("value") / F.lit(3600000.0)
+    hist = cat.events.join(cut, F.col("ts") < F.col("cut")).select(F.concat(F.lit("fn-"), F.col("event_type")).alias("function_name"), energy.alias("e"))
     ref = hist.groupBy("function_name").agg(F.avg("e").alias("predicted_wh"))
-    out = MON.run_append_parquet(MON.gap_stream(MON.event_stream(cat.spark, cat.sf_dir), ref), "gap_stream")
+    live = MON.event_stream(cat.spark, cat.sf_dir).join(cut, F.col("ts").cast("timestamp_ntz") >= F.col("cut")).drop("cut")
+    out = MON.run_append_parquet(MON.gap_stream(live, ref), "gap_stream")
     d = cat.spark.read.parquet(out)
     return d.select("event_id", "function_name", "actual_wh", r9("predicted_wh"), r9("gap_accuracy_pct"), "gap_verdict")
 
