@@ -66,6 +66,7 @@ NAMES = frozenset("""ad ads adv advert adverts advertisement advertisements adve
     widget widgets related recommended masthead topbar footer colophon copyright comment comments disqus reply replies respond share sharing social login""".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 MAIN = frozenset("article main".split())
+OPENED = frozenset("nav header form menu".split())
 MAIN_NAMES = frozenset("article-body entry-content post-content story-body main-content".split())
 
 TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)((?>[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+')?+)*+)(>|\Z)|!--(?:-?>|.*?(?:--!?>|\Z))|[!?/][^>]*+(?:>|\Z))", re.S)
@@ -75,10 +76,11 @@ WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 FRAME, OPEN, KEPT = 0, 1, 2     # what markup says of a line: goes, nothing, stays
 
 
-def _role(tag: str, attributes: str, now: int | None, inside: frozenset[str]) -> int | None:
-    """What markup says of an element's text; None: unseen."""
+def _role(tag: str, attributes: str, now: int | None, inside: frozenset[str]) -> tuple[int | None, frozenset[str]]:
+    """What markup says of an element's text (None: unseen), and the parts of
+    the page that it stands in ("*": a part by its name or role)."""
     if now is None or tag in UNSEEN:
-        return None
+        return None, inside
     name, role, keep = [], "", tag in MAIN
     if attributes.strip():
         for m in ATTRIBUTE.finditer(attributes):
@@ -88,21 +90,18 @@ def _role(tag: str, attributes: str, now: int | None, inside: frozenset[str]) ->
             elif key == "role":
                 role = value.strip().lower()
             elif key == "hidden" or key == "style" and "display:none" in value.replace(" ", "").lower():
-                return None
+                return None, inside
             elif key == "itemprop" and value == "articleBody":
                 keep = True
+    named = tag not in ("html", "body") and any(w.lower() in NAMES for x in name for w in WORDS.findall(x))
     keep = keep or role in MAIN or bool(MAIN_NAMES & {x.lower() for x in name})
-    page = tag in ("html", "body")
-    if tag in PARTS or role in ROLES or (not page and not keep and any(w.lower() in NAMES for x in name for w in WORDS.findall(x))):
-        return FRAME
-    if tag in MAIN and NAMES & {w.lower() for x in name for w in WORDS.findall(x)}:
-        return FRAME        # a reader's comment may be an article
-    if tag in ("header", "form"):
-        return now if tag == "header" and now == KEPT else FRAME
-    if keep:
-        # the article ends what a page head, menu or form left open
-        return KEPT if now != FRAME or not inside - {"nav", "header", "form", "menu"} else FRAME
-    return now
+    if tag in PARTS or tag == "form" or tag == "header" and now != KEPT:
+        return FRAME, inside | {tag}
+    if role in ROLES or named and (tag in MAIN or not keep):        # a reader's comment may be an article
+        return FRAME, inside | {"*"}
+    if keep and not inside - OPENED:        # the article ends what a page head, menu or form left open
+        return KEPT, frozenset()
+    return now, inside
 
 
 class _Page:
@@ -151,14 +150,9 @@ class _Page:
             self.add(" ")
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             return
-        inside = self.stack[-1][2] if self.stack else frozenset()
-        role = _role(tag, attributes, self.now, inside)
+        role, inside = _role(tag, attributes, self.now, self.stack[-1][2] if self.stack else frozenset())
         if role != self.now:
             self.end_line()
-        if role == FRAME:
-            inside |= {tag if tag in PARTS or tag in ("header", "form") else "*"}
-        elif role == KEPT:
-            inside = frozenset()
         self.stack.append((tag, role, inside))
 
     def end(self, tag: str) -> None:
