@@ -260,6 +260,10 @@ def test_registered_models_really_fit(spark, monkeypatch):
         assert abs(r.monthly_cost_inr - 7_200_000 * per_call) < 6e-3 and abs(r.energy_kwh - r.total_requests * p.prediction / 1000) < 6e-4
         assert abs(r.cost_inr - r.total_requests * per_call) < 6e-3 and 10_000_000 < r.total_requests < 14_400_000
     assert not online
+    saved = PM.sink_model(cat).groupBy("model").agg(F.count("*").alias("n"), F.count_if("same").alias("same")).collect()
+    assert {r.model for r in saved} == {"gbt", "rf", "mlp"} and all(r.n == r.same > 0 for r in saved)
+    live = PM.str_gap_model(cat)
+    assert live.count() == cat.events.count() and live.where("predicted_wh < 0.0001 or model_version != 1").count() == 0
     files = PM.ml_validation_files(cat).collect()
     report = {(r.platform, r.group): r for r in PM.ml_trace_validation(cat).collect()}
     for r in files:

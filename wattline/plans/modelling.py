@@ -17,6 +17,7 @@ from wattline.models import codemetrics as CM
 from wattline.models import explain as X
 from wattline.models import features as FE
 from wattline.models import forest as FO
+from wattline.models import store as ST
 from wattline.models import trees as TR
 from wattline.models.mlp import DistributedMLP
 from wattline.operators import metrics as M
@@ -610,15 +611,42 @@ def sink_append_result(cat: Catalog) -> DataFrame:
     return cat.spark.read.parquet(path)
 
 
+def saved_models(cat: Catalog, root: str, version: int = 1) -> str:
+    """All three models, the scaler and the feature list below ``root``."""
+    folder = f"{root}/v={version}"
+    ST.save(cat.spark, ST.Models(list(FEATURE_ORDER), *(model(cat, k) for k in ST.KINDS)), folder)
+    return folder
+
+
 @register("sink_model")
 def sink_model(cat: Catalog) -> DataFrame:
-    """Fitted pipeline saved, loaded back and used to score the test split."""
-    path = scratch(cat, "model")
-    TR.save(model(cat, "gbt"), path)
-    loaded = TR.load(path)
-    return TR.predict(loaded, test_split(cat)).select("inv_id", F.col("prediction").alias("predicted_wh"))
+    """The artefact saved, loaded back and used: each model's scores of the
+    test split, and whether they are those of the models in memory."""
+    loaded = ST.load(cat.spark, saved_models(cat, scratch(cat, "models")))
+    out = None
+    for kind in ST.KINDS:
+        mine = test_predictions(cat, kind).select("inv_id", F.col("predicted_wh").alias("own"))
+        read = loaded.predict(kind, test_split(cat)).select("inv_id", F.col("prediction").alias("predicted_wh"))
+        rows = read.join(mine, "inv_id").select(F.lit(kind).alias("model"), "inv_id", "predicted_wh", (F.col("predicted_wh") == F.col("own")).alias("same"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
+@register("str_gap_model")
+def str_gap_model(cat: Catalog) -> DataFrame:
+    """Live samples scored in the stream by the stored boosted model, as
+    inputs that the function's profile and the sample give."""
+    from wattline.operators.profiles import lookup_with_fallback, profile_fallback
+    from wattline.session import materialize
+    from wattline.streaming import monitor as MON
+    root = scratch(cat, "served")
+    saved_models(cat, root)
+    prof = profile(cat, materialized=True)
+    cols = [*NUMERIC_FEATURES, *CATEGORICAL]
+    known = materialize(lookup_with_fallback(cat.v_live.select("function_name").distinct(), prof, profile_fallback(prof, list(NUMERIC_FEATURES), CATEGORICAL), cols))
+    out = MON.run_scored(MON.event_stream(cat.spark, cat.sf_dir), known, root, FE.telemetry_features)
+    return cat.spark.read.parquet(out).select("event_id", "function_name", r9("actual_wh"), r9("predicted_wh"), r9("gap_accuracy_pct"), "gap_verdict", "model_version")
+
 
 @register("join_predictions_back")
 def join_predictions_back(cat: Catalog) -> DataFrame:
