@@ -39,10 +39,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/wattline-llm/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by a Parquet table in the shared checkpoint folder."""
+#: Rows of a file of a table of which a bound is known.
+FILE_ROWS = 1 << 16
+
+
+def save(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut lineage by a Parquet table in the shared checkpoint folder.  With
+    a bound of its ``rows`` (narrow ones), it is written as that many files as
+    they fill, not one for each shuffle partition: every file costs the
+    storage several calls, whatever it holds."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

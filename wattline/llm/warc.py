@@ -38,6 +38,8 @@ FOOTER_BYTES = 9
 
 FRAME_BYTES = 1 << 20      # raw bytes after which a frame is closed
 BUNDLE_BYTES = 128 << 20   # compressed bytes after which a bundle is closed
+READ_BYTES = 64 << 20      # raw bytes that one task reads
+RUN_FRAMES = 8             # frames of a bundle that are read one after the other
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 
@@ -48,9 +50,14 @@ RECORD_SCHEMA = ("page_id long, url string, record_type string, payload_bytes lo
 
 # ---- bytes of one record ------------------------------------------------
 
-def record_bytes(page_id, url: str, payload: bytes, digest: str, size: int, refers_to=None) -> bytes:
+END = b"\r\n\r\n"
+
+
+def record_parts(page_id, url: str, payload, digest: str, refers_to=None) -> list:
+    """A record as buffers, the payload's own among them: nothing is copied."""
+    size = len(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
+    length = len(http) + (0 if refers_to is not None else size)
     target = "".join(c if " " < c else f"%{ord(c):02X}" for c in url)
     head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
             f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
@@ -58,23 +65,27 @@ def record_bytes(page_id, url: str, payload: bytes, digest: str, size: int, refe
     if refers_to is not None:
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>",
                  "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return b"WARC/1.1\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {length}"]
+    start = b"WARC/1.1\r\n" + "\r\n".join(head).encode() + END + http
+    return [start + END] if refers_to is not None else [start, payload, END]
+
+
+def record_bytes(page_id, url: str, payload: bytes, digest: str, refers_to=None) -> bytes:
+    return b"".join(record_parts(page_id, url, payload, digest, refers_to))
 
 
 def _headers(raw: bytes) -> dict[str, str]:
     return dict(line.split(": ", 1) for line in raw.decode().split("\r\n")[1:] if ": " in line)
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict, int]:
+def parse_record(data: bytes, at: int, with_payload: bool = True) -> tuple[dict, int]:
     """The record that starts at a place of a frame, and where the next starts."""
-    end = data.index(b"\r\n\r\n", at)
+    end = data.index(END, at)
     head = _headers(data[at:end])
     start = end + 4
     stop = start + int(head["Content-Length"])
-    block = data[start:stop]
-    cut = block.index(b"\r\n\r\n")
-    http, payload = _headers(block[:cut]), block[cut + 4:]
+    cut = data.index(END, start, stop)
+    http, payload = _headers(data[start:cut]), memoryview(data)[cut + 4:stop]
     urn = lambda s: int(x) if (x := s[len("<urn:page:"):-1]) else None
     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
     revisit = head["WARC-Type"] == "revisit"
@@ -83,7 +94,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
             "payload_bytes": int(http["Content-Length"]) if revisit else len(payload),
             "payload_digest": digest if revisit else own,
             "refers_to": urn(head["WARC-Refers-To"]) if revisit else None,
-            "payload": None if revisit else payload,
+            "payload": None if revisit or not with_payload else payload.tobytes(),
             "digest_ok": None if revisit else own == digest and int(http["Content-Length"]) == len(payload)}, stop + 4
 
 
@@ -110,20 +121,25 @@ class _Bundle:
         self.sizes: list[tuple[int, int]] = []
         self.buf, self.raw, self.written = [], 0, 0
 
-    def add(self, record: bytes) -> tuple[int, int]:
-        place = (len(self.sizes), self.raw)
-        self.buf.append(record)
-        self.raw += len(record)
+    def add(self, parts: list) -> tuple[int, int, int]:
+        """(frame, offset, length) of a record given as buffers."""
+        length = sum(map(len, parts))
+        place = (len(self.sizes), self.raw, length)
+        self.buf += parts
+        self.raw += length
         if self.raw >= FRAME_BYTES:
             self._flush()
         return place
 
     def _flush(self) -> None:
         if self.buf:
-            frame = self.pack.compress(b"".join(self.buf))
-            self.out.write(frame)
-            self.sizes.append((len(frame), self.raw))
-            self.written += len(frame)
+            stream = self.pack.compressobj(size=self.raw)
+            size = 0
+            for piece in (*(stream.compress(x) for x in self.buf), stream.flush()):
+                self.out.write(piece)
+                size += len(piece)
+            self.sizes.append((size, self.raw))
+            self.written += size
             self.buf, self.raw = [], 0
 
     def close(self) -> None:
@@ -157,16 +173,23 @@ def _read_frame(f, frame: tuple[int, int, int]) -> bytes:
 
 # ---- Spark jobs ---------------------------------------------------------
 
-def _with_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """Pages as (page_id, url, payload, sha1, refers_to)."""
+def _with_revisits(pages: DataFrame, min_bytes: int) -> tuple[DataFrame, int]:
+    """Pages as (page_id, url, payload, sha1, refers_to), and the bytes of all payloads."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"),
                         F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("sha1", F.unhex(F.sha1("payload")))
-    slim = save(rows.select("page_id", "sha1", F.unhex(F.sha2("payload", 256)).alias("sha2"), F.length("payload").alias("n")), "payloads")
+    slim = save(rows.select("page_id", "sha1", F.unhex(F.sha2("payload", 256)).alias("sha2"), F.length("payload").alias("n")), "payloads", pages.count())
     groups = (slim.where(F.col("n") >= min_bytes).groupBy("sha1", "sha2", "n")
               .agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("members")).where("members > 1 and keep is not null"))
     back = (slim.join(groups, ["sha1", "sha2", "n"]).where(~F.col("page_id").eqNullSafe(F.col("keep")))
             .select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), F.col("keep").alias("refers_to")).distinct())
-    return rows.join(back, rows["page_id"].eqNullSafe(back["_id"]) & (rows["sha1"] == back["_sha1"]), "left").drop("_id", "_sha1")
+    size = slim.agg(F.sum("n")).first()[0] or 0
+    return rows.join(back, rows["page_id"].eqNullSafe(back["_id"]) & (rows["sha1"] == back["_sha1"]), "left").drop("_id", "_sha1"), size
+
+
+def _tasks(spark, size: int, most: int, least: int) -> int:
+    """Tasks for so many bytes: at most ``most`` each, and not so many that
+    each has fewer than ``least``."""
+    return max(1, -(-size // most), min(-(-size // least), spark.sparkContext.defaultParallelism))
 
 
 def write_archive(pages: DataFrame, folder: str | None = None, min_revisit_bytes: int = 0) -> tuple[str, DataFrame]:
@@ -177,11 +200,11 @@ def write_archive(pages: DataFrame, folder: str | None = None, min_revisit_bytes
         bundle = None
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
+            # payloads stay where Arrow holds them
+            for page_id, url, payload, sha1, refers_to in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "sha1", "refers_to"))):
                 bundle = bundle or _Bundle(folder)
-                record = record_bytes(r["page_id"], r["url"], r["payload"], base64.b32encode(r["sha1"]).decode(), len(r["payload"]), r["refers_to"])
-                frame, offset = bundle.add(record)
-                rows.append((r["page_id"], bundle.name, frame, offset, len(record)))
+                digest = base64.b32encode(sha1.as_py()).decode()
+                rows.append((page_id.as_py(), bundle.name, *bundle.add(record_parts(page_id.as_py(), url.as_py(), payload.as_buffer(), digest, refers_to.as_py()))))
                 if bundle.written >= BUNDLE_BYTES:
                     bundle.close()
                     bundle = None
@@ -192,7 +215,9 @@ def write_archive(pages: DataFrame, folder: str | None = None, min_revisit_bytes
             bundle.close()
 
     # the join deals payloads by id, so neither a hot payload nor a hot host makes one large file
-    rows = _with_revisits(pages, min_revisit_bytes).sortWithinPartitions("page_id")
+    rows, size = _with_revisits(pages, min_revisit_bytes)
+    # a bundle for each task: of a useful size, however many shuffle partitions there are
+    rows = rows.coalesce(_tasks(pages.sparkSession, size, READ_BYTES, 4 * FRAME_BYTES)).sortWithinPartitions("page_id")
     return folder, save(map_arrow(rows, write, INDEX_SCHEMA), "warc-index")
 
 
@@ -209,19 +234,29 @@ def _record_batch(rows: list[dict]) -> pa.RecordBatch:
 
 def read_archive(folder: str, index: DataFrame, payloads: bool = True) -> DataFrame:
     """All records of the archive, read frame by frame.  The index only names
-    the bundles and their frames; records are parsed from the bytes."""
-    frames = index.select("bundle", "frame").distinct().repartition(F.col("bundle"), F.col("frame"))
+    the bundles and their frames; records are parsed from the bytes.  Frames
+    are dealt in runs, READ_BYTES a task, so a bundle's seek table is read once
+    a run and no task reads more than its share."""
+    tasks = _tasks(index.sparkSession, index.agg(F.sum("length")).first()[0] or 0, READ_BYTES, FRAME_BYTES)
+    run = F.expr(f"frame div {RUN_FRAMES}")
+    frames = index.select("bundle", "frame").distinct().repartition(tasks, F.col("bundle"), run).sortWithinPartitions("bundle", "frame")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, f, table = None, None, []
         for batch in batches:
-            for r in sorted(batch.to_pylist(), key=lambda r: (r["bundle"], r["frame"])):
-                with _open(folder, r["bundle"]) as f:
-                    data = _read_frame(f, seek_table(f)[r["frame"]])
-                rows, at = [], 0
+            for bundle, frame in zip(batch.column("bundle").to_pylist(), batch.column("frame").to_pylist()):
+                if bundle != name:
+                    if f is not None:
+                        f.close()
+                    name, f = bundle, _open(folder, bundle)
+                    table = seek_table(f)
+                data, rows, at = _read_frame(f, table[frame]), [], 0
                 while at < len(data):
-                    row, at = parse_record(data, at)
-                    rows.append(row if payloads else row | {"payload": None})
+                    row, at = parse_record(data, at, payloads)
+                    rows.append(row)
                 yield _record_batch(rows)
+        if f is not None:
+            f.close()
 
     return map_arrow(frames, read, RECORD_SCHEMA)
 
