@@ -156,6 +156,13 @@ SELECT doc_id, round(0.5e0 + cc * 0.15e0 + loc * 0.002e0, 6) AS gate_energy_wh,
     "chk_missing_values": "SELECT column_name, missing_count FROM (" + " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, CAST(count_if({c} IS NULL) AS BIGINT) AS missing_count FROM v_fn_minutes"
         for c in ["hash_function", "trigger_type", "day", *_MONTHS]) + ") WHERE missing_count > 0",
+    # the raw inputs that a request lacks, in their order
+    "chk_missing_inputs": """WITH raw AS (SELECT ['function_name', 'function_type', 'input_size', 'memory_config_mb', 'cold_start', 'lines_of_code', 'num_loops',
+  'num_conditionals', 'num_function_calls', 'cyclomatic_complexity', 'max_nesting_depth', 'local_duration_ms', 'local_cpu_percent', 'local_memory_mb',
+  'aws_duration_ms', 'aws_memory_used_mb', 'duration_ratio', 'memory_efficiency'] AS names),
+lack AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 2 THEN [names[c_custkey % 18 + 1]]
+  WHEN c_custkey % 4 = 3 THEN list_transform(list_filter(range(18), lambda i: i % 3 = c_custkey % 3), lambda i: names[i + 1]) ELSE [] END AS m FROM customer, raw)
+SELECT c_custkey, 'Missing required features: ' || array_to_string(m, ', ') AS message, CAST(len(m) AS INT) AS n_missing FROM lack WHERE len(m) > 0""",
     "chk_required_features": """WITH a AS (SELECT hash_function, trigger_type, day, list_filter([""" + ", ".join(
         f"CASE WHEN {m} IS NULL THEN '{m}' END" for m in _MONTHS) + """], lambda x: x IS NOT NULL) AS mm FROM v_fn_minutes)
 SELECT hash_function, trigger_type, day, array_to_string(mm, ',') AS missing, CAST(len(mm) AS INTEGER) AS n_missing FROM a WHERE len(mm) > 0""",

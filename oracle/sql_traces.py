@@ -33,6 +33,8 @@ SQL = {
     "agg_two_level_memory": f"WITH {MEM} SELECT hash_app, round(memory_allocated_mb, 9) AS memory_allocated_mb, round(memory_p50_mb, 9) AS memory_p50_mb, round(memory_p99_mb, 9) AS memory_p99_mb FROM mem",
     "agg_distinct_counts": """SELECT (SELECT count(DISTINCT hash_function) FROM v_fn_day) AS distinct_functions,
   (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT day, count(DISTINCT hash_function) AS n FROM v_fn_day GROUP BY day)) AS raw_unique_sum""",
+    "agg_day_sketches": """SELECT app_id, count(*) AS n, count(DISTINCT function_name) AS functions, true AS functions_kept, true AS p50_kept, true AS p99_kept
+FROM v_inv GROUP BY app_id""",
     "join_duration_invocations": f"""WITH {DUR}, {INV}
 SELECT hash_function, hash_app, invocation_count, round(avg_duration_ms, 9) AS avg_duration_ms,
   round(daily_invocations, 9) AS daily_invocations, trigger_type FROM dur JOIN inv USING (hash_function)""",

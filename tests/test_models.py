@@ -12,33 +12,11 @@ from wattline.sources.files import read_code_bundle
 FEATS = ["a", "b", "c"]
 
 
-def _linear(df):
-    return df.withColumn("prediction", 2.0 * F.col("a") - 3.0 * F.col("b") + 0.5 * F.col("c") + 1.0)
-
-
 def _frame(spark, n, offset=0):
     return spark.createDataFrame([(i + offset, float(i % 5), float((i * 3) % 7), float((i * 5) % 11)) for i in range(n)],
                                  "row_id long, a double, b double, c double")
 
 
-def test_shap_additivity_and_linear_values(spark):
-    e, bg = _frame(spark, 4), _frame(spark, 6, 100)
-    s = X.permutation_shap(e, bg, FEATS, _linear, n_perm=3)
-    for r in s.groupBy("row_id").agg(F.sum("shap_value").alias("s"), F.first("base_value").alias("b"),
-                                     F.first("prediction").alias("p")).collect():
-        assert abs(r.b + r.s - r.p) < 1e-9
-
-
-def test_lime_recovers_linear_model(spark):
-    e = _frame(spark, 2)
-    w = X.lime(e, {"a": 1.0, "b": 1.0, "c": 1.0}, FEATS, _linear, n_samples=300, alpha=1e-6)
-    got = {(r.row_id, r.feature): r.lime_weight for r in w.collect()}
-    for rid in (0, 1):
-        assert abs(got[(rid, "a")] - 2.0) < 1e-3
-        assert abs(got[(rid, "b")] + 3.0) < 1e-3
-        assert abs(got[(rid, "c")] - 0.5) < 1e-3
-
-
 def test_code_metrics_from_bundle_files(spark):
     root = tempfile.mkdtemp(prefix="wattline-bundles-")
     os.makedirs(f"{root}/b1")
@@ -69,14 +47,6 @@ def test_discretised_lime_finds_the_step(spark):
         assert got[(i, "a")] > 0.8 and abs(got[(i, "b")]) < 0.4 and abs(got[(i, "c")]) < 0.4
 
 
-def test_weighted_shap_background(spark):
-    e = _frame(spark, 2)
-    bg = spark.createDataFrame([(0.0, 0.0, 0.0, 3.0), (4.0, 4.0, 4.0, 1.0)], "a double, b double, c double, w double")
-    s = X.permutation_shap(e, bg, FEATS, _linear, n_perm=2, weight="w")
-    want = 2.0 * 1.0 - 3.0 * 1.0 + 0.5 * 1.0 + 1.0       # the linear model at the weighted mean
-    assert all(abs(r.base_value - want) < 1e-9 for r in s.collect())
-
-
 def test_forest_ignores_constant_columns_and_network_stops_early(spark):
     from wattline.models import trees as TR
     from wattline.models.forest import Settings, fit_forests

@@ -54,3 +54,26 @@ def test_consecutive_pairs_with_gap(spark):
     df = spark.createDataFrame([(x,) for x in (1, 4, 5, 8, 11, 12, 15)], "k long")
     got = sorted((r.a, r.b) for r in W.consecutive_pairs_with_gap(df, "k", 3).collect())
     assert got == [(1, 4), (5, 8), (8, 11), (12, 15)]
+
+
+def test_day_sketches_merge(spark):
+    """Days merged in any order give the whole within the stated errors; small keys are exact."""
+    from wattline.operators import sketches as S
+    rows = spark.range(60_000).selectExpr("id % 30 day", "case when id % 10 < 9 then 'hot' else 'cold' end app", "concat('f', id % 7001) fn",
+                                          "cast(pmod(xxhash64(id), 100000) as double) ms").unionByName(
+        spark.createDataFrame([(1, "tiny", "x", 5.0), (2, "tiny", "x", 7.0), (2, "tiny", "y", None)], "day long, app string, fn string, ms double"))
+    q = {"p50": 0.5, "p99": 0.99}
+    days = S.day_sketches(rows, ["app"], "fn", "ms").persist()
+    est = S.estimates(S.merged(days, ["app"]), q)
+    twice = S.estimates(S.merged(S.merged(days.withColumn("h", F.col("day") % 3), ["app", "h"]), ["app"]), q)
+    share = {r.app: r for r in S.rank_shares(rows, est, ["app"], "ms", q).collect()}
+    other = {r.app: r for r in twice.collect()}
+    for r in est.collect():
+        exact = rows.where((F.col("app") == r.app) & F.col("ms").isNotNull())
+        assert r.n == exact.count() == other[r.app].n
+        want = exact.select("fn").distinct().count()
+        assert abs(r.distinct_est - want) <= want * S.DISTINCT_ERROR + 1 and abs(other[r.app].distinct_est - want) <= want * S.DISTINCT_ERROR + 1
+        for c, p in q.items():
+            assert share[r.app][f"{c}_below"] <= p + S.RANK_ERROR and share[r.app][f"{c}_upto"] >= p - S.RANK_ERROR
+    assert other["tiny"].distinct_est == 1 and other["tiny"].p99 == 7.0
+    days.unpersist()

@@ -80,6 +80,9 @@ NUMERIC_FEATURES = (
     "duration_ratio", "memory_efficiency",
 )
 
+# The raw inputs of a request, in the order that a message lists them.
+RAW_INPUTS = ("function_name", "function_type", "input_size", *NUMERIC_FEATURES)
+
 # The 12 features checked against the training range.
 RANGE_CHECK_FEATURES = (
     "memory_config_mb", "lines_of_code", "num_loops", "num_conditionals",

@@ -103,17 +103,6 @@ def grouped_mode(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return j.where(F.col("_n") == F.col("_mx")).groupBy(*keys).agg(F.min(value).alias(value))
 
 
-def function_profile(tel: DataFrame, numeric: Sequence[str] = TELEMETRY_NUMERIC,
-                     categorical: Sequence[str] = ("function_type", "input_size")) -> DataFrame:
-    """Mean of every numeric and mode of every categorical per function, in
-    one aggregation.  The categoricals have a tiny fixed vocabulary, so the
-    built-in ``mode`` (smallest value on a tie) keeps a map of at most that
-    many entries per group however large the group is; high-cardinality
-    columns should use ``grouped_mode`` instead."""
-    return tel.groupBy("function_name").agg(*[F.avg(c).alias(c) for c in numeric],
-                                            *[F.mode(c, deterministic=True).alias(c) for c in categorical])
-
-
 def profile_fallback(profile: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     """One row: exact median of each numeric and mode of each categorical
     over the profile table (the "typical unseen function")."""

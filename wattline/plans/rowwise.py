@@ -256,6 +256,22 @@ def chk_missing_values(cat: Catalog) -> DataFrame:
     return missing_values(cat.v_fn_minutes)
 
 
+@register("chk_missing_inputs")
+def chk_missing_inputs(cat: Catalog) -> DataFrame:
+    """Requests that lack raw inputs and encoded ones: one per customer, with
+    all raw inputs, all encoded ones, all raw but one, or two thirds of them."""
+    from wattline.config import RAW_INPUTS
+    from wattline.functions.labels import FEATURE_ORDER
+    from wattline.operators.checks import missing_inputs
+    names = lambda own: F.array(*[F.lit(n) for n in own])
+    k = F.col("c_custkey")
+    given = (F.when(k % 4 == 0, names(RAW_INPUTS)).when(k % 4 == 1, names(FEATURE_ORDER))
+             .when(k % 4 == 2, F.filter(names(RAW_INPUTS), lambda x, i: i != k % len(RAW_INPUTS)))
+             .otherwise(F.filter(names(RAW_INPUTS), lambda x, i: i % 3 != k % 3)))
+    requests = cat.customer.select("c_custkey", F.map_from_arrays(given, F.transform(given, lambda x: F.lit(1.0))).alias("inputs"))
+    return missing_inputs(requests, "c_custkey", RAW_INPUTS, FEATURE_ORDER)
+
+
 @register("chk_required_features")
 def chk_required_features(cat: Catalog) -> DataFrame:
     months = [f"m{i}" for i in range(1, 13)]

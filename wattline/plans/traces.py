@@ -73,6 +73,26 @@ def agg_distinct_counts(cat: Catalog) -> DataFrame:
     return overall.crossJoin(per_day.agg(F.sum("n").alias("raw_unique_sum")))
 
 
+@register("agg_day_sketches")
+def agg_day_sketches(cat: Catalog) -> DataFrame:
+    """Days as stored sketches, merged per app: the calls, the exact number of
+    functions, and whether the merged estimates of functions and of the median
+    and 99th percentile duration keep the stated errors."""
+    import uuid
+
+    from wattline.operators import sketches as S
+    from wattline.session import checkpoint_dir
+    folder = f"{checkpoint_dir(cat.spark).rstrip('/')}/sketches/{uuid.uuid4().hex[:12]}"
+    S.day_sketches(cat.v_inv, ["app_id"], "function_name", "latency_ms").write.parquet(folder)
+    q = {"p50": 0.5, "p99": 0.99}
+    est = S.estimates(S.merged(cat.spark.read.parquet(folder), ["app_id"]), q)
+    exact = cat.v_inv.groupBy("app_id").agg(F.countDistinct("function_name").alias("functions"))
+    j = est.join(exact, "app_id").join(S.rank_shares(cat.v_inv, est, ["app_id"], "latency_ms", q), "app_id")
+    kept = lambda c: ((F.col(f"{c}_below") <= q[c] + S.RANK_ERROR) & (F.col(f"{c}_upto") >= q[c] - S.RANK_ERROR)).alias(f"{c}_kept")
+    near = F.abs(F.col("distinct_est") - F.col("functions")) <= F.col("functions") * S.DISTINCT_ERROR + 1
+    return j.select("app_id", "n", "functions", near.alias("functions_kept"), kept("p50"), kept("p99"))
+
+
 @register("join_duration_invocations")
 def join_duration_invocations(cat: Catalog) -> DataFrame:
     dur = T.duration_summary(cat.v_fn_day_basic)
