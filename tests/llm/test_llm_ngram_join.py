@@ -115,6 +115,23 @@ def test_edges(spark, nasty, nobody):
     assert kept.columns == nasty.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 4, 5, 7, 8, 9, None}
 
 
+def test_keep_first_repeated_ids(spark):
+    """One id on different texts: no clean text is lost, no near copy stays."""
+    base = " ".join(f"w{k}" for k in range(40))
+    near, other, third = base + " end", " ".join(f"o{k}" for k in range(40)), " ".join(f"t{k}" for k in range(40))
+    cases = [([(1, base), (2, near), (2, other)], [(1, base), (2, other)]),
+             ([(2, base), (2, near)], None),
+             ([(None, base), (3, near), (None, other), (None, other)], [(3, near), (None, other)]),
+             ([(4, base), (4, base), (4, base), (5, near), (5, third), (4, "")], [(4, base), (5, third), (4, "")])]
+    for rows, want in cases:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = [tuple(r) for r in J.keep_first(df).collect()]
+        if want is None:
+            assert len(got) == 1 and got[0] in rows
+        else:
+            assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_signature_bounds_overlap():
     r = np.random.default_rng(2)
     for _ in range(300):

@@ -45,16 +45,16 @@ def _finish(edges: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(v, root) for every vertex of links (a, b)."""
-    edges = save(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).where("u != v").distinct(), "edges")
-    label = None
+    edges = save(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).where("u != v").distinct(), "edges", 2 * links.count())
+    label, most = None, edges.count()       # a vertex has an edge, so no table has more rows than the first edges
     while (left := edges.count()) > 0:
         step = _finish(edges) if left <= FEW else edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        step = save(step, "contract")
+        step = save(step, "contract", left)
         if label is None:
             new = step.select(F.col("u").alias("v"), F.col("m").alias("root"))
         else:
             new = label.join(step, label["root"] == step["u"], "left").select("v", F.coalesce("m", "root").alias("root"))
-        new = save(new, "labels")
+        new = save(new, "labels", most)
         if left <= FEW:
             for old in (edges, step, label):
                 if old is not None:
@@ -62,7 +62,7 @@ def components(links: DataFrame) -> DataFrame:
             return new
         to_u, to_v = step.select("u", F.col("m").alias("mu")), step.select(F.col("u").alias("v"), F.col("m").alias("mv"))
         moved = edges.join(to_u, "u").join(to_v, "v").select(F.col("mu").alias("u"), F.col("mv").alias("v")).where("u != v").distinct()
-        moved = save(moved, "edges")
+        moved = save(moved, "edges", left)
         for old in (edges, step, label):
             if old is not None:
                 drop_saved(old)

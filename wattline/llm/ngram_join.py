@@ -35,10 +35,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import drop_saved, join_groups, key_bitmap, map_arrow, maybe_in, mix64, save, split_by, text_bytes, text_chunks, whole_rows
+from wattline.llm.common import drop_saved, join_groups, key_bitmap, map_arrow, maybe_in, mix64, save, split_by, text_chunks, whole_rows
 from wattline.llm.components import components as connected
 
 #: Counters of the shingle sketch (one byte each when broadcast: 4 MB).
@@ -47,7 +47,7 @@ BLOCK = 512              # rows of a block of a large tile
 FIRST_TRIES = 4          # forests of pairs compared first in a tile
 SEEN_CLASSES = 1 << 20   # classes that a task remembers
 
-PROFILE = "doc_id long, n int, s1 long, s2 long, slice int, counts binary"
+PROFILE = "doc_id long, t binary, n int, s1 long, s2 long, slice int, counts binary"
 
 
 @dataclass(frozen=True)
@@ -154,13 +154,18 @@ def _folded(sig: bytes, words: int) -> np.ndarray:
 
 # ---- pass 1: classes and the sketch ------------------------------------
 
+def content_key(text: Column) -> Column:
+    """Tells rows with one id and different texts apart."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
 def _profiles(docs: DataFrame, rule: Rule) -> DataFrame:
     """Rows of documents (slice null) and of the tasks' sketches (doc null)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(rule)
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         names = [x.split()[0] for x in PROFILE.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for rows, data, off in text_chunks(batches):
             sets = shingler.sets(data, off)
             hashes = [_set_hash(s) for s in sets]
@@ -168,17 +173,17 @@ def _profiles(docs: DataFrame, rule: Rule) -> DataFrame:
                 np.add.at(sketch, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             k = len(sets)
             yield pa.RecordBatch.from_arrays([
-                rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([h[0] for h in hashes], pa.int64()),
+                rows.column("doc_id"), rows.column("t"), pa.array([len(s) for s in sets], pa.int32()), pa.array([h[0] for h in hashes], pa.int64()),
                 pa.array([h[1] for h in hashes], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if sketch.any():
             part = np.minimum(sketch, 255).astype(np.uint8).reshape(-1, 1 << SLICE_BITS)
             for a in range(0, len(part), 256):
                 own = part[a:a + 256]
                 k = len(own)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in kinds[:4]), pa.array(range(a, a + k), pa.int32()),
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in kinds[:5]), pa.array(range(a, a + k), pa.int32()),
                                                   pa.array([x.tobytes() for x in own], pa.binary())], names=names)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, PROFILE)
+    return map_arrow(docs.select("doc_id", content_key(F.col("text")).alias("t"), "text"), run, PROFILE)
 
 
 def _sketch(profiles: DataFrame) -> np.ndarray:
@@ -280,34 +285,30 @@ def _shared_tiles(prefixes: DataFrame, rule: Rule) -> DataFrame:
 
 # ---- comparison ---------------------------------------------------------
 
-def _exact(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b, link) for pairs (a, b) of classes."""
+def _exact(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b, link) for pairs (a, b) of classes.  What is moved and compared is
+    one sorted array of hashes per class, one pair at a time."""
     pairs = pairs.select("a", "b")
     wanted = key_bitmap(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), "v")
-    texts = maybe_in(texts.select("v", "text"), "v", wanted)     # the other texts stay where they are
-    left = texts.select(F.col("v").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("v").alias("b"), F.col("text").alias("tb"))
+    sets = maybe_in(sets.select("v", "hashes"), "v", wanted)     # the others stay where they are
+    left = sets.select(F.col("v").alias("a"), F.col("hashes").alias("ha"))
+    right = sets.select(F.col("v").alias("b"), F.col("hashes").alias("hb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(rule)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                rows = batch.slice(at, 128)
-                sets = {}
-                for key, col in (("a", "ta"), ("b", "tb")):
-                    sets[key] = shingler.sets(*text_bytes(rows.column(col)))
-                link = []
-                for x, y in zip(sets["a"], sets["b"]):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    link.append(100 * both >= rule.percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(link, pa.bool_())], names=["a", "b", "link"])
+            link = []
+            for x, y in zip(batch.column("ha"), batch.column("hb")):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                link.append(100 * both >= rule.percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(link, pa.bool_())], names=["a", "b", "link"])
 
-    return map_arrow(pairs.join(left, "a").join(right, "b"), run, "a long, b long, link boolean").distinct()
+    return map_arrow(pairs.join(left, "a").join(right, "b"), run, "a long, b long, link boolean")
 
 
-def _bounded(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+def _bounded(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Pairs whose signatures allow enough overlap."""
-    sigs = texts.select("v", "n", "sig").distinct()
+    sigs = sets.select("v", "n", "sig")
     x = sigs.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     y = sigs.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
 
@@ -321,7 +322,7 @@ def _bounded(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                 keep.append(100 * most >= rule.percent * (na + nb - most))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(pairs.select("a", "b").join(x, "a").join(y, "b"), run, "a long, b long").distinct()
+    return map_arrow(pairs.select("a", "b").join(x, "a").join(y, "b"), run, "a long, b long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -419,7 +420,7 @@ def _tile_pairs(rows: DataFrame, rule: Rule, tries: int | None) -> DataFrame:
     return map_arrow(part, run, "a long, b long, more boolean")
 
 
-def _blocks(tiles: DataFrame, roots: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+def _blocks(tiles: DataFrame, roots: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Rows of tile blocks: (tile, kind, bi, bj, blk, main, own, short, v, n, root, sig).
 
     A row stands in its size band and, as a visitor, in the next.  In each
@@ -452,15 +453,14 @@ def _blocks(tiles: DataFrame, roots: DataFrame, texts: DataFrame, rule: Rule) ->
                      F.transform(up(F.col("nr")), lambda j: key(1, F.least(j, F.col("blk")), F.greatest(j, F.col("blk")))))
     rows = rows.withColumn("key", F.explode(F.when(F.col("main"), main).otherwise(other)))
     rows = rows.select(F.xxhash64("h", "band").alias("tile"), "key.kind", "key.bi", "key.bj", "blk", "main", "own", "short", "v", "n", "root")
-    # signatures of one class are equal, however many of its texts there are
-    return rows.join(texts.select("v", "sig").distinct(), "v")
+    return rows.join(sets.select("v", "sig"), "v")
 
 
 # ---- the join -----------------------------------------------------------
 
 @dataclass
 class _Found:
-    profiles: DataFrame      # (doc_id, n, v) of every document
+    profiles: DataFrame      # (doc_id, t, n, v) of every document
     classes: DataFrame       # (v, n, rep, members)
     links: DataFrame         # (a, b) between classes
 
@@ -469,26 +469,28 @@ def _find(docs: DataFrame, rule: Rule, all_links: bool) -> _Found:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     while True:
         both = save(_profiles(docs, rule), "profiles")
-        profiles = both.where("slice is null").select("doc_id", "n", F.col("s1").alias("v"), "s2")
-        classes = save(profiles.where("n > 0").groupBy("v").agg(F.max("n").alias("n"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"),
-                                                               (F.min("s2") != F.max("s2")).alias("clash")), "classes")
+        profiles = both.where("slice is null").select("doc_id", "t", "n", F.col("s1").alias("v"), "s2")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t"))
+        classes = save(profiles.where("n > 0").groupBy("v").agg(F.max("n").alias("n"), least.alias("first"), F.count(F.lit(1)).alias("members"),
+                                                               (F.min("s2") != F.max("s2")).alias("clash")).withColumn("rep", F.col("first.doc_id")), "classes", both.count())
         if classes.where("clash").isEmpty():
             break
         rule = Rule(rule.words, rule.percent, rule.seed + 1)    # two sets share 64 of 128 bits: other hashes
     levels = _sketch(both)
     reps = maybe_in(docs, "doc_id", key_bitmap(classes.select(F.col("rep").alias("doc_id")), "doc_id"))
     tiles = save(_shared_tiles(_prefixes(reps, rule, levels), rule), "tiles")
-    own = save(tiles.select("v").distinct().join(classes.select("v", "rep"), "v"), "tile-classes")
-    texts = save(_texts(maybe_in(docs, "doc_id", key_bitmap(own.select(F.col("rep").alias("doc_id")), "doc_id")), rule), "texts")
+    own = save(tiles.select("v").distinct().join(classes.select("v", "rep"), "v"), "tile-classes", classes.count())
+    read = maybe_in(docs, "doc_id", key_bitmap(own.select(F.col("rep").alias("doc_id")), "doc_id"))
+    sets = save(_sets(read, rule).dropDuplicates(["v"]), "sets")      # one row a class
     first = tiles.where(F.col("prev").isNotNull()).select(F.least("v", "prev").alias("a"), F.greatest("v", "prev").alias("b")).distinct()
-    tried = save(_exact(_bounded(first, texts, rule), texts, rule), "tried")
+    tried = save(_exact(_bounded(first, sets, rule), sets, rule), "tried")
     tries = None if all_links else FIRST_TRIES
     while True:
         links = tried.where("link").select("a", "b")
         roots = tiles.select("v", F.col("v").alias("root")).limit(0) if all_links else connected(links)    # without links, a class is its own root
-        pairs = save(_tile_pairs(_blocks(tiles, roots, texts, rule), rule, tries), "tile-pairs")
-        new = save(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "new-pairs")
-        found = save(_exact(new, texts, rule), "tried")
+        pairs = save(_tile_pairs(_blocks(tiles, roots, sets, rule), rule, tries), "tile-pairs")
+        new = save(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "new-pairs", pairs.count())
+        found = save(_exact(new, sets, rule), "tried")
         tried = tried.unionByName(found)
         if all_links:
             break
@@ -500,24 +502,25 @@ def _find(docs: DataFrame, rule: Rule, all_links: bool) -> _Found:
     return _Found(profiles.drop("s2"), classes.drop("clash"), tried.where("link").select("a", "b"))
 
 
-def _texts(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(v, n, sig, text) of at least one document of each class."""
+def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(v, n, sig, hashes) of at least one document of each class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(rule), set()
-        for rows, data, off in text_chunks(batches):
-            sets = shingler.sets(data, off)
-            v = [_set_hash(s)[0] if len(s) else None for s in sets]
-            new = []
-            for x in v:
-                new.append(x is not None and x not in seen)
+        for _, data, off in text_chunks(batches):
+            rows = []
+            for s in shingler.sets(data, off):
+                v = _set_hash(s)[0] if len(s) else None
+                if v is None or v in seen:
+                    continue
                 if len(seen) >= SEEN_CLASSES:
                     seen.clear()
-                seen.add(x)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(v, pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                pa.array([signature(s) for s in sets], pa.binary()), rows.column("text")], names=["v", "n", "sig", "text"]).filter(pa.array(new, pa.bool_()))
+                seen.add(v)
+                rows.append((v, len(s), signature(s), s.tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
+                                                 names=["v", "n", "sig", "hashes"])
 
-    return map_arrow(docs, run, "v long, n int, sig binary, text string")
+    return map_arrow(docs, run, "v long, n int, sig binary, hashes binary")
 
 
 def similar_pairs(docs: DataFrame, rule: Rule | None = None) -> tuple[DataFrame, DataFrame]:
@@ -533,21 +536,41 @@ def similar_pairs(docs: DataFrame, rule: Rule | None = None) -> tuple[DataFrame,
                                  F.col("n").cast("long").alias("n_shingles"))
 
 
-def components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """One row per document: (doc_id, n_shingles, component_id)."""
-    found = _find(docs, rule or Rule(), False)
+def _labelled(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Per document: (doc_id, t, n, first); first is the (doc_id, t) that stays
+    of its component, null without shingles."""
+    found = _find(docs, rule, False)
     roots = connected(found.links)
     classes = found.classes.join(roots.select("v", "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
-    least = classes.groupBy("root").agg(F.min("rep").alias("component"))
-    by_class = save(join_groups(classes.select("v", "members", "root"), least.withColumn("size", F.lit(1)), ["root"], "size"), "class-components")
-    out = join_groups(found.profiles, by_class.select("v", "members", "component"), ["v"], "members")
+    least = classes.groupBy("root").agg(F.min("first").alias("least"))
+    by_class = save(join_groups(classes.select("v", "members", "root"), least.withColumn("size", F.lit(1)), ["root"], "size"), "class-components", found.classes.count())
+    return join_groups(found.profiles, by_class.select("v", "members", F.col("least").alias("first")), ["v"], "members").select("doc_id", "t", "n", "first")
+
+
+def components(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
+    """One row per document: (doc_id, n_shingles, component_id)."""
+    out = _labelled(docs, rule or Rule())
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+                      F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """The document with the smallest id of each component, with all columns.
-    Rows with a null id stay.  Only rows that may go are shuffled."""
-    gone = save(components(docs.select("doc_id", "text"), rule).where("doc_id != component_id").select("doc_id").distinct(), "near-copies")
-    may, clear = split_by(whole_rows(docs, (F.col("doc_id").cast("long"), "doc_id")), "doc_id", key_bitmap(gone, "doc_id"))
-    return may.join(gone, "doc_id", "left_anti").select("_row").unionByName(clear.select("_row")).select("_row.*")
+    """One row of each component, with all its columns: the smallest id, of
+    equal ids the smallest content key, of rows with both the first by the
+    other columns; a null id comes last.  Rows without shingles all stay.  Only
+    rows that may go are shuffled."""
+    rows = save(_labelled(docs.select("doc_id", "text"), rule or Rule()).where("n > 0").select(
+        F.col("doc_id").alias("_gone"), "t", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))).alias("stays")), "near-copies")
+    gone = rows.where("not stays").select("_gone", "t").distinct()
+    repeated = rows.where("stays").groupBy("_gone", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_gone", "t")
+    bitmap = lambda ids: key_bitmap(ids.select(F.col("_gone").alias("doc_id")), "doc_id")
+    own = whole_rows(docs, (F.col("doc_id").cast("long"), "doc_id"), (F.col("text"), "_own"))
+    may, clear = split_by(own, "doc_id", bitmap(gone.union(repeated)))
+    may = may.withColumn("_own_t", content_key(F.col("_own")))
+    may = may.join(gone, may["doc_id"].eqNullSafe(gone["_gone"]) & (may["_own_t"] == gone["t"]), "left_anti")
+    many, single = split_by(may, "doc_id", bitmap(repeated))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_own_t", F.col("_whole")).orderBy("_row"))
+    # rows of an id that shares its slot, and those without shingles, are no copies of each other
+    many = many.join(repeated.withColumn("_whole", F.lit(True)), many["doc_id"].eqNullSafe(repeated["_gone"]) & (many["_own_t"] == repeated["t"]), "left")
+    many = many.withColumn("_nth", nth).where("_nth = 1 or _whole is null")
+    return many.select("_row").unionByName(single.select("_row")).unionByName(clear.select("_row")).select("_row.*")
