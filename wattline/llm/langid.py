@@ -7,8 +7,8 @@ sample of its texts; a text takes the language of the centroid with the
 largest cosine.  A text farther from its centroid than nearly all of that
 centroid's own sample texts is rejected.
 
-Fitting uses at most ``SAMPLE`` texts a language; prediction reads every
-whole text.
+Fitting uses at most ``SAMPLE`` texts a language and learns every language
+(a centroid takes 16 KB); prediction reads every whole text.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; without a labelled language every text is ``und``; rows repeated under one
@@ -27,16 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import held_out, map_arrow
+from wattline.llm.common import held_out, join_groups, map_arrow
 
 BUCKETS = 4096
 CLUSTERS = 4
 #: Sampled texts of each language, characters of each sampled text counted whole.
 SAMPLE = 600
-#: Languages with the most rows that are learned; a bound for the model's size.
-MAX_LANGUAGES = 200
+#: Centroids that texts are compared with at once; every language is learned.
+BLOCK_CENTROIDS = 1024
 RADIUS_SHARE = 0.995       # part of a centroid's sample texts within its radius
 BLOCK_ROWS, BLOCK_CHARS = 256, 1 << 20
+PIECE = 1 << 20            # characters whose n-grams are hashed at once
 TEMPERATURES = (5.0, 10.0, 20.0, 40.0, 80.0)
 _LETTER = re.compile(r"[^\W\d_]")
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -54,22 +55,28 @@ class Model:
 
 def counts(texts: list[str]) -> np.ndarray:
     """Dense (rows, BUCKETS) n-gram counts.  Characters below U+0250 that are
-    no letters count as a space."""
+    no letters count as a space.  Works on PIECE characters at a time, also
+    within a text."""
     lower = [f" {t.lower()} " for t in texts]
-    cp = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(texts)), [len(t) for t in lower])
+    ends = np.cumsum([len(t) for t in lower])
+    source = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
+    del lower
     letter = _letters()
-    low = cp < len(letter)
-    cp = np.where(low & ~letter[np.minimum(cp, len(letter) - 1)], 32, cp).astype(np.uint64)
     out = np.zeros(len(texts) * BUCKETS)
-    h = np.zeros(len(cp), np.uint64)
-    for n in range(3):
-        h = h[:len(cp) - n] * np.uint64(31) + (cp[n:] + np.uint64(1)) * _MULT[n] if n else (cp + np.uint64(1)) * _MULT[0]
-        same = row[n:] == row[:len(row) - n]
-        blank = (cp[n:] == 32) & (cp[:len(cp) - n] == 32)     # runs of blanks, and single blanks
-        key = ((h ^ (h >> np.uint64(29))) * _MULT[2] >> np.uint64(52)).astype(np.int64)
-        ok = same & ~blank
-        out += np.bincount((row[:len(row) - n] * BUCKETS + key)[ok], minlength=len(out))
+    for first in range(0, len(source), PIECE):
+        cp = source[first:first + PIECE + 2]        # n-grams that begin here may end behind
+        row = np.searchsorted(ends, np.arange(first, first + len(cp)), side="right")
+        low = cp < len(letter)
+        cp = np.where(low & ~letter[np.minimum(cp, len(letter) - 1)], 32, cp).astype(np.uint64)
+        h = np.zeros(len(cp), np.uint64)
+        for n in range(3):
+            h = h[:len(cp) - n] * np.uint64(31) + (cp[n:] + np.uint64(1)) * _MULT[n] if n else (cp + np.uint64(1)) * _MULT[0]
+            same = row[n:] == row[:len(row) - n]
+            blank = (cp[n:] == 32) & (cp[:len(cp) - n] == 32)     # runs of blanks, and single blanks
+            key = ((h ^ (h >> np.uint64(29))) * _MULT[2] >> np.uint64(52)).astype(np.int64)
+            ok = same & ~blank
+            ok[PIECE:] = False
+            out += np.bincount((row[:len(row) - n] * BUCKETS + key)[ok], minlength=len(out))
     return out.reshape(len(texts), BUCKETS)
 
 
@@ -124,13 +131,13 @@ def fit(docs: DataFrame) -> Model | None:
     """Learn from rows that have a language and are not held out."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
     ids = own.select("doc_id", "lang")
-    top = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # a language's share of hashes that holds four samples on average goes to the ranking, not all its rows
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * 4 * SAMPLE / F.col("n")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = ids.join(F.broadcast(top), "lang").where(part).withColumn("_r", rank).where(F.col("_r") <= SAMPLE).select("doc_id", "lang")
-    # at most SAMPLE * MAX_LANGUAGES ids: a proven bound
-    sample = own.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).where(F.col("text").rlike(r"\p{L}"))
+    ids = join_groups(ids, sizes, ["lang"], "n").where(part).withColumn("_r", rank).where(F.col("_r") <= SAMPLE).select("doc_id", "lang")
+    # at most SAMPLE ids a language, so no key is hot; Spark broadcasts them where they are few
+    sample = own.select("doc_id", "lang", "text").join(ids.distinct(), ["doc_id", "lang"]).where(F.col("text").rlike(r"\p{L}"))
     sample = sample.select("lang", "text").repartition("lang")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +187,23 @@ def fit(docs: DataFrame) -> Model | None:
 
 def language_cosines(x: np.ndarray, model: Model) -> np.ndarray:
     """(rows, languages): cosine with the nearest centroid of each language."""
-    cos = x @ model.centroids.T
-    return np.stack([cos[:, model.of == j].max(axis=1) for j in range(len(model.languages))], axis=1)
+    best = np.full((len(x), len(model.languages)), -1.0, np.float32)
+    for a in range(0, len(model.of), BLOCK_CENTROIDS):      # sorted by language
+        of = model.of[a:a + BLOCK_CENTROIDS]
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        best[:, of[first]] = np.maximum(best[:, of[first]], np.maximum.reduceat(x @ model.centroids[a:a + BLOCK_CENTROIDS].T, first, axis=1))
+    return best
+
+
+def nearest(x: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(centroid, cosine) of the nearest centroid of each row; of equals the first."""
+    near, most = np.zeros(len(x), np.int64), np.full(len(x), -2.0, np.float32)
+    for a in range(0, len(model.of), BLOCK_CENTROIDS):
+        cos = x @ model.centroids[a:a + BLOCK_CENTROIDS].T
+        own = np.argmax(cos, axis=1)
+        top = cos[np.arange(len(x)), own]
+        near, most = np.where(top > most, a + own, near), np.maximum(top, most)
+    return near, most
 
 
 def predict(docs: DataFrame, model: Model | None, reject_as: str | None = None) -> DataFrame:
@@ -195,13 +217,13 @@ def predict(docs: DataFrame, model: Model | None, reject_as: str | None = None)
             lang, score = np.full(n, "und", object), np.zeros(n)
             dist, far = np.ones(n), np.ones(n, bool)
             for a, b in blocks(texts) if model is not None else ():
-                cos = vectors(texts[a:b], model.idf) @ model.centroids.T
-                near = np.argmax(cos, axis=1)
-                top = np.stack([cos[:, model.of == j].max(axis=1) for j in range(len(model.languages))], axis=1)
+                x = vectors(texts[a:b], model.idf)
+                near, most = nearest(x, model)
+                top = language_cosines(x, model)
                 z = np.exp((top - top.max(axis=1, keepdims=True)) * model.temperature)
                 lang[a:b] = np.array(model.languages, object)[model.of[near]]
                 score[a:b] = 1 / z.sum(axis=1)
-                dist[a:b] = 1 - cos[np.arange(b - a), near]
+                dist[a:b] = 1 - most
                 far[a:b] = dist[a:b] > model.radius[near]
             if reject_as is not None:
                 lang[far] = reject_as
