@@ -175,6 +175,22 @@ def fit_rows(toxic: list[str], ordinary: list[str], share: float) -> Model:
     return best[1]
 
 
+def choose(rows: list[tuple]) -> list[tuple]:
+    """(place, id, toxic, key) of the sample from (rank, id, toxic, key of the
+    text, length): by rank, each text once (toxic if any of its rows is), as
+    long as MAX_CHARS holds; a text that does not fit is passed over, and no
+    text takes more than a tenth."""
+    toxic = {key for _, _, label, key, _ in rows if label}
+    out, seen, used = [], set(), 0
+    for _, doc, _, key, n in sorted(rows, key=lambda r: (r[0], r[1])):
+        if key in seen or n > MAX_CHARS // 10 or used + n > MAX_CHARS:
+            continue
+        seen.add(key)
+        used += n
+        out.append((len(out), doc, key in toxic, key))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labelled rows that are not held out."""
     own = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
@@ -185,11 +201,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     part = F.lit(float(1 << 30)) * 4 * F.when(F.col("toxic"), MAX_TOXIC / max(1, seen.get(True, 0))).otherwise(MAX_ORDINARY / max(1, seen.get(False, 0)))
     rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part).withColumn("_r", rank).where(F.col("_r") <= F.when(F.col("toxic"), MAX_TOXIC).otherwise(MAX_ORDINARY))
-    # at most MAX_TOXIC + MAX_ORDINARY ids: a proven bound
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["text"])
-    chars = F.sum(F.length("text")).over(Window.orderBy("_r", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_c", chars).where(F.col("_c") <= MAX_CHARS).orderBy("_r", "doc_id").select("text", "toxic")
-    sample = rows.collect()
+    # at most MAX_TOXIC + MAX_ORDINARY ids: a proven bound; of an id's texts, that with the smallest key
+    key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    sized = (docs.select("doc_id", key.alias("key"), F.coalesce(F.length("text"), F.lit(0)).alias("n")).join(F.broadcast(ids), "doc_id")
+             .groupBy("doc_id", "toxic", "_r").agg(F.min(F.struct("key", "n")).alias("t")).select("doc_id", "toxic", "_r", "t.key", "t.n"))
+    chosen = choose([(r["_r"], r["doc_id"], r["toxic"], r["key"], r["n"]) for r in sized.collect()])
+    spark = docs.sparkSession
+    chosen = spark.createDataFrame(chosen, "place int, doc_id long, toxic boolean, key string")
+    sample = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key")).join(F.broadcast(chosen), ["doc_id", "key"])
+              .dropDuplicates(["place"]).orderBy("place").select("text", "toxic").collect())
     toxic, ordinary = [r["text"] for r in sample if r["toxic"]], [r["text"] for r in sample if not r["toxic"]]
     del sample
     model = fit_rows(toxic, ordinary, seen.get(True, 0) / total if total else 0.0)
