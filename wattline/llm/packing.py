@@ -219,15 +219,14 @@ class Plan:
 
 
 def plan_packing(hist: np.ndarray, max_len: int = MAX_LEN) -> Plan:
-    """The better of patterns + best fit and best fit alone, by sequences."""
-    mixed, plain = Plan(hist, max_len), Plan(hist, max_len)
+    """Full sequences, then patterns, then best fit for what they leave."""
+    plan = Plan(hist, max_len)
     if max_len >= 2:
-        if mixed.left[max_len]:
-            mixed.use(np.array([max_len]), int(mixed.left[max_len]))
-        mixed.by_patterns(patterns(max_len))
-    mixed.best_fit()
-    plain.best_fit()
-    return mixed if mixed.sequences <= plain.sequences else plain
+        if plan.left[max_len]:
+            plan.use(np.array([max_len]), int(plan.left[max_len]))
+        plan.by_patterns(patterns(max_len))
+    plan.best_fit()
+    return plan
 
 
 # ---- job ----------------------------------------------------------------
