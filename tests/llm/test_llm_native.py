@@ -119,6 +119,9 @@ def test_fingerprint_blocks_and_edges(spark, nasty, nobody):
     rows = [(i, f"text {i} " * (1 + abs(i) % 5)) for i in (-5000, -1, 0, 1, 1023, 1024, 5000, 2 ** 20 - 1, 2 ** 20, 2 ** 40, 2 ** 62)]
     got = {r["doc_id"]: r for r in P.edit_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: (r["n_chars"], r["edited_sha256"]) for i, r in got.items()} == {i: (n, hashlib.sha256(e.encode()).hexdigest()) for i, (n, e) in edit(rows).items()}
+    sparse = [(((i * 0x9E3779B97F4A7C15) & (2 ** 64 - 1)) - 2 ** 63, f"hashed id {i} " * (1 + i % 4)) for i in range(300)]      # a block of its own for each
+    got = {r["doc_id"]: r["edited_sha256"] for r in P.edit_pairs(spark.createDataFrame(sparse, "doc_id long, text string").repartition(6)).collect()}
+    assert got == {i: hashlib.sha256(e.encode()).hexdigest() for i, (_, e) in edit(sparse).items()}
     one = P.edit_pairs(spark.createDataFrame([(3, "a b c d e f g")], "doc_id long, text string")).first()
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"a b ca b").hexdigest() or one["n_chars"] == 13
     out = P.edit_pairs(nasty).collect()

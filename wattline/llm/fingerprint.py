@@ -84,15 +84,16 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     next document of every row without a global sort."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_block", F.shiftright("_id", BLOCK_BITS))
-    blocks = save(rows.groupBy("_block").agg(F.min("_id").alias("_first")), "blocks").withColumn("_super", F.shiftright("_block", BLOCK_BITS))
-    # one row per 2**20 ids: the only window without a key
-    supers = blocks.groupBy("_super").agg(F.max("_block").alias("_end"))
-    order = Window.orderBy("_super")
+    # blocks in order, however sparse the ids are: ranges of blocks by sampled bounds
+    blocks = save(rows.groupBy("_block").agg(F.min("_id").alias("_first")).repartitionByRange("_block").withColumn("_part", F.spark_partition_id()), "blocks")
+    # one row per partition: the only window without a key
+    parts = blocks.groupBy("_part").agg(F.max("_block").alias("_end"))
+    order = Window.orderBy("_part")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    supers = supers.select("_super", F.coalesce(F.lag("_end").over(order), F.last("_end").over(whole)).alias("_before"))
-    firsts = (blocks.join(supers, "_super")
+    parts = parts.select("_part", F.coalesce(F.lag("_end").over(order), F.last("_end").over(whole)).alias("_before"))
+    firsts = (blocks.join(parts, "_part")
               .select(F.col("_first").alias("_id"),
-                      F.coalesce(F.lag("_block").over(Window.partitionBy("_super").orderBy("_block")), F.col("_before")).alias("_block")))
+                      F.coalesce(F.lag("_block").over(Window.partitionBy("_part").orderBy("_block")), F.col("_before")).alias("_block")))
     ends = maybe_in(rows.drop("_block"), "_id", key_bitmap(firsts.select("_id"), "_id")).join(firsts, "_id")
     return (rows.withColumn("_last", F.lit(False)).select("_block", "_last", "_id", "_text")
             .unionByName(ends.withColumn("_last", F.lit(True)).select("_block", "_last", "_id", "_text")))
