@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import held_out, join_groups, map_arrow
+from wattline.llm.common import held_out, join_groups, key_bitmap, map_arrow, maybe_in, save
 
 BUCKETS = 4096
 CLUSTERS = 4
@@ -136,8 +136,10 @@ def fit(docs: DataFrame) -> Model | None:
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * 4 * SAMPLE / F.col("n")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = join_groups(ids, sizes, ["lang"], "n").where(part).withColumn("_r", rank).where(F.col("_r") <= SAMPLE).select("doc_id", "lang")
-    # at most SAMPLE ids a language, so no key is hot; Spark broadcasts them where they are few
-    sample = own.select("doc_id", "lang", "text").join(ids.distinct(), ["doc_id", "lang"]).where(F.col("text").rlike(r"\p{L}"))
+    ids = save(ids.distinct(), "language-sample")
+    # at most SAMPLE ids a language, so no key is hot; a bitmap keeps the other texts where they are
+    near = maybe_in(own.select("doc_id", "lang", "text"), "doc_id", key_bitmap(ids, "doc_id"))
+    sample = near.join(ids, ["doc_id", "lang"]).where(F.col("text").rlike(r"\p{L}"))
     sample = sample.select("lang", "text").repartition("lang")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
