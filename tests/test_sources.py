@@ -74,3 +74,21 @@ def test_sources_in_zip_archives(spark):
     # blocks: f 2, A 4 (1 + method's 3, one method), g 3
     assert (b.bundle, b.files, b.lines_of_code, b.num_loops, b.num_conditionals) == ("fn-1", 2, 9, 1, 1)
     assert b.cyclomatic_complexity == 3.0
+
+
+def test_code_bundle_is_a_file_per_row_written_by_the_tasks(spark, monkeypatch):
+    """The writer that names and renames each file through the job's commit is not used."""
+    from pyspark.sql.readwriter import DataFrameWriter
+    monkeypatch.setattr(DataFrameWriter, "text", lambda *a, **k: (_ for _ in ()).throw(AssertionError("a commit per file")))
+    from wattline.plans.modelling import src_code_bundle
+    from wattline.sources.tables import Catalog
+    sf = tempfile.mkdtemp(prefix="wattline-bundles-")
+    texts = [(1, "a\nb", "x"), (1, "a\nb", "x"), (2, None, "x"), (3, "tail\n", "p=q r"), (4, "ü 中\r\n", None), (5, "", "")]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").repartition(3).write.parquet(f"{sf}/documents.parquet")
+    got = sorted((r.bundle, r.n_chars) for r in src_code_bundle(Catalog(spark, sf)).collect())
+    none = "__HIVE_DEFAULT_PARTITION__"
+    assert [x for x in got if x[0] in ("x", none)] == [(none, 0), (none, 5), ("x", 0), ("x", 3), ("x", 3)] and len(got) == 6
+    root = tempfile.mkdtemp(prefix="wattline-bundles-")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert IO.write_code_bundle(docs, root, "source", "text") == 6 == IO.write_code_bundle(docs, root, "source", "text")
+    assert sum(len(f) for _, _, f in os.walk(root)) == 6

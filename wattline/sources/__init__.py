@@ -1,0 +1,7 @@
+"""Tables, views and files.  Functions that tasks run are shipped by value, so
+executors need no copy of the package."""
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
