@@ -241,3 +241,32 @@ def test_registered_models_really_fit(spark, monkeypatch):
         assert (r.n, r.verdict, r.detail_rows) == (want.n, want.verdict, want.n) and set(r.groups) >= set(PM.VALIDATION_GROUPS[r.platform])
         assert abs(r.detail_mae - want.mae) < 1e-8 and abs(r.detail_accuracy - r.accuracy) < 1e-6 and abs(r.r2 - want.r2) < 1e-9
     assert len(files) == 2
+
+
+def test_forest_sums_by_bin_in_bounded_jobs(spark, monkeypatch):
+    """Sums by bin give the splits of sorted rows; trees dealt a few at a time and rows looked at in
+    chunks are the trees of one job; a larger node is finished by one task."""
+    import numpy as np
+
+    from wattline.models import forest as FO
+    assert FO.LOCAL_ROWS >= 1 << 19
+    r = np.random.default_rng(5)
+    node, code, w, y = r.integers(0, 7, 5000), r.integers(0, 40, 5000), r.integers(1, 4, 5000).astype(float), r.random(5000)
+    sums = w, w * y, np.bincount(node, w), np.bincount(node, w * y)
+    a, b = FO._best_sorted(code, node, *sums), FO._best_binned(code, node, *sums, np.full(7, 40))
+    assert np.array_equal(a[1], b[1]) and np.allclose(a[0], b[0])
+    alone = FO._best_binned(np.zeros(3, int), np.array([0, 0, 1]), np.ones(3), np.ones(3), np.array([2.0, 1.0]), np.array([2.0, 1.0]), np.array([1, 1]))
+    assert (alone[0] == -np.inf).all()
+    df = _wavy(spark)
+    fit = lambda: FO.fit_forests(df, list("abcd"), "y", FO.Settings(trees=7, depth=9), F.col("row_id"))[0]
+    whole = fit()
+    jobs, finish = [], FO._finish
+    monkeypatch.setattr(FO, "_finish", lambda *x: jobs.append(sum(len(t.small) for t in x[1])) or finish(*x))
+    monkeypatch.setattr(FO, "DEALT_ROWS", 6000)
+    few = fit()
+    assert jobs == [2, 2, 2, 1]
+    for x, y in zip(whole.trees, few.trees, strict=True):
+        assert all(np.array_equal(getattr(x, k), getattr(y, k)) for k in ("feature", "bin", "left", "value"))
+    monkeypatch.setattr(FO, "SORTED_ROWS", 0)
+    score = [m.transform(df, floor=None).agg(F.corr("y", "prediction")).first()[0] for m in (whole, fit())]
+    assert min(score) > 0.98 and abs(score[0] - score[1]) < 0.005
