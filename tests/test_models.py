@@ -270,3 +270,32 @@ def test_forest_sums_by_bin_in_bounded_jobs(spark, monkeypatch):
     monkeypatch.setattr(FO, "SORTED_ROWS", 0)
     score = [m.transform(df, floor=None).agg(F.corr("y", "prediction")).first()[0] for m in (whole, fit())]
     assert min(score) > 0.98 and abs(score[0] - score[1]) < 0.005
+
+
+def test_network_trains_varying_columns_without_row_objects(spark, monkeypatch):
+    """A constant column is not in the training matrix and keeps its initial weights; a step
+    equals Adam written out; rows reach the steps as plain numbers."""
+    import numpy as np
+    from pyspark.sql import DataFrame
+
+    from wattline.models import mlp as M
+    r = np.random.default_rng(2)
+    sizes, x, y = [3, 4, 1], r.normal(size=(8, 3)), r.normal(size=8)
+    theta = M._flatten(M._init(sizes, 1))
+    want, state = theta.copy(), np.zeros(2 * len(theta))
+    adam = M._Adam(theta, state, sizes, 0.01)
+    loss = lambda v: 0.5 * np.mean((M._forward(M._unflatten(v, sizes), x)[0] - y) ** 2)
+    m = v = np.zeros(len(want))
+    for t in (1, 2, 3):
+        g = np.array([(loss(want + e) - loss(want - e)) / 2e-6 for e in np.eye(len(want)) * 1e-6])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        want = want - 0.01 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        adam.step(x, y, t)
+        assert np.allclose(theta, want, atol=1e-5)
+    monkeypatch.setattr(DataFrame, "mapInPandas", None)
+    df = _frame(spark, 300).withColumn("k", F.lit(3.0)).withColumn("energy_target_wh", F.col("a") + 2 * F.col("b"))
+    net = M.DistributedMLP(["a", "k", "b"], "energy_target_wh", hidden=(8,), epochs=20, batch=16, lr=0.01)
+    net.fit(df)
+    assert net._varying() == [0, 2]
+    assert net.params[0].shape == (3, 8) and np.array_equal(net.params[0][1], M._init([3, 8, 1], 42)[0][1])
+    assert not np.allclose(net.params[0][0], M._init([3, 8, 1], 42)[0][0]) and net.history[-1] < net.history[0] / 4
