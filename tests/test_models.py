@@ -296,6 +296,6 @@ def test_network_trains_varying_columns_without_row_objects(spark, monkeypatch):
     df = _frame(spark, 300).withColumn("k", F.lit(3.0)).withColumn("energy_target_wh", F.col("a") + 2 * F.col("b"))
     net = M.DistributedMLP(["a", "k", "b"], "energy_target_wh", hidden=(8,), epochs=20, batch=16, lr=0.01)
     net.fit(df)
-    assert net._varying() == [0, 2]
+    assert net._varying(df) == [0, 2] and net._varying(df.withColumn("k", F.when(F.col("a") > 0, F.col("k")))) == [0, 1, 2]
     assert net.params[0].shape == (3, 8) and np.array_equal(net.params[0][1], M._init([3, 8, 1], 42)[0][1])
     assert not np.allclose(net.params[0][0], M._init([3, 8, 1], 42)[0][0]) and net.history[-1] < net.history[0] / 4
