@@ -123,6 +123,40 @@ def test_percentile_plan_runs_no_job(spark):
         spark.sparkContext.setJobGroup("", "")
 
 
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_small_groups_are_dealt_once(spark):
+    """Many groups of a few rows: beside the slots' counts, one shuffle of the rows."""
+    df = spark.range(30_000).select((F.col("id") % 9000).cast("string").alias("k"), (F.col("id") * 7919 % 1009).cast("double").alias("v"))
+    got = grouped_percentiles(df, ["k"], "v", {"p50": 0.5}, extra_aggs=[F.max("v").alias("most")])
+    plan = final_plan(got)
+    assert 1 <= plan.count("Exchange hashpartitioning(") <= 2 and "_wb" not in plan
+    want = df.groupBy("k").agg(F.percentile("v", 0.5).alias("p50"), F.max("v").alias("most"))
+    assert sorted(map(tuple, got.select("k", "p50", "most").collect())) == sorted(map(tuple, want.select("k", "p50", "most").collect()))
+
+
+def test_small_and_large_groups_give_the_same(spark, monkeypatch):
+    from wattline.operators import quantiles as Q
+    df, probs = skewed(spark, 20_000), {"p25": 0.25, "p50": 0.5, "p99": 0.99}
+    out = []
+    for hot_rows in (0, 1000, 1 << 40):
+        monkeypatch.setattr(Q, "HOT_ROWS", hot_rows)
+        rows = grouped_percentiles(df, ["k"], "v", probs, extra_aggs=[F.count("*").alias("n")]).collect()
+        out.append(sorted(((r["k"] is not None, r["k"] or "", r["n"], *[round(r[p], 9) for p in probs]) for r in rows)))
+    assert out[0] == out[1] == out[2] and len(out[0]) > 100
+
+
+def test_strata_are_not_shuffled(spark):
+    from wattline.operators.sampling import stratified_hash_split
+    df = spark.createDataFrame([(f"r{i}", "a" if i % 10 else None) for i in range(200)], "id string, s string")
+    out = stratified_hash_split(df, "id", "s", {"train": 0.8, "test": 0.2})
+    joins = [x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "LeftOuter" in x]
+    assert joins and all("BroadcastHashJoin" in x for x in joins) and out.count() == 200
+
+
 def test_stratified_sample_quota_null_stratum_and_size(spark):
     rows = [(f"id{i}", "big" if i < 90 else ("tiny" if i == 90 else None)) for i in range(100)]
     df = spark.createDataFrame(rows, "id string, s string")
