@@ -299,3 +299,31 @@ def test_network_trains_varying_columns_without_row_objects(spark, monkeypatch):
     assert net._varying(df) == [0, 2] and net._varying(df.withColumn("k", F.when(F.col("a") > 0, F.col("k")))) == [0, 1, 2]
     assert net.params[0].shape == (3, 8) and np.array_equal(net.params[0][1], M._init([3, 8, 1], 42)[0][1])
     assert not np.allclose(net.params[0][0], M._init([3, 8, 1], 42)[0][0]) and net.history[-1] < net.history[0] / 4
+
+
+def test_features_are_saved_by_columns(spark):
+    """A plan that needs two columns of the split feature table reads two."""
+    from wattline.plans import modelling as PM
+    from wattline.sources.tables import Catalog
+    cat = Catalog(spark, "/root/testdata/sf0.001")
+    plan = PM.prepared(cat).select("inv_id", "split")._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan.lower() and "ReadSchema: struct<inv_id:string,split:string>" in plan
+
+
+def test_summary_source_is_computed_once(spark, monkeypatch):
+    from wattline.plans import metrics as PMET
+    from wattline.plans import modelling as PM
+    from wattline.sources.tables import Catalog
+    cat, calls, own = Catalog(spark, "/root/testdata/sf0.001"), [], PMET.azure_like
+    monkeypatch.setattr(PMET, "azure_like", lambda c: calls.append(1) or own(c))
+    assert PM.src_json_summary(cat).count() == 5 and len(calls) == 1
+
+
+def test_sources_come_in_small_batches(spark):
+    """Workers hold few bytes of files at once, whatever the number of rows of a batch."""
+    df = spark.createDataFrame([("b", str(i), "x = 1\n" + "# " + "a" * 1000 + "\n" * 3) for i in range(20)] + [("b", "n", None)], "bundle string, path string, content string")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    out = CM.source_metrics(df)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= CM.BATCH_BYTES and "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    rows = {r["path"]: r for r in out.collect()}
+    assert rows["0"]["loc"] == 1 and rows["0"]["parsed"] and rows["n"]["loc"] == 0 and len(rows) == 21
