@@ -92,3 +92,18 @@ def test_code_bundle_is_a_file_per_row_written_by_the_tasks(spark, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert IO.write_code_bundle(docs, root, "source", "text") == 6 == IO.write_code_bundle(docs, root, "source", "text")
     assert sum(len(f) for _, _, f in os.walk(root)) == 6
+
+
+def test_source_view_deals_one_row_group_over_tasks(spark):
+    """Documents that one task reads are written and parsed by several; rows stay the same."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+    from wattline.models import codemetrics as CM
+    from wattline.sources.tables import source_view
+    docs = spark.range(400).select(F.when(F.col("id") % 10 > 0, F.col("id")).alias("doc_id"), F.lit("web").alias("source"),
+                                   F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).coalesce(1)
+    rows = source_view(docs).withColumn("task", F.spark_partition_id()).collect()
+    tasks = Counter(r["task"] for r in rows)
+    assert len(rows) == 400 and len(tasks) > 1 and max(tasks.values()) <= 200
+    assert CM.source_metrics(source_view(docs)).count() == 400
