@@ -327,3 +327,16 @@ def test_sources_come_in_small_batches(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= CM.BATCH_BYTES and "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
     rows = {r["path"]: r for r in out.collect()}
     assert rows["0"]["loc"] == 1 and rows["0"]["parsed"] and rows["n"]["loc"] == 0 and len(rows) == 21
+
+
+def test_training_ends_are_the_bounds_of_all_rows(spark):
+    """One pass gives the same bounds and largest target; nulls don't count."""
+    from wattline.config import RANGE_CHECK_FEATURES
+    from wattline.operators.checks import training_bounds
+    from wattline.plans.modelling import training_ends
+    cols = [*RANGE_CHECK_FEATURES, "energy_target_wh"]
+    rows = [tuple(None if (i + k) % 7 == 0 else float((i * 31 + k * 17) % 101) - 20 for k in range(len(cols))) for i in range(60)]
+    train = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols))
+    ends, top = training_ends(train)
+    assert ends.count() == 2 and top.first()[0] == max(r[-1] for r in rows if r[-1] is not None)
+    assert training_bounds(ends, RANGE_CHECK_FEATURES).first() == training_bounds(train, RANGE_CHECK_FEATURES).first()
